@@ -352,7 +352,7 @@ _BATCH = """
 
 PACK_SHARED = f"""
     WITH RECURSIVE {_BATCH},
-    leading AS (
+    foremost AS (
       SELECT *, sum(length(row)) OVER (PARTITION BY source_ord ORDER BY row_no)::BIGINT AS used,
         count(*) OVER (PARTITION BY source_ord) AS total,
         dense_rank() OVER (ORDER BY source_ord) AS g
@@ -365,11 +365,11 @@ PACK_SHARED = f"""
         SELECT count(*) FILTER (WHERE row_no <= 40 AND used <= s.remaining) AS kept,
           coalesce(max(used) FILTER (WHERE row_no <= 40 AND used <= s.remaining), 0)::BIGINT
             AS chars
-        FROM leading WHERE g = s.g + 1) x
-      WHERE s.g < (SELECT max(g) FROM leading))
+        FROM foremost WHERE g = s.g + 1) x
+      WHERE s.g < (SELECT max(g) FROM foremost))
     SELECT DISTINCT l.source_ord, s.kept AS kept_rows, s.chars AS kept_chars,
       l.total > 40 OR s.kept < least(l.total, 40) AS truncated
-    FROM spent s JOIN leading l ON l.g = s.g
+    FROM spent s JOIN foremost l ON l.g = s.g
 """
 
 
