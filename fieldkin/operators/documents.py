@@ -1,10 +1,13 @@
 """Schema inference and profiles of heterogeneous nested documents.
 
-Documents are VARIANT values, because a path may hold several types. Each is
-flattened inside its own row, level by level, into an array of (path, value)
-nodes; arrays add no path of their own, and their members record nothing unless
-they sit under a key. One explode then feeds one aggregation. Presence per
-document is decided before the explode, so documents are never shuffled or
+Documents are VARIANT values, because a path may hold several types. Levels are
+unfolded by generators in one pass over the scan: at each level a node yields
+itself and its members. Arrays add no path of their own, and their members record
+nothing unless they sit under a key. Nothing is shuffled before the counts.
+
+How many documents have a path is also decided inside the row. Members of plain
+objects occur once per document; for documents in which a path can repeat, their
+distinct paths are gathered first. So documents need no identifier and are never
 counted distinctly.
 """
 
@@ -14,6 +17,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldkin.functions import values as V
 from fieldkin.operators.catalog import with_families
@@ -24,159 +28,220 @@ from fieldkin.sources.model import DOCUMENT, SourceSet
 #: query instead of losing fields.
 MAX_DEPTH = 8
 
-FIELD = ("source_ord", "source_id", "namespace", "entity", "path")
+_INEXACT = "double"
 
+FIELD = ("source_ord", "source_id", "namespace", "entity", "path")
 
-def _members(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "map<string,variant>")
 
+def _below(path: Column, key: Column) -> Column:
+    """Path of a member; an array element (no key) keeps the path of its array."""
+    return (
+        F.when(key.isNull(), path)
+        .when(path == "", key)
+        .otherwise(F.concat(path, F.lit("."), key))
+    )
 
-def _elements(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "array<variant>")
 
+def _too_deep(max_depth: int) -> Column:
+    return F.raise_error(F.lit(f"A document nests deeper than max_depth={max_depth}."))
 
-def _node(path: Column, value: Column, keyed: bool) -> Column:
-    return F.struct(path.alias("path"), value.alias("v"), F.lit(keyed).alias("keyed"))
 
+def _unfold(roots: DataFrame, max_depth: int, *carried: str) -> DataFrame:
+    """All keyed nodes below the open rows of ``(path, v, keyed, open)``.
 
-def _children(node: Column) -> Column:
-    path = node["path"]
+    Rows that are not open are passed through. A level first splits each open row
+    into itself and a request for its members, then answers the request.
+    """
+    members = roots.sparkSession.tvf.variant_explode_outer
+    rows = roots
+    for level in range(max_depth + 1):
+        split = F.when(F.col("open"), F.array(F.lit(False), F.lit(True))).otherwise(
+            F.array(F.lit(False))
+        )
+        asked = F.when(F.col("descend").outer(), F.col("v").outer())
+        child = _below(F.col("path"), F.col("key"))
+        if level == max_depth:
+            child = _too_deep(max_depth).cast("string")
+        descend = F.col("descend")
+        rows = (
+            rows.withColumn("descend", F.explode(split))
+            .lateralJoin(members(asked))
+            .where(~descend | F.col("value").isNotNull())
+            .select(
+                *carried,
+                F.when(descend, child).otherwise(F.col("path")).alias("path"),
+                F.when(descend, F.col("value")).otherwise(F.col("v")).alias("v"),
+                F.when(descend, F.col("key").isNotNull()).otherwise(F.col("keyed")).alias("keyed"),
+                descend.alias("open"),
+            )
+        )
+    return rows.where("keyed").select(*carried, "path", "v")
 
-    def member(entry: Column) -> Column:
-        key = entry["key"]
-        below = F.when(path == "", key).otherwise(F.concat(path, F.lit("."), key))
-        return _node(below, entry["value"], True)
 
-    none = F.array().cast("array<struct<path string, v variant, keyed boolean>>")
-    return F.coalesce(
-        F.transform(F.map_entries(_members(node["v"])), member),
-        F.transform(_elements(node["v"]), lambda v: _node(path, v, False)),
-        none,
+def _root(value: Column) -> Column:
+    return F.struct(
+        F.lit("").alias("path"), value.alias("v"),
+        F.lit(False).alias("keyed"), F.lit(True).alias("open"),
     )
 
 
-def _nodes(documents: DataFrame, column: str, max_depth: int) -> DataFrame:
-    """Each document's keyed nodes as one array of ``(path, v)``."""
-    root = F.array(_node(F.lit(""), F.col(column), False))
-    level = documents.select(root.alias("l0"))
-    for depth in range(max_depth + 1):
-        level = level.withColumn(
-            f"l{depth + 1}", F.flatten(F.transform(f"l{depth}", _children))
+def _distinct_paths(document: Column, max_depth: int) -> Column:
+    """The distinct paths of one document, by a fold over its levels."""
+    nodes = "array<struct<path: string, v: variant, keyed: boolean>>"
+
+    def children(node: Column) -> Column:
+        members = F.try_variant_get(node["v"], "$", "map<string,variant>")
+        elements = F.try_variant_get(node["v"], "$", "array<variant>")
+        return F.coalesce(
+            F.transform(F.map_entries(members), lambda m: F.struct(
+                _below(node["path"], m["key"]).alias("path"), m["value"].alias("v"),
+                F.lit(True).alias("keyed"),
+            )),
+            F.transform(elements, lambda e: F.struct(
+                node["path"].alias("path"), e.alias("v"), F.lit(False).alias("keyed")
+            )),
+            F.array().cast(nodes),
         )
-    levels = F.concat(*(f"l{d}" for d in range(1, max_depth + 1)))
-    too_deep = F.raise_error(F.lit(f"A document nests deeper than max_depth={max_depth}."))
-    unfolded = F.when(F.size(f"l{max_depth + 1}") == 0, levels).otherwise(
-        too_deep.cast("array<struct<path string, v variant, keyed boolean>>")
-    )
-    return level.select(unfolded.alias("nodes")).select(
-        F.transform(
-            F.filter("nodes", lambda n: n["keyed"]),
-            lambda n: F.struct(n["path"].alias("path"), n["v"].alias("v")),
-        ).alias("nodes")
-    )
 
+    def descend(state: Column, _: Column) -> Column:
+        keyed = F.filter(state["open"], lambda n: n["keyed"])
+        return F.struct(
+            F.flatten(F.transform(state["open"], children)).cast(nodes).alias("open"),
+            F.array_union(state["paths"], F.transform(keyed, lambda n: n["path"])).alias("paths"),
+        )
 
-def _type_name(value: Column) -> Column:
-    """Catalog type name of a VARIANT."""
-    scalar = F.schema_of_variant(value)
-    return (
-        F.when(_members(value).isNotNull(), F.lit("object"))
-        .when(_elements(value).isNotNull(), F.lit("array"))
-        .when(F.is_variant_null(value), F.lit("null"))
-        .when(scalar == "STRING", F.lit("string"))
-        .when(scalar == "BOOLEAN", F.lit("boolean"))
-        .when(scalar.startswith("DATE") | scalar.startswith("TIMESTAMP"), F.lit("date"))
-        .when(scalar.isin("BINARY", "UUID"), F.lower(scalar))
-        .otherwise(F.lit("number"))
+    root = F.struct(F.lit("").alias("path"), document.alias("v"), F.lit(False).alias("keyed"))
+    start = F.struct(
+        F.array(root).cast(nodes).alias("open"), F.array().cast("array<string>").alias("paths")
     )
+    levels = F.array_repeat(F.lit(0), max_depth + 1)
+    return F.aggregate(levels, start, descend, lambda state: state["paths"])
 
 
-def _number_text(value: Column) -> Column:
-    """Number text: doubles by their shortest form, exact numbers as they are."""
-    inexact = F.schema_of_variant(value).isin("DOUBLE", "FLOAT")
-    text = F.try_variant_get(value, "$", "string")
-    return F.when(inexact, V.number_form(text.try_cast("double"))).otherwise(
-        V.decimal_form(text)
+def document_paths(documents: DataFrame, column: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """``(path, v)`` of every keyed node of every document, one row each."""
+    return _unfold(documents.select(_root(F.col(column)).alias("r")).select("r.*"), max_depth)
+
+
+def _with_class(nodes: DataFrame) -> DataFrame:
+    """Adds ``class``: the type of ``v``, with inexact numbers told apart."""
+    schema = F.col("_schema")
+    name = (
+        F.when(schema == "STRING", F.lit("string"))
+        .when(schema.startswith("OBJECT"), F.lit("object"))
+        .when(schema.startswith("ARRAY"), F.lit("array"))
+        .when(schema == "VOID", F.lit("null"))
+        .when(schema == "BOOLEAN", F.lit("boolean"))
+        .when(schema.startswith("DATE") | schema.startswith("TIMESTAMP"), F.lit("date"))
+        .when(schema.isin("BINARY", "UUID"), F.lower(schema))
+        .when(schema.isin("DOUBLE", "FLOAT"), F.lit(_INEXACT))
+        .when(schema.isNotNull(), F.lit("number"))
     )
+    named = nodes.withColumn("_schema", F.schema_of_variant("v"))
+    return named.withColumn("class", name).drop("_schema")
 
 
-def _moment_text(value: Column) -> Column:
-    moment = F.try_variant_get(value, "$", "timestamp_ntz")
-    micros = F.timestamp_diff("MICROSECOND", F.expr(V.EPOCH), moment)
-    return V.millis_form(((micros - F.pmod(micros, F.lit(1000))) / 1000).cast("bigint"))
+def _type() -> Column:
+    """Catalog type name of a class."""
+    return F.when(F.col("class") == _INEXACT, F.lit("number")).otherwise(F.col("class"))
 
 
-def document_paths(documents: DataFrame, column: str, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """``(path, v)`` of every keyed node of every document, one row each."""
-    return (
-        _nodes(documents, column, max_depth)
-        .select(F.explode("nodes").alias("node"))
-        .select("node.path", "node.v")
+def _key() -> Column:
+    """Key of a counted text, by its class. Strings already carry theirs."""
+    text, kind = F.col("text"), F.col("class")
+    moment = V.millis_form(V.epoch_millis(text.try_cast("timestamp_ntz"), T.TimestampNTZType()))
+    form = (
+        F.when(kind == "number", V.decimal_form(text))
+        .when(kind == _INEXACT, V.number_form(text.try_cast("double")))
+        .when(kind == "date", moment)
+        .when(kind.isin("string", "boolean"), text)
     )
+    return F.when(kind != "null", F.coalesce(form, F.lit(V.NO_FINGERPRINT)))
 
 
 def infer_fields(documents: DataFrame, column: str, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Dotted paths of a collection, each with the sorted set of its types."""
     return (
-        document_paths(documents, column, max_depth)
-        .select("path", _type_name(F.col("v")).alias("type"))
+        _with_class(document_paths(documents, column, max_depth))
         .groupBy("path")
-        .agg(F.array_sort(F.collect_set("type")).alias("types"))
+        .agg(F.array_sort(F.collect_set(_type())).alias("types"))
     )
 
 
 def _occurrences(documents: DataFrame, column: str, max_depth: int) -> DataFrame:
-    """Node rows, and one presence row per document and path; '' is the document."""
-    node = F.transform(
-        "nodes", lambda n: F.struct(n["path"].alias("path"), n["v"].alias("v"))
-    )
-    seen = F.array_append(
-        F.array_distinct(F.transform("nodes", lambda n: n["path"])), F.lit("")
+    """``(path, v, once)`` of every node, and rows without ``v`` for presence.
+
+    ``once`` nodes stand for their document. Where paths can repeat within a
+    document (containers in arrays, dotted keys), presence has rows of its own;
+    path '' stands for the document itself.
+    """
+    document, simple = F.col(column), F.col("simple")
+    schema = F.schema_of_variant(document)
+    repeats = schema.rlike("ARRAY<(OBJECT|ARRAY|VARIANT)|`")
+    paths = F.when(simple, F.array().cast("array<string>")).otherwise(
+        _distinct_paths(document, max_depth)
     )
     presence = F.transform(
-        seen, lambda p: F.struct(p.alias("path"), F.lit(None).cast("variant").alias("v"))
+        F.array_append(paths, F.lit("")),
+        lambda p: F.struct(
+            p.alias("path"), F.lit(None).cast("variant").alias("v"),
+            F.lit(True).alias("keyed"), F.lit(False).alias("open"),
+        ),
     )
-    return (
-        _nodes(documents, column, max_depth)
-        .select(F.explode(F.concat(node, presence)).alias("node"))
-        .select("node.path", "node.v")
+    roots = documents.select(document, (~repeats).alias("simple")).select(
+        "simple", F.explode(F.array_append(presence, _root(document))).alias("r")
     )
+    return _unfold(roots.select("simple", "r.*"), max_depth, "simple")
 
 
 def document_counts(sources: SourceSet, max_depth: int = MAX_DEPTH) -> DataFrame:
     """``(source…, path, type, key, n, present)`` over all document collections.
 
     ``n`` counts the values of a key, ``present`` the documents with the path.
+    Values are counted as short texts; what those texts mean is worked out once
+    per distinct one, after the count.
+
+    Fields and values are both derived from these counts. They name the same
+    columns and filter on counted ones only, so that their plans agree up to the
+    shuffle of the counts and Spark unfolds the documents once.
     """
-    parts = [
-        _occurrences(entity.data, entity.document, max_depth).select(
-            F.lit(i).alias("source_ord"),
-            F.lit(source.source_id).alias("source_id"),
-            F.lit(entity.namespace).alias("namespace"),
-            F.lit(entity.name).alias("entity"),
-            "path", "v",
-        )
+    collections = [
+        (i, source.source_id, entity)
         for i, source in sources.of_kind(DOCUMENT)
         for entity in source.entities
     ]
-    value, kind = F.col("v"), F.col("type")
-    typed = reduce(DataFrame.unionAll, parts).withColumn("type", _type_name(value))
-    named = typed.withColumn("type", F.when(value.isNotNull(), kind)).withColumns({
-        "text": F.when(kind == "string", F.try_variant_get(value, "$", "string")),
-        "form": F.when(kind == "number", _number_text(value))
-        .when(kind == "boolean", F.try_variant_get(value, "$", "string"))
-        .when(kind == "date", _moment_text(value))
-        .when(kind != "null", F.lit(V.NO_FINGERPRINT)),
+    nodes = reduce(DataFrame.unionAll, [
+        _occurrences(entity.data, entity.document, max_depth).select(
+            F.lit(n).alias("collection"), "path", "v", "simple"
+        )
+        for n, (_, _, entity) in enumerate(collections)
+    ])
+    kind, scalar = F.col("class"), F.try_variant_get("v", "$", "string")
+    texts = _with_class(nodes).withColumns({
+        "string": F.when(kind == "string", scalar),
+        "other": F.when(kind.isin("number", _INEXACT, "boolean", "date"), scalar),
     })
-    return (
-        V.with_text_key(named, "text")
-        .withColumn("key", F.when(kind == "string", F.col("text")).otherwise(F.col("form")))
-        .groupBy(*FIELD, "type", "key")
+    counted = (
+        V.with_text_key(texts, "string")
+        .groupBy("collection", "path", "class", F.coalesce("string", "other").alias("text"))
         .agg(
-            F.count("type").alias("n"),
-            F.count_if(F.col("type").isNull()).alias("present"),
+            F.count("class").alias("n"),
+            F.count_if(F.col("simple") | kind.isNull()).alias("present"),
         )
     )
+    place = F.element_at(
+        F.array(*(
+            F.struct(
+                F.lit(i).alias("source_ord"), F.lit(source_id).alias("source_id"),
+                F.lit(entity.namespace).alias("namespace"), F.lit(entity.name).alias("entity"),
+            )
+            for i, source_id, entity in collections
+        )),
+        F.col("collection") + 1,
+    )
+    return counted.select(
+        place.alias("place"), "path", _type().alias("type"), _key().alias("key"), "n", "present"
+    ).select("place.*", "path", "type", "key", "n", "present")
 
 
 def _field_id() -> Column:
@@ -202,12 +267,15 @@ def document_fields(sources: SourceSet, counts: DataFrame) -> DataFrame:
                 )
     paths = counts.groupBy(*FIELD).agg(
         F.array_sort(F.collect_set("type")).alias("types"),
-        F.sum("present").alias("present"),
+        F.sum(F.when(F.col("n") >= 0, F.col("present"))).alias("present"),
     )
     collection = FIELD[:-1]
-    documents = paths.where("path = ''").select(*collection, F.col("present").alias("documents"))
+    is_document = F.size("types") == 0
+    documents = paths.where(is_document).select(
+        *collection, F.col("present").alias("documents")
+    )
     fields = (
-        paths.where("path != ''")
+        paths.where(~is_document)
         .join(documents, list(collection))
         .withColumns({
             "field_id": _field_id(),
@@ -223,9 +291,9 @@ def document_fields(sources: SourceSet, counts: DataFrame) -> DataFrame:
 def document_value_counts(counts: DataFrame) -> DataFrame:
     """``(field_id, key, n)`` of document values, whatever their types."""
     return (
-        counts.where("type IS NOT NULL")
+        counts.where(F.col("n") > 0)
         .groupBy(*FIELD, "key")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.sum(F.when(F.col("present") >= 0, F.col("n"))).alias("n"))
         .select(_field_id().alias("field_id"), "key", "n")
     )
 
