@@ -53,7 +53,11 @@ def decimal_form(value: Column) -> Column:
 
 
 def number_form(value: Column) -> Column:
-    """Shortest text of a double: plain from 1e-6 up to 1e21, else exponent."""
+    """Shortest text of a double: plain from 1e-6 up to 1e21, else exponent.
+
+    Digits are those of the JVM, which before Java 19 are one too many for a few
+    values; each still has a single text, so equal numbers stay equal.
+    """
     size = F.abs(value)
     text = value.cast("string")
     exponent = F.regexp_replace(F.regexp_replace(text, r"\.0E", "E"), r"E(?=\d)", "e+")
@@ -71,14 +75,20 @@ def number_form(value: Column) -> Column:
 
 
 def epoch_millis(value: Column, data_type: T.DataType) -> Column:
-    """Milliseconds since the epoch of a date or timestamp, rounded down."""
-    if isinstance(data_type, T.DateType):
-        return F.unix_date(value).cast("bigint") * F.lit(_DAY_MILLIS).cast("bigint")
+    """Milliseconds since the epoch of a date or timestamp, rounded down.
+
+    Timestamps without a zone are read off field by field: a difference would go
+    through the session's zone, where some local times do not exist.
+    """
     if isinstance(data_type, T.TimestampType):
         micros = F.unix_micros(value)
-    else:
-        micros = F.timestamp_diff("MICROSECOND", F.expr(EPOCH), value)
-    return ((micros - F.pmod(micros, F.lit(1000))) / 1000).cast("bigint")
+        return ((micros - F.pmod(micros, F.lit(1000))) / 1000).cast("bigint")
+    days = F.unix_date(value.cast("date")).cast("bigint") * F.lit(_DAY_MILLIS).cast("bigint")
+    if isinstance(data_type, T.DateType):
+        return days
+    minutes = F.hour(value) * 60 + F.minute(value)
+    seconds = F.extract(F.lit("SECOND"), value)
+    return days + minutes * 60_000 + F.floor(seconds * 1000).cast("bigint")
 
 
 def millis_form(millis: Column) -> Column:

@@ -1,34 +1,73 @@
-"""From named sources to ranked relationship suggestions."""
+"""From named sources of either kind to ranked relationship suggestions."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldkin.operators.catalog import profiled_fields
+from fieldkin.operators.documents import (
+    MAX_DEPTH,
+    document_counts,
+    document_fields,
+    document_value_counts,
+)
 from fieldkin.operators.overlap import sketch_overlap, value_overlap
 from fieldkin.operators.profile import fingerprint_sketch, sampled
 from fieldkin.operators.relate import best, candidate_pairs, describe, score
 from fieldkin.operators.value_counts import value_counts
-from fieldkin.sources.model import SourceSet
+from fieldkin.sources.model import DOCUMENT, RELATIONAL, SourceSet
 
 MODES = ("exact", "sketch", "sample")
 
 
-def overlaps(sources: SourceSet, mode: str = "exact") -> DataFrame:
+@dataclass(frozen=True)
+class Inspection:
+    """Profiled fields of all sources, and the counts of their values."""
+
+    fields: DataFrame
+    counts: DataFrame
+
+
+def inspect(spark: SparkSession, sources: SourceSet, max_depth: int = MAX_DEPTH) -> Inspection:
+    """Fields and value counts of relational and document sources together."""
+    fields, counts = [], []
+    if sources.of_kind(RELATIONAL):
+        fields.append(profiled_fields(spark, sources))
+        counts.append(value_counts(sources))
+    if sources.of_kind(DOCUMENT):
+        occurrences = document_counts(sources, max_depth)
+        fields.append(document_fields(sources, occurrences))
+        counts.append(document_value_counts(occurrences))
+    if len(fields) == 1:
+        return Inspection(fields[0], counts[0])
+    shared = [c for c in fields[0].columns if c in fields[1].columns]
+    return Inspection(
+        fields[0].select(*shared).unionByName(fields[1].select(*shared)),
+        counts[0].unionByName(counts[1]),
+    )
+
+
+def _overlaps(counts: DataFrame, mode: str) -> DataFrame:
+    return sketch_overlap(fingerprint_sketch(counts)) if mode == "sketch" else value_overlap(counts)
+
+
+def _inspected(spark: SparkSession, sources: SourceSet, mode: str) -> Inspection:
+    if mode not in MODES:
+        raise ValueError(f"Unknown mode: {mode!r}.")
+    return inspect(spark, sampled(sources) if mode == "sample" else sources)
+
+
+def overlaps(spark: SparkSession, sources: SourceSet, mode: str = "exact") -> DataFrame:
     """Value overlap of field pairs, over all values, sketches, or row samples."""
-    if mode == "exact":
-        return value_overlap(value_counts(sources))
-    if mode == "sketch":
-        return sketch_overlap(fingerprint_sketch(value_counts(sources)))
-    if mode == "sample":
-        return value_overlap(value_counts(sampled(sources)))
-    raise ValueError(f"Unknown mode: {mode!r}.")
+    return _overlaps(_inspected(spark, sources, mode).counts, mode)
 
 
 def relationships(spark: SparkSession, sources: SourceSet, mode: str = "exact") -> DataFrame:
     """Every relationship that meets the confidence threshold."""
-    described = describe(profiled_fields(spark, sources))
-    return score(candidate_pairs(described, overlaps(sources, mode)))
+    found = _inspected(spark, sources, mode)
+    return score(candidate_pairs(describe(found.fields), _overlaps(found.counts, mode)))
 
 
 def suggest(spark: SparkSession, sources: SourceSet, mode: str = "exact") -> DataFrame:

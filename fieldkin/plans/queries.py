@@ -250,7 +250,7 @@ def value_overlap(spark: SparkSession, directory: str) -> DataFrame:
 def value_overlap_sketch(spark: SparkSession, directory: str) -> DataFrame:
     sources = warehouse(spark, directory)
     described = relate.describe(catalog.profiled_fields(spark, sources))
-    pairs = discovery.overlaps(sources, "sketch")
+    pairs = discovery.overlaps(spark, sources, "sketch")
     return relate.orient(pairs, described).select(
         *ENDS, "shared", "sampled", _ratio("overlap").alias("overlap")
     )
