@@ -19,6 +19,10 @@ from fieldkin.operators.query import MAX_ROWS
 MAX_PACKED_ROWS = 100
 MAX_PACKED_CHARS = 50_000
 
+#: Rank filters of Spark reach below the shuffle for smaller limits than this.
+EARLY_RANK_LIMIT = 1000
+SLICES = 256
+
 OUTCOME_SCHEMA = pa.schema([
     ("source_ord", pa.int32()), ("source_id", pa.string()), ("kind", pa.string()),
     ("stage", pa.string()), ("status", pa.string()), ("error", pa.string()),
@@ -100,10 +104,23 @@ def _labelled(position: int, query: SourceQuery, result: DataFrame) -> DataFrame
     )
 
 
-def _first_rows(rows: DataFrame, group: Sequence[str], order: Sequence[str], count: int):
-    # The rank filter also runs before the shuffle: a group sends few rows per task.
-    spec = W.partitionBy(*group).orderBy(*order)
-    return rows.withColumn("rn", F.row_number().over(spec)).where(F.col("rn") <= count)
+def _first_rows(
+    rows: DataFrame, group: Sequence[str], order: Sequence[str], count: int
+) -> DataFrame:
+    """The first ``count`` rows of each group, numbered ``rn``.
+
+    Spark also applies a rank filter before the shuffle, so that a group sends few
+    rows per task, but only up to a limit. Beyond it, slices of each group are cut
+    first, so that no group has to be ranked by one task as a whole.
+    """
+    def cut(data: DataFrame, keys: Sequence[str], rank: str) -> DataFrame:
+        spec = W.partitionBy(*keys).orderBy(*order)
+        return data.withColumn(rank, F.row_number().over(spec)).where(F.col(rank) <= count)
+
+    if count >= EARLY_RANK_LIMIT:
+        sliced = rows.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(SLICES)))
+        rows = cut(sliced, [*group, "_slice"], "_rank").drop("_slice", "_rank")
+    return cut(rows, group, "rn")
 
 
 def pack_rows(

@@ -101,7 +101,8 @@ def lookup(
     Matches are gathered per key, at most about ``chunk_rows`` of them in one
     array. Keys with more are spread over several rows, numbered by ``chunk``, so
     that no key has to fit a single task; all other keys have ``chunk`` 0 only.
-    Rows without a match get an empty array.
+    Rows without a match get an empty array. They are found against the distinct
+    keys, which leaves an inner join, the kind Spark can split on either side.
     """
     nested = F.struct(*(columns or right.columns))
     keyed = right.where(F.col(right_column).isNotNull()).select(
@@ -120,14 +121,13 @@ def lookup(
         .groupBy("_key", chunk.alias("chunk"))
         .agg(F.array_sort(F.collect_list("_row")).alias(alias))
     )
-    return (
-        left.join(gathered, left[left_column] == gathered["_key"], "left")
-        .drop("_key")
-        .withColumns({
-            "chunk": F.coalesce("chunk", F.lit(0)),
-            alias: F.coalesce(alias, F.array().cast(gathered.schema[alias].dataType)),
-        })
-    )
+    on = left[left_column] == F.col("_key")
+    matched = left.join(gathered, on).drop("_key")
+    unmatched = left.join(keyed.select("_key").distinct(), on, "left_anti").withColumns({
+        "chunk": F.lit(0),
+        alias: F.array().cast(gathered.schema[alias].dataType),
+    })
+    return matched.unionByName(unmatched)
 
 
 def without_match(
@@ -152,13 +152,27 @@ def ordered_strings(
 
     ``distinct`` drops repeated (order, value) entries before they are gathered,
     with a map-side combine, so that a group is as large as its variety only.
+    Otherwise entries are range partitioned by group and order, which splits large
+    groups; each part is joined on its own and the parts are strung together.
     """
     entries = data.select(*keys, order, value)
     if distinct:
-        entries = entries.distinct()
-    return entries.groupBy(*keys).agg(
-        F.expr(f"listagg(`{value}`, '{separator}') WITHIN GROUP (ORDER BY `{order}`)").alias(alias)
+        return entries.distinct().groupBy(*keys).agg(_listed(value, separator, order, alias))
+    parts = (
+        entries.where(F.col(value).isNotNull())
+        .repartitionByRange(*keys, order)
+        .withColumn("_part", F.spark_partition_id())
+        .groupBy(*keys, "_part")
+        .agg(_listed(value, separator, order, "_text"))
     )
+    strings = parts.groupBy(*keys).agg(_listed("_text", separator, "_part", alias))
+    groups = entries.select(*keys).distinct()
+    return groups.join(strings, list(keys), "left")
+
+
+def _listed(value: str, separator: str, order: str, alias: str) -> Column:
+    text = separator.replace("\\", "\\\\").replace("'", "\\'")
+    return F.expr(f"listagg(`{value}`, '{text}') WITHIN GROUP (ORDER BY `{order}`)").alias(alias)
 
 
 def _contains(column: Column, fragment: str) -> Column:

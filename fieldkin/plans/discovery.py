@@ -66,7 +66,11 @@ def overlaps(spark: SparkSession, sources: SourceSet, mode: str = "exact") -> Da
 
 def relationships(spark: SparkSession, sources: SourceSet, mode: str = "exact") -> DataFrame:
     """Every relationship that meets the confidence threshold."""
-    found = _inspected(spark, sources, mode)
+    return related(_inspected(spark, sources, mode), mode)
+
+
+def related(found: Inspection, mode: str = "exact") -> DataFrame:
+    """Relationships of an inspection, whose parts may have been kept in files."""
     return score(candidate_pairs(describe(found.fields), _overlaps(found.counts, mode)))
 
 

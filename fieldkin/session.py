@@ -7,8 +7,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str | None = None, app: str = "fieldkin") -> SparkSession:
@@ -28,10 +29,27 @@ def local_session(cores: int | str | None = None, app: str = "fieldkin") -> Spar
     return spark
 
 
-def checkpoint_directory(spark: SparkSession) -> str:
-    """Where lineage may be cut: the cluster's folder, or a new one where none is set."""
+def shared_directory(spark: SparkSession) -> str:
+    """The folder all executors see: ``spark.checkpoint.dir`` of the session.
+
+    A local session that names none gets a new temporary folder; a cluster has to
+    name one, since a folder of one machine would not survive its loss.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None:
-        configured = tempfile.mkdtemp(prefix="fieldkin-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured
+    if configured:
+        return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("Set spark.checkpoint.dir to a folder all executors share.")
+    return tempfile.mkdtemp(prefix="fieldkin-")
+
+
+def keep(data: DataFrame, name: str) -> DataFrame:
+    """Write a result to the shared folder and read it back, cutting its lineage.
+
+    For results that several queries start from, such as value counts: they are
+    then computed once, and lost executors do not cost them.
+    """
+    spark = data.sparkSession
+    path = f"{shared_directory(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    data.write.parquet(path)
+    return spark.read.schema(data.schema).parquet(path)

@@ -10,6 +10,7 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldkin.sources.model import DOCUMENT, RELATIONAL
 
@@ -17,9 +18,18 @@ from fieldkin.sources.model import DOCUMENT, RELATIONAL
 DOCUMENT_COLUMN = "document"
 
 
-def read_files(spark: SparkSession, path: str, format: str = "parquet", **options) -> DataFrame:
-    """A table kept in files of any format Spark reads."""
-    return spark.read.format(format).options(**options).load(path)
+def read_files(
+    spark: SparkSession,
+    path: str,
+    format: str = "parquet",
+    schema: T.StructType | str | None = None,
+    **options,
+) -> DataFrame:
+    """A table kept in files of any format Spark reads.
+
+    Give the schema where it is known: without one, Spark opens files to infer it.
+    """
+    return spark.read.format(format).options(**options).load(path, schema=schema)
 
 
 def read_database(

@@ -86,6 +86,13 @@ def test_packing_ranks_before_it_shuffles(spark):
     assert "row_number(), 101, Partial" in plan and plan.count("Exchange hashpartitioning") == 1
 
 
+def test_packing_many_rows_slices_large_groups(spark):
+    data = spark.range(5000).select((F.col("id") % 2).alias("g"), "id")
+    row = B.pack_summary(B.pack_rows(data, ["g"], ["id"], ["id"], 2000, 10**9), ["g"]).where("g = 1").first()
+    assert (row.kept_rows, row.truncated) == (2000, True)
+    assert row.kept_chars == sum(len(f'{{"id":{i}}}') for i in range(1, 4000, 2))
+
+
 def shared(spark, groups, max_rows, max_chars):
     rows = [(g, i, "x" * n) for g, lengths in enumerate(groups) for i, n in enumerate(lengths)]
     data = spark.createDataFrame(rows, "source_ord int, row_no int, row string")

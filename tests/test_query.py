@@ -133,6 +133,19 @@ def test_ordered_strings(spark):
     assert got()["charizard"] == "fire/fire/flying"
 
 
+def test_ordered_strings_of_a_large_group_are_whole(spark):
+    data = spark.range(5000).select(
+        F.when(F.col("id") % 10 < 9, "hot").otherwise("cold").alias("g"),
+        (F.lit(7919) * F.col("id") % 5000).alias("o"),
+    ).withColumn("v", F.col("o").cast("string"))
+    empty = spark.createDataFrame([("none", 1, None)], "g string, o bigint, v string")
+    rows = q.ordered_strings(data.unionByName(empty), ["g"], "v", "o", "'", "s").collect()
+    wanted = {}
+    for r in data.orderBy("o").collect():
+        wanted.setdefault(r.g, []).append(r.v)
+    assert {r.g: r.s for r in rows} == {**{g: "'".join(v) for g, v in wanted.items()}, "none": None}
+
+
 def test_tolerant_match(spark):
     data = spark.createDataFrame([("Pikachu",), ("PIKchu",), ("Mew_",), ("Mewtwo",), (None,)], "name string")
     got = {r.name: r.match_rank for r in q.tolerant_match(data, "name", {"pikachu": "pik"}).collect()}

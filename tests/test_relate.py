@@ -12,6 +12,7 @@ from fieldkin.operators import overlap, profile, relate
 from fieldkin.operators.catalog import catalog_fields, catalog_keys, declared_keys, profiled_fields
 from fieldkin.operators.value_counts import value_counts
 from fieldkin.plans import discovery
+from fieldkin.session import keep
 from fieldkin.sources.model import RELATIONAL, Entity, Key, Source, SourceSet
 
 
@@ -215,6 +216,15 @@ def test_sample_mode_is_repeatable(spark, sources):
         discovery.overlaps(spark, sources, "guess")
 
 
+def test_kept_counts_serve_every_query(spark, sources):
+    found = discovery.inspect(spark, sources)
+    kept = discovery.Inspection(found.fields, keep(found.counts, "counts"))
+    assert "l_shipdate" not in kept.counts._jdf.queryExecution().toString()
+    assert discovery.related(kept).count() == discovery.relationships(spark, sources).count()
+    rows = profile.field_profile(spark, sources, kept.counts).collect()
+    assert len(rows) == 45 and sum(r.sampled_value_count for r in rows) > 0
+
+
 def test_plans_have_no_python_and_no_pair_loop(spark, sources):
     for data in (
         discovery.suggest(spark, sources), discovery.suggest(spark, sources, "sketch"),
