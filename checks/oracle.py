@@ -443,9 +443,11 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "catalog_keys": f"""
         WITH {_fields()}, {_counts()}
-        SELECT source_id, entity,
+        SELECT source_id, 'relational' AS kind, entity,
+          CASE WHEN bool_or(is_key) THEN entity || '_pkey' ELSE '' END AS indexes,
           CASE WHEN bool_or(is_key) THEN entity || '_pkey' END AS key_name,
-          coalesce(max(path) FILTER (WHERE is_key), '') AS key_fields, any_value(row_count) AS row_count
+          coalesce(max(path) FILTER (WHERE is_key), '') AS key_fields, '' AS unique_fields,
+          any_value(row_count) AS row_count
         FROM fields JOIN counts USING (source_id, entity) GROUP BY source_id, entity
     """,
     "infer_fields_props": f"""

@@ -162,10 +162,6 @@ def key_fingerprint(key: Column) -> Column:
     return F.when(F.length(key) == FINGERPRINT_LENGTH, key).otherwise(fingerprint(key))
 
 
-def has_fingerprint(key: Column, n: Column) -> Column:
-    """Whether counted values have a fingerprint.
-
-    A test of the key alone would be pushed below the count, and with it the
-    making of texts from numbers, once per row. Asking ``n`` keeps it above.
-    """
-    return F.when(n > 0, key.isNotNull() & (key != NO_FINGERPRINT))
+def is_comparable(key: Column) -> Column:
+    """Whether a key stands for a value that has a fingerprint."""
+    return key.isNotNull() & (key != NO_FINGERPRINT)

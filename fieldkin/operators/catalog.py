@@ -24,6 +24,11 @@ FIELD_SCHEMA = pa.schema([
     ("primary_key", pa.bool_()), ("unique", pa.bool_()), ("declared_nullable", pa.bool_()),
 ])
 
+ENTITY_SCHEMA = pa.schema([
+    ("source_ord", pa.int32()), ("source_id", pa.string()), ("kind", pa.string()),
+    ("namespace", pa.string()), ("entity", pa.string()), ("indexes", pa.list_(pa.string())),
+])
+
 KEY_SCHEMA = pa.schema([
     ("source_ord", pa.int32()), ("source_id", pa.string()), ("namespace", pa.string()),
     ("entity", pa.string()), ("key_name", pa.string()), ("key_type", pa.string()),
@@ -113,23 +118,41 @@ def declared_keys(spark: SparkSession, sources: SourceSet) -> DataFrame:
     return local_rows(spark, rows, KEY_SCHEMA)
 
 
-def catalog_keys(fields: DataFrame, keys: DataFrame) -> DataFrame:
-    """Primary keys of every cataloged entity, columns in key order.
+def catalog_entities(spark: SparkSession, sources: SourceSet) -> DataFrame:
+    """Every entity of every source with the names of its indexes."""
+    rows = [
+        (i, source.source_id, source.kind, entity.namespace, entity.name, sorted(entity.indexes))
+        for i, source in enumerate(sources)
+        for entity in source.entities
+    ]
+    return local_rows(spark, rows, ENTITY_SCHEMA)
+
+
+def catalog_keys(entities: DataFrame, keys: DataFrame) -> DataFrame:
+    """Primary keys of every cataloged entity, columns in key order, and its unique columns.
 
     Entities without a key keep one row with an empty list; keys of entities
     that are not in the catalog are left out.
     """
     entity = ["source_ord", "source_id", "namespace", "entity"]
-    listed = F.array_sort(F.collect_list(F.struct("ordinal", "path")))
+    listed = F.transform(
+        F.array_sort(F.collect_list(F.struct("ordinal", "path"))), lambda k: k["path"]
+    )
     primary = (
         keys.where(F.col("key_type") == "primary")
         .groupBy(*entity, "key_name")
-        .agg(F.transform(listed, lambda k: k["path"]).alias("key_fields"))
+        .agg(listed.alias("key_fields"))
+    )
+    unique = (
+        keys.where(F.col("key_type") == "unique")
+        .groupBy(*entity)
+        .agg(F.array_sort(F.collect_set("path")).alias("unique_fields"))
     )
-    return fields.select(*entity).distinct().join(primary, entity, "left").select(
-        *entity,
-        "key_name",
-        F.coalesce("key_fields", F.array().cast("array<string>")).alias("key_fields"),
+    none = F.array().cast("array<string>")
+    return entities.join(primary, entity, "left").join(unique, entity, "left").select(
+        *entity, "kind", "indexes", "key_name",
+        F.coalesce("key_fields", none).alias("key_fields"),
+        F.coalesce("unique_fields", none).alias("unique_fields"),
     )
 
 

@@ -37,7 +37,7 @@ def _below(path: Column, key: Column) -> Column:
     """Path of a member; an array element (no key) keeps the path of its array."""
     return (
         F.when(key.isNull(), path)
-        .when(path == "", key)
+        .when(path.isNull() | (path == ""), key)
         .otherwise(F.concat(path, F.lit("."), key))
     )
 
@@ -46,60 +46,58 @@ def _too_deep(max_depth: int) -> Column:
     return F.raise_error(F.lit(f"A document nests deeper than max_depth={max_depth}."))
 
 
-def _unfold(roots: DataFrame, max_depth: int, *carried: str) -> DataFrame:
-    """All keyed nodes below the open rows of ``(path, v, keyed, open)``.
+def _unfold(documents: DataFrame, column: str, max_depth: int) -> DataFrame:
+    """``(path, v, once, root)``: each document, without a path, and its keyed nodes.
 
-    Rows that are not open are passed through. A level first splits each open row
-    into itself and a request for its members, then answers the request.
+    A level first splits each open row into itself and a request for its members,
+    then answers the request. ``once`` nodes cannot repeat within their document:
+    no array is above them, and no key of the document contains a dot.
     """
-    members = roots.sparkSession.tvf.variant_explode_outer
-    rows = roots
+    document = F.col(column)
+    dotted = F.contains(F.schema_of_variant(document), F.lit("`"))
+    rows = documents.select(
+        F.lit(None).cast("string").alias("path"), document.alias("v"), (~dotted).alias("once"),
+        F.lit(True).alias("root"), F.lit(True).alias("keyed"), F.lit(True).alias("open"),
+    )
     for level in range(max_depth + 1):
         split = F.when(F.col("open"), F.array(F.lit(False), F.lit(True))).otherwise(
             F.array(F.lit(False))
         )
         asked = F.when(F.col("descend").outer(), F.col("v").outer())
-        child = _below(F.col("path"), F.col("key"))
+        member, has_key = F.col("descend"), F.col("key").isNotNull()
+        path = _below(F.col("path"), F.col("key"))
         if level == max_depth:
-            child = _too_deep(max_depth).cast("string")
-        descend = F.col("descend")
+            path = _too_deep(max_depth).cast("string")
         rows = (
             rows.withColumn("descend", F.explode(split))
-            .lateralJoin(members(asked))
-            .where(~descend | F.col("value").isNotNull())
+            .lateralJoin(rows.sparkSession.tvf.variant_explode_outer(asked))
+            .where(~member | F.col("value").isNotNull())
             .select(
-                *carried,
-                F.when(descend, child).otherwise(F.col("path")).alias("path"),
-                F.when(descend, F.col("value")).otherwise(F.col("v")).alias("v"),
-                F.when(descend, F.col("key").isNotNull()).otherwise(F.col("keyed")).alias("keyed"),
-                descend.alias("open"),
+                F.when(member, path).otherwise(F.col("path")).alias("path"),
+                F.when(member, F.col("value")).otherwise(F.col("v")).alias("v"),
+                (F.col("once") & (~member | has_key)).alias("once"),
+                (F.col("root") & ~member).alias("root"),
+                F.when(member, has_key).otherwise(F.col("keyed")).alias("keyed"),
+                member.alias("open"),
             )
         )
-    return rows.where("keyed").select(*carried, "path", "v")
-
-
-def _root(value: Column) -> Column:
-    return F.struct(
-        F.lit("").alias("path"), value.alias("v"),
-        F.lit(False).alias("keyed"), F.lit(True).alias("open"),
-    )
+    return rows.where("keyed").select("path", "v", "once", "root")
 
 
-def _distinct_paths(document: Column, max_depth: int) -> Column:
-    """The distinct paths of one document, by a fold over its levels."""
+def _paths_within(value: Column, path: Column, max_depth: int) -> Column:
+    """The distinct paths below one node, by a fold over its levels."""
     nodes = "array<struct<path: string, v: variant, keyed: boolean>>"
 
-    def children(node: Column) -> Column:
-        members = F.try_variant_get(node["v"], "$", "map<string,variant>")
-        elements = F.try_variant_get(node["v"], "$", "array<variant>")
+    def node(at: Column, v: Column, keyed: bool) -> Column:
+        return F.struct(at.alias("path"), v.alias("v"), F.lit(keyed).alias("keyed"))
+
+    def children(parent: Column) -> Column:
+        at, v = parent["path"], parent["v"]
+        members = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+        elements = F.try_variant_get(v, "$", "array<variant>")
         return F.coalesce(
-            F.transform(F.map_entries(members), lambda m: F.struct(
-                _below(node["path"], m["key"]).alias("path"), m["value"].alias("v"),
-                F.lit(True).alias("keyed"),
-            )),
-            F.transform(elements, lambda e: F.struct(
-                node["path"].alias("path"), e.alias("v"), F.lit(False).alias("keyed")
-            )),
+            F.transform(members, lambda m: node(_below(at, m["key"]), m["value"], True)),
+            F.transform(elements, lambda e: node(at, e, False)),
             F.array().cast(nodes),
         )
 
@@ -110,9 +108,9 @@ def _distinct_paths(document: Column, max_depth: int) -> Column:
             F.array_union(state["paths"], F.transform(keyed, lambda n: n["path"])).alias("paths"),
         )
 
-    root = F.struct(F.lit("").alias("path"), document.alias("v"), F.lit(False).alias("keyed"))
     start = F.struct(
-        F.array(root).cast(nodes).alias("open"), F.array().cast("array<string>").alias("paths")
+        F.array(node(path, value, False)).cast(nodes).alias("open"),
+        F.array().cast("array<string>").alias("paths"),
     )
     levels = F.array_repeat(F.lit(0), max_depth + 1)
     return F.aggregate(levels, start, descend, lambda state: state["paths"])
@@ -120,7 +118,7 @@ def _distinct_paths(document: Column, max_depth: int) -> Column:
 
 def document_paths(documents: DataFrame, column: str, max_depth: int = MAX_DEPTH) -> DataFrame:
     """``(path, v)`` of every keyed node of every document, one row each."""
-    return _unfold(documents.select(_root(F.col(column)).alias("r")).select("r.*"), max_depth)
+    return _unfold(documents, column, max_depth).where(~F.col("root")).select("path", "v")
 
 
 def _with_class(nodes: DataFrame) -> DataFrame:
@@ -137,8 +135,7 @@ def _with_class(nodes: DataFrame) -> DataFrame:
         .when(schema.isin("DOUBLE", "FLOAT"), F.lit(_INEXACT))
         .when(schema.isNotNull(), F.lit("number"))
     )
-    named = nodes.withColumn("_schema", F.schema_of_variant("v"))
-    return named.withColumn("class", name).drop("_schema")
+    return nodes.withColumn("_schema", F.schema_of_variant("v")).withColumn("class", name)
 
 
 def _type() -> Column:
@@ -169,29 +166,27 @@ def infer_fields(documents: DataFrame, column: str, max_depth: int = MAX_DEPTH)
 
 
 def _occurrences(documents: DataFrame, column: str, max_depth: int) -> DataFrame:
-    """``(path, v, once)`` of every node, and rows without ``v`` for presence.
+    """``(path, v, class, once)`` of every node, and rows without class for presence.
 
-    ``once`` nodes stand for their document. Where paths can repeat within a
-    document (containers in arrays, dotted keys), presence has rows of its own;
-    path '' stands for the document itself.
+    ``once`` nodes stand for their document. Where paths can repeat, below an array
+    of containers or anywhere in a document with dotted keys, the distinct paths are
+    gathered and presence has rows of its own. No path stands for the document.
     """
-    document, simple = F.col(column), F.col("simple")
-    schema = F.schema_of_variant(document)
-    repeats = schema.rlike("ARRAY<(OBJECT|ARRAY|VARIANT)|`")
-    paths = F.when(simple, F.array().cast("array<string>")).otherwise(
-        _distinct_paths(document, max_depth)
-    )
-    presence = F.transform(
-        F.array_append(paths, F.lit("")),
-        lambda p: F.struct(
-            p.alias("path"), F.lit(None).cast("variant").alias("v"),
-            F.lit(True).alias("keyed"), F.lit(False).alias("open"),
-        ),
+    nodes = _with_class(_unfold(documents, column, max_depth))
+    once, root = F.col("once"), F.col("root")
+    nested_array = F.col("_schema").rlike("^ARRAY<(OBJECT|ARRAY|VARIANT)")
+    gathered = F.when(
+        (root & ~once) | (~root & once & nested_array),
+        _paths_within(F.col("v"), F.col("path"), max_depth),
+    ).otherwise(F.array().cast("array<string>"))
+    itself = F.lit(None).cast("string")
+    seen = F.col("seen")
+    return nodes.withColumn("seen", F.explode(F.array_append(gathered, itself))).select(
+        F.coalesce(seen, "path").alias("path"),
+        F.when(seen.isNull(), F.col("v")).alias("v"),
+        F.when(seen.isNull() & ~root, F.col("class")).alias("class"),
+        once.alias("once"),
     )
-    roots = documents.select(document, (~repeats).alias("simple")).select(
-        "simple", F.explode(F.array_append(presence, _root(document))).alias("r")
-    )
-    return _unfold(roots.select("simple", "r.*"), max_depth, "simple")
 
 
 def document_counts(sources: SourceSet, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -212,12 +207,12 @@ def document_counts(sources: SourceSet, max_depth: int = MAX_DEPTH) -> DataFrame
     ]
     nodes = reduce(DataFrame.unionAll, [
         _occurrences(entity.data, entity.document, max_depth).select(
-            F.lit(n).alias("collection"), "path", "v", "simple"
+            F.lit(n).alias("collection"), "path", "v", "class", "once"
         )
         for n, (_, _, entity) in enumerate(collections)
     ])
     kind, scalar = F.col("class"), F.try_variant_get("v", "$", "string")
-    texts = _with_class(nodes).withColumns({
+    texts = nodes.withColumns({
         "string": F.when(kind == "string", scalar),
         "other": F.when(kind.isin("number", _INEXACT, "boolean", "date"), scalar),
     })
@@ -226,7 +221,7 @@ def document_counts(sources: SourceSet, max_depth: int = MAX_DEPTH) -> DataFrame
         .groupBy("collection", "path", "class", F.coalesce("string", "other").alias("text"))
         .agg(
             F.count("class").alias("n"),
-            F.count_if(F.col("simple") | kind.isNull()).alias("present"),
+            F.count_if(F.col("once") | kind.isNull()).alias("present"),
         )
     )
     place = F.element_at(
@@ -289,12 +284,15 @@ def document_fields(sources: SourceSet, counts: DataFrame) -> DataFrame:
 
 
 def document_value_counts(counts: DataFrame) -> DataFrame:
-    """``(field_id, key, n)`` of document values, whatever their types."""
+    """``(field_id, key, n, comparable)`` of document values, whatever their types."""
     return (
         counts.where(F.col("n") > 0)
         .groupBy(*FIELD, "key")
         .agg(F.sum(F.when(F.col("present") >= 0, F.col("n"))).alias("n"))
-        .select(_field_id().alias("field_id"), "key", "n")
+        .select(
+            _field_id().alias("field_id"), "key", "n",
+            V.is_comparable(F.col("key")).alias("comparable"),
+        )
     )
 
 

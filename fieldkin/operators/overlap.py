@@ -12,14 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldkin.functions import values as V
-from fieldkin.operators.profile import MAX_FINGERPRINTS, fingerprint_sketch
+from fieldkin.operators.profile import MAX_FINGERPRINTS, comparable
 
 
 def value_signatures(counts: DataFrame) -> DataFrame:
     """``(fields, n)``: how many distinct values occur in exactly these fields."""
     return (
-        counts.where(V.has_fingerprint(F.col("key"), F.col("n")))
+        counts.where(comparable())
         .groupBy("key")
         .agg(F.sort_array(F.collect_set("field_id")).alias("fields"))
         .groupBy("fields")

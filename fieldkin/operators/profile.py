@@ -23,9 +23,19 @@ PROFILE_COLUMNS = (
 )
 
 
+def comparable() -> Column:
+    """Whether counted values have a fingerprint.
+
+    The answer of the counts alone would be pushed below them, and queries that
+    filter would not share the shuffle of those that do not. Asking ``n`` keeps
+    the filter above.
+    """
+    return F.when(F.col("n") > 0, F.col("comparable"))
+
+
 def field_statistics(counts: DataFrame) -> DataFrame:
     """Values, distinct values and nulls per field, from value counts."""
-    valued = V.has_fingerprint(F.col("key"), F.col("n"))
+    valued = comparable()
     return counts.groupBy("field_id").agg(
         F.sum(F.when(valued, F.col("n")).otherwise(0)).alias("sampled_value_count"),
         F.count_if(valued).alias("distinct_count"),
@@ -40,7 +50,7 @@ def fingerprint_sketch(counts: DataFrame, size: int = MAX_FINGERPRINTS) -> DataF
     rank filter is applied before the shuffle as well, so a task sends at most
     ``size`` rows per field however many distinct values the field has.
     """
-    ranked = counts.where(V.has_fingerprint(F.col("key"), F.col("n"))).select(
+    ranked = counts.where(comparable()).select(
         "field_id", V.key_fingerprint(F.col("key")).alias("fingerprint")
     )
     rank = F.row_number().over(W.partitionBy("field_id").orderBy("fingerprint"))

@@ -1,6 +1,6 @@
 """How often each value occurs in each field: the base of every profile.
 
-One long form, ``(field_id, key, n)``, one row per distinct value of a field,
+One long form, ``(field_id, key, n, comparable)``, one row per distinct value of a field,
 serves profiles, sketches, uniqueness and overlap. Columns are unpivoted and
 counted in their own type first and turned into keys afterwards, so the text of
 a number or date is made once per distinct value, not once per row. The scans of
@@ -21,8 +21,9 @@ from fieldkin.functions import values as V
 from fieldkin.operators.catalog import FieldRef, profiled_columns
 from fieldkin.sources.model import SourceSet
 
-#: A null key counts the nulls of a field, an empty key its values without form.
-COLUMNS = ("field_id", "key", "n")
+#: A null key counts the nulls of a field, an empty key its values without form;
+#: all other values are ``comparable``.
+COLUMNS = ("field_id", "key", "n", "comparable")
 
 
 def _integers(field: FieldRef) -> Column | None:
@@ -95,21 +96,24 @@ def _double_key() -> Column:
 
 
 def value_counts(sources: SourceSet) -> DataFrame:
-    """``(field_id, key, n)`` of every profiled column of the relational sources."""
-    tables = profiled_columns(sources)
+    """``(field_id, key, n, comparable)`` of the profiled columns of relational sources."""
+    tables, value = profiled_columns(sources), F.col("value")
+    present = value.isNotNull()
     counted = []
-    for take, key in (
-        (_integers, _integer_key(tables)),
-        (_doubles, _double_key()),
-        (_decimals, V.decimal_form(F.col("value"))),
+    for take, key, comparable in (
+        (_integers, _integer_key(tables), present),
+        (_doubles, _double_key(), present & (F.abs(value) < float("inf"))),
+        (_decimals, V.decimal_form(value), present),
     ):
         stream = _stream(tables, take)
         if stream is not None:
-            counted.append(_count(stream).withColumn("value", key))
+            counted.append(_count(stream).select("field", key.alias("key"), "n", comparable))
     # Text is the exception: keys first, so that no long text is shuffled.
     texts = _stream(tables, _texts)
     if texts is not None:
-        counted.append(_count(V.with_text_key(texts, "value")))
-    return reduce(DataFrame.unionAll, counted).select(
-        F.col("field").cast("bigint").alias("field_id"), F.col("value").alias("key"), "n"
+        counted.append(_count(V.with_text_key(texts, "value")).select(
+            "field", "value", "n", present & (value != V.NO_FINGERPRINT)
+        ))
+    return reduce(DataFrame.unionAll, counted).toDF("field", *COLUMNS[1:]).select(
+        F.col("field").cast("bigint").alias("field_id"), *COLUMNS[1:]
     )

@@ -67,10 +67,12 @@ def catalog_fields(spark: SparkSession, directory: str) -> DataFrame:
 def catalog_keys(spark: SparkSession, directory: str) -> DataFrame:
     sources = warehouse(spark, directory)
     keys = catalog.catalog_keys(
-        catalog.catalog_fields(spark, sources), catalog.declared_keys(spark, sources)
+        catalog.catalog_entities(spark, sources), catalog.declared_keys(spark, sources)
     )
     return keys.join(catalog.row_counts(sources), ["source_id", "namespace", "entity"]).select(
-        "source_id", "entity", "key_name", _joined("key_fields").alias("key_fields"), "row_count"
+        "source_id", "kind", "entity", _joined("indexes").alias("indexes"), "key_name",
+        _joined("key_fields").alias("key_fields"),
+        _joined("unique_fields").alias("unique_fields"), "row_count",
     )
 
 

@@ -9,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldkin.operators import overlap, profile, relate
-from fieldkin.operators.catalog import catalog_fields, catalog_keys, declared_keys, profiled_fields
+from fieldkin.operators.catalog import (
+    catalog_entities, catalog_fields, catalog_keys, declared_keys, profiled_fields,
+)
 from fieldkin.operators.value_counts import value_counts
 from fieldkin.plans import discovery
 from fieldkin.session import keep
@@ -72,7 +74,9 @@ def test_catalog_keeps_unprofiled_columns_and_key_order(spark):
     data = table(spark, [], "tenant_id int, id int, payload binary, tags array<string>, "
                             "at timestamp, m map<string,int>")
     sources = SourceSet([
-        source("a", Entity("public", "orders", data, keys=(Key("pk", "primary", ("tenant_id", "id")),))),
+        source("a", Entity("public", "orders", data, indexes=("z_idx", "a_idx"), keys=(
+            Key("pk", "primary", ("tenant_id", "id")), Key("u", "unique", ("tags", "at")),
+            Key("v", "unique", ("at",))))),
         source("b", Entity("public", "plain", table(spark, [], "x float"))),
     ])
     fields = catalog_fields(spark, sources)
@@ -81,9 +85,13 @@ def test_catalog_keeps_unprofiled_columns_and_key_order(spark):
                      "at": "timestamp with time zone", "m": "map<string,int>", "x": "real"}
     profiled = {r.path for r in profiled_fields(spark, sources).collect()}
     assert profiled == {"tenant_id", "id", "at", "x"}
-    keys = {r.entity: (r.key_name, r.key_fields)
-            for r in catalog_keys(fields, declared_keys(spark, sources)).collect()}
-    assert keys == {"orders": ("pk", ["tenant_id", "id"]), "plain": (None, [])}
+    entities = catalog_entities(spark, sources)
+    keys = {r.entity: (r.key_name, r.key_fields, r.unique_fields, r.indexes)
+            for r in catalog_keys(entities, declared_keys(spark, sources)).collect()}
+    assert keys == {
+        "orders": ("pk", ["tenant_id", "id"], ["at", "tags"], ["a_idx", "z_idx"]),
+        "plain": (None, [], [], []),
+    }
     assert {r.path: r.primary_key for r in fields.where("entity = 'orders'").collect()}["tenant_id"]
 
 
