@@ -15,12 +15,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldkin.functions import values as V
-from fieldkin.operators.catalog import with_families
+from fieldkin.operators.catalog import local_rows, with_families
 from fieldkin.operators.profile import assemble
 from fieldkin.sources.model import DOCUMENT, SourceSet
 
@@ -30,6 +31,15 @@ MAX_DEPTH = 8
 
 _INEXACT = "double"
 
+# Schema text of an array of objects without containers or unusual keys.
+_FLAT_OBJECTS = r"^ARRAY<OBJECT<(?:\w+: [A-Z_]+(?:\(\d+,\d+\))?(?:, )?)*+>>$"
+_FLAT_KEY = r"(\w+): "
+
+PLACE_SCHEMA = pa.schema([
+    ("collection", pa.int32()), ("source_ord", pa.int32()), ("source_id", pa.string()),
+    ("namespace", pa.string()), ("entity", pa.string()),
+])
+
 FIELD = ("source_ord", "source_id", "namespace", "entity", "path")
 
 
@@ -103,10 +113,11 @@ def _paths_within(value: Column, path: Column, max_depth: int) -> Column:
 
     def descend(state: Column, _: Column) -> Column:
         keyed = F.filter(state["open"], lambda n: n["keyed"])
-        return F.struct(
+        below = F.struct(
             F.flatten(F.transform(state["open"], children)).cast(nodes).alias("open"),
             F.array_union(state["paths"], F.transform(keyed, lambda n: n["path"])).alias("paths"),
         )
+        return F.when(F.size(state["open"]) > 0, below).otherwise(state)
 
     start = F.struct(
         F.array(node(path, value, False)).cast(nodes).alias("open"),
@@ -143,17 +154,23 @@ def _type() -> Column:
     return F.when(F.col("class") == _INEXACT, F.lit("number")).otherwise(F.col("class"))
 
 
-def _key() -> Column:
-    """Key of a counted text, by its class. Strings already carry theirs."""
+def _with_key(counted: DataFrame) -> DataFrame:
+    """Adds the key of a counted text, by its class. Strings already carry theirs."""
     text, kind = F.col("text"), F.col("class")
-    moment = V.millis_form(V.epoch_millis(text.try_cast("timestamp_ntz"), T.TimestampNTZType()))
+    moment = F.when(kind == "date", text.try_cast("timestamp_ntz"))
+    read = counted.withColumns({
+        "_inexact": F.when(kind == _INEXACT, text.try_cast("double")),
+        "_millis": V.epoch_millis(moment, T.TimestampNTZType()),
+    })
     form = (
-        F.when(kind == "number", V.decimal_form(text))
-        .when(kind == _INEXACT, V.number_form(text.try_cast("double")))
-        .when(kind == "date", moment)
-        .when(kind.isin("string", "boolean"), text)
+        F.when(kind.isin("string", "boolean"), text)
+        .when(kind == "number", V.decimal_form(text))
+        .when(kind == _INEXACT, V.number_form(F.col("_inexact")))
+        .when(kind == "date", V.millis_form(F.col("_millis")))
+    )
+    return read.withColumn(
+        "key", F.when(kind != "null", F.coalesce(form, F.lit(V.NO_FINGERPRINT)))
     )
-    return F.when(kind != "null", F.coalesce(form, F.lit(V.NO_FINGERPRINT)))
 
 
 def infer_fields(documents: DataFrame, column: str, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -171,14 +188,21 @@ def _occurrences(documents: DataFrame, column: str, max_depth: int) -> DataFrame
     ``once`` nodes stand for their document. Where paths can repeat, below an array
     of containers or anywhere in a document with dotted keys, the distinct paths are
     gathered and presence has rows of its own. No path stands for the document.
+    The schema of an array of plain objects already lists the keys of all of them;
+    for anything else the values are gone through.
     """
     nodes = _with_class(_unfold(documents, column, max_depth))
     once, root = F.col("once"), F.col("root")
-    nested_array = F.col("_schema").rlike("^ARRAY<(OBJECT|ARRAY|VARIANT)")
-    gathered = F.when(
-        (root & ~once) | (~root & once & nested_array),
-        _paths_within(F.col("v"), F.col("path"), max_depth),
-    ).otherwise(F.array().cast("array<string>"))
+    schema, path = F.col("_schema"), F.col("path")
+    outer_array = ~root & once & schema.rlike("^ARRAY<(OBJECT|ARRAY|VARIANT)")
+    keys = F.regexp_extract_all(schema, F.lit(_FLAT_KEY), F.lit(1))
+    gathered = (
+        F.when(outer_array & schema.rlike(_FLAT_OBJECTS), F.transform(
+            keys, lambda key: _below(path, key)
+        ))
+        .when((root & ~once) | outer_array, _paths_within(F.col("v"), path, max_depth))
+        .otherwise(F.array().cast("array<string>"))
+    )
     itself = F.lit(None).cast("string")
     seen = F.col("seen")
     return nodes.withColumn("seen", F.explode(F.array_append(gathered, itself))).select(
@@ -224,19 +248,13 @@ def document_counts(sources: SourceSet, max_depth: int = MAX_DEPTH) -> DataFrame
             F.count_if(F.col("once") | kind.isNull()).alias("present"),
         )
     )
-    place = F.element_at(
-        F.array(*(
-            F.struct(
-                F.lit(i).alias("source_ord"), F.lit(source_id).alias("source_id"),
-                F.lit(entity.namespace).alias("namespace"), F.lit(entity.name).alias("entity"),
-            )
-            for i, source_id, entity in collections
-        )),
-        F.col("collection") + 1,
+    places = local_rows(counted.sparkSession, [
+        (n, i, source_id, entity.namespace, entity.name)
+        for n, (i, source_id, entity) in enumerate(collections)
+    ], PLACE_SCHEMA)
+    return _with_key(counted).join(places, "collection").select(
+        *FIELD, _type().alias("type"), "key", "n", "present"
     )
-    return counted.select(
-        place.alias("place"), "path", _type().alias("type"), _key().alias("key"), "n", "present"
-    ).select("place.*", "path", "type", "key", "n", "present")
 
 
 def _field_id() -> Column:

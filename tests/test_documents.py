@@ -34,7 +34,7 @@ def profiles(spark, *docs, keys=()):
     sources = SourceSet([
         source("a", collection(spark, *docs), keys), source("b", collection(spark, {"x": 1})),
     ])
-    rows = D.document_profile(sources).where("source_id = 'a'").collect()
+    rows = D.document_profile(sources, max_depth=4).where("source_id = 'a'").collect()
     return {r.path: r for r in rows}
 
 
@@ -109,6 +109,21 @@ def test_presence_counts_documents_not_occurrences(spark):
     assert got["tags.n"].sampled_value_count == 3
 
 
+@pytest.mark.parametrize("extra", [
+    {}, {"deep": {"x": 1}}, {"é": 1}, {"odd: key, b": 2}, {"list": [1]}, {"dec": 1.25},
+])
+def test_presence_in_flat_and_other_arrays(spark, extra):
+    got = profiles(
+        spark, {"t": [{"a": 1, "b_2": None, **extra}, {"a": "x"}]}, {"t": [{"b_2": 1}, {"b_2": 2}]},
+    )
+    assert got["t.a"].nullable and got["t.a"].sampled_value_count == 2
+    assert got["t.b_2"].types == ["null", "number"]
+    for key in extra:
+        assert got[f"t.{key}"].nullable
+    both = profiles(spark, {"t": [{**extra, "a": 1}, {"a": 2}]}, {"t": [{}, {"a": 1, **extra}]})
+    assert not any(both[f"t.{key}"].nullable for key in ("a", *extra))
+
+
 def test_presence_where_a_dotted_key_meets_a_nested_path(spark):
     got = profiles(spark, {"a": {"b": 1}, "a.b": 2}, {"a": {}})
     assert got["a.b"].nullable and got["a.b"].sampled_value_count == 2
