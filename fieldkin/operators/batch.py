@@ -118,7 +118,8 @@ def _first_rows(
         return data.withColumn(rank, F.row_number().over(spec)).where(F.col(rank) <= count)
 
     if count >= EARLY_RANK_LIMIT:
-        sliced = rows.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(SLICES)))
+        content = F.xxhash64(*rows.columns)
+        sliced = rows.withColumn("_slice", F.pmod(content, F.lit(SLICES)))
         rows = cut(sliced, [*group, "_slice"], "_rank").drop("_slice", "_rank")
     return cut(rows, group, "rn")
 

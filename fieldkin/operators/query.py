@@ -113,13 +113,27 @@ def lookup(
         .where(F.col("_n") > chunk_rows)
         .select("_key", F.ceil(F.col("_n") / chunk_rows).alias("_chunks"))
     )
-    chunk = F.when(
-        F.col("_chunks").isNotNull(), F.pmod(F.xxhash64("_row"), F.col("_chunks"))
-    ).otherwise(F.lit(0)).cast("int")
+    few = keyed.join(large, "_key", "left_anti").select(
+        "_key", F.lit(0).cast("bigint").alias("chunk"), "_row", F.lit(1).alias("copies")
+    )
+    # Which chunk a row goes to depends on its content only, so a task that is run
+    # again decides alike. Equal rows are counted first and dealt out in pieces.
+    counted = keyed.join(large, "_key").groupBy("_key", "_chunks", "_row").agg(
+        F.count("*").alias("_n")
+    )
+    pieces = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / chunk_rows))
+    many = counted.withColumn("_piece", F.explode(pieces)).select(
+        "_key",
+        F.pmod(F.pmod(F.xxhash64("_row"), "_chunks") + F.col("_piece"), "_chunks").alias("chunk"),
+        "_row",
+        F.least(F.lit(chunk_rows), F.col("_n") - F.col("_piece") * chunk_rows)
+        .cast("int").alias("copies"),
+    )
+    rows = F.flatten(F.collect_list(F.array_repeat("_row", F.col("copies"))))
     gathered = (
-        keyed.join(large, "_key", "left")
-        .groupBy("_key", chunk.alias("chunk"))
-        .agg(F.array_sort(F.collect_list("_row")).alias(alias))
+        few.unionAll(many)
+        .groupBy("_key", F.col("chunk").cast("int").alias("chunk"))
+        .agg(F.array_sort(rows).alias(alias))
     )
     on = left[left_column] == F.col("_key")
     matched = left.join(gathered, on).drop("_key")

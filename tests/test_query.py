@@ -114,6 +114,9 @@ def test_lookup_spreads_large_keys_and_loses_nothing(spark):
     assert max(len(r.m) for r in rows) < 200 and len([r for r in rows if r.k == 1]) == 10
     assert sorted(m.id for r in rows for m in r.m) == list(range(1000))
     assert [r.chunk for r in rows if r.k == 2] == [0]
+    same = right.withColumn("id", F.lit(7))
+    rows = q.lookup(left, same, "k", "k", "m", columns=["id"], chunk_rows=100).collect()
+    assert max(len(r.m) for r in rows) < 200 and sum(len(r.m) for r in rows) == 1000
 
 
 def test_without_match(worlds):
