@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from fieldkin.llm import exact, simhash
+from fieldkin.llm import exact, language, simhash, winnowing
 
 QUERIES = {
+    "op1_language_id": language.op1_language_id,
+    "op8_benchmark_decontamination": winnowing.op8_benchmark_decontamination,
     "op9_exact_dedup": exact.op9_exact_dedup,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
