@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from fieldkin.llm import exact, language, simhash, winnowing
+from fieldkin.llm import exact, language, mixing, simhash, winnowing
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
+    "op5_mixing": mixing.op5_mixing,
     "op8_benchmark_decontamination": winnowing.op8_benchmark_decontamination,
     "op9_exact_dedup": exact.op9_exact_dedup,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
 ORACLE_SQL = {
+    "op5_mixing": mixing.OP5_SQL,
     "op9_exact_dedup": exact.OP9_SQL,
 }
