@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from fieldkin.llm import exact, language, mixing, simhash, winnowing
+from fieldkin.llm import exact, language, mixing, secrets, simhash, warc, winnowing
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
+    "op4_warc_archive": warc.op4_warc_archive,
     "op5_mixing": mixing.op5_mixing,
+    "op7_secret_scan": secrets.op7_secret_scan,
     "op8_benchmark_decontamination": winnowing.op8_benchmark_decontamination,
     "op9_exact_dedup": exact.op9_exact_dedup,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
 ORACLE_SQL = {
+    "op4_warc_archive": warc.OP4_SQL,
     "op5_mixing": mixing.OP5_SQL,
+    "op7_secret_scan": secrets.OP7_SQL,
     "op9_exact_dedup": exact.OP9_SQL,
 }
