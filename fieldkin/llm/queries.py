@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from fieldkin.llm import exact, language, mixing, secrets, simhash, warc, winnowing
+from fieldkin.llm import exact, language, mixing, secrets, simhash, toxicity, warc, winnowing
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
     "op4_warc_archive": warc.op4_warc_archive,
     "op5_mixing": mixing.op5_mixing,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_benchmark_decontamination": winnowing.op8_benchmark_decontamination,
     "op9_exact_dedup": exact.op9_exact_dedup,
