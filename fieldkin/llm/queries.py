@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from fieldkin.llm import exact, language, mixing, secrets, simhash, toxicity, warc, winnowing
+from fieldkin.llm import exact, language, mixing, repeats, secrets, simhash, toxicity, warc, winnowing
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
+    "op3_substring_dedup": repeats.op3_substring_dedup,
     "op4_warc_archive": warc.op4_warc_archive,
     "op5_mixing": mixing.op5_mixing,
     "op6_toxicity": toxicity.op6_toxicity,
