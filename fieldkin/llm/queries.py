@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from fieldkin.llm import exact, language, mixing, repeats, secrets, simhash, toxicity, warc, winnowing
+from fieldkin.llm import exact, language, lines, mixing, repeats, secrets, simhash, toxicity, warc, winnowing
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
+    "op2_line_dedup": lines.op2_line_dedup,
     "op3_substring_dedup": repeats.op3_substring_dedup,
     "op4_warc_archive": warc.op4_warc_archive,
     "op5_mixing": mixing.op5_mixing,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_line_dedup": lines.OP2_SQL,
     "op4_warc_archive": warc.OP4_SQL,
     "op5_mixing": mixing.OP5_SQL,
     "op7_secret_scan": secrets.OP7_SQL,

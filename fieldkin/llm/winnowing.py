@@ -285,7 +285,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
 
 
 #: A document is contaminated when this share of its words, or more, is hit.
-CONTAMINATED = F.expr("n_hit > 0 and 20 * n_hit >= n_words")
+CONTAMINATED = "n_hit > 0 and 20 * n_hit >= n_words"
 
 
 def op8_benchmark_decontamination(spark: SparkSession, directory: str) -> DataFrame:
@@ -293,11 +293,11 @@ def op8_benchmark_decontamination(spark: SparkSession, directory: str) -> DataFr
     found = contamination(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
     return found.select(
         F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        "items_sha256", CONTAMINATED.alias("contaminated"))
+        "items_sha256", F.expr(CONTAMINATED).alias("contaminated"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
     row = "__llm_row"
-    clean = contamination(docs, benchmark).where(~CONTAMINATED).select(F.col("row").alias(row))
+    clean = contamination(docs, benchmark).where(f"not ({CONTAMINATED})").select(F.col("row").alias(row))
     return numbered_rows(docs, row).join(clean, row, "left_semi").drop(row)
