@@ -42,6 +42,13 @@ WEB = (
         ("vec_id", "bigint"), ("embedding", "array"), ("label", "integer"))),
     (4, "web", "pages", None, (("page_id", "bigint"), ("url", "text"), ("html", "text"))),
 )
+# Composite primary keys, unique columns, and indexes beside those of primary keys.
+COMPOSITE = {"lineitem": ("l_orderkey", "l_linenumber")}
+UNIQUE = {"customer": ("c_name",), "nation": ("n_name", "n_regionkey")}
+INDEXES = {
+    "customer": ("customer_name_key",), "nation": ("nation_name_key", "nation_place_key"),
+    "orders": ("orders_custkey_idx", "orders_date_idx"),
+}
 FAMILY = {
     "bigint": "number", "integer": "number", "double precision": "number",
     "text": "text", "timestamp without time zone": "date", "array": "unknown",
@@ -79,10 +86,11 @@ def _fields(tables=TABLES, name: str = "fields") -> str:
         for ordinal, (path, kind) in enumerate(columns, start=1):
             rows.append(
                 f"({number}, {order}, '{source}', '{entity}', {ordinal}, '{path}', '{kind}',"
-                f" '{FAMILY[kind]}', {str(path == key).lower()})"
+                f" '{FAMILY[kind]}', {str(path in COMPOSITE.get(entity, (key,))).lower()},"
+                f" {str(path in UNIQUE.get(entity, ())).lower()})"
             )
             number += 1
-    columns = "fid, ord, source_id, entity, ordinal, path, kind, family, is_key"
+    columns = "fid, ord, source_id, entity, ordinal, path, kind, family, is_key, is_unique"
     return f"{name}({columns}) AS (VALUES {', '.join(rows)})"
 
 
@@ -168,7 +176,7 @@ SUGGEST = """
       SELECT l.source_id AS left_source_id, 'public' AS left_namespace, l.entity AS left_entity,
              l.path AS left_path, r.source_id AS right_source_id, 'public' AS right_namespace,
              r.entity AS right_entity, r.path AS right_path,
-             l.is_key AS lk, r.is_key AS rk,
+             l.is_key OR l.is_unique AS lk, r.is_key OR r.is_unique AS rk,
              len(list_intersect(l.toks, r.toks))
                / nullif(len(list_distinct(list_concat(l.toks, r.toks))), 0) AS sim,
              coalesce(o.overlap, 0::DOUBLE) AS ov
@@ -206,17 +214,25 @@ _RIGHT = tuple(c.replace("left", "right") for c in _LEFT)
 
 
 def _proposed(*variants: dict[str, str]) -> str:
-    """CTE of mapping rows: each suggestion, in endpoint order, in every variant."""
+    """CTE of mapping rows: each key column with each field of its family elsewhere."""
     plain = (*_LEFT, *_RIGHT, "operator")
     parts = [
-        f"SELECT (place - 1) * {len(variants)} + {i} AS pos, "
+        f"SELECT place * {len(variants)} + {i} AS pos, "
         + ", ".join(f"{changed.get(c, c)} AS {c}" for c in plain)
         + " FROM placed"
-        for i, changed in enumerate(variants, start=1)
+        for i, changed in enumerate(variants)
     ]
-    order = ", ".join((*_LEFT, *_RIGHT))
+    ends = ", ".join(
+        f"{expression} AS {side}_{name}"
+        for side, alias in (("left", "l"), ("right", "r"))
+        for name, expression in (
+            ("source_id", f"{alias}.source_id"), ("namespace", "'public'"),
+            ("entity", f"{alias}.entity"), ("path", f"{alias}.path"))
+    )
     return (
-        f"placed AS (SELECT *, row_number() OVER (ORDER BY {order}) AS place FROM suggestions), "
+        f"placed AS (SELECT (l.fid * 10000 + r.fid)::BIGINT AS place, {ends}, 'equals' AS operator"
+        " FROM fields l JOIN fields r ON l.ord <> r.ord AND l.family = r.family"
+        " WHERE (l.is_key OR l.is_unique) AND l.family <> 'unknown'), "
         f"proposals AS ({' UNION ALL '.join(parts)})"
     )
 
@@ -229,7 +245,7 @@ _EDGE = (
     " (right_source_id, right_entity, right_path))"
 )
 
-VALIDATE = f"""{_EXACT}, {_proposed(
+VALIDATE = f"""WITH {_fields()}, {_counts()}, {_proposed(
     {"left_path": "' ' || left_path || chr(9)"},
     _SWAP,
     {"operator": "'contains'"},
@@ -251,14 +267,20 @@ VALIDATE = f"""{_EXACT}, {_proposed(
         = (p.right_source_id, p.right_entity, p.right_path))
     SELECT pos, {_NAMED}, coalesce(failure, CASE WHEN row_number() OVER (
       PARTITION BY failure IS NULL, {_EDGE} ORDER BY pos) > 1
-      THEN 'Duplicate relationship.' ELSE 'valid' END) AS status
-    FROM checked
+      THEN 'Duplicate relationship.' ELSE 'valid' END) AS status, row_count AS left_rows
+    FROM checked JOIN counts ON (source_id, entity) = (left_source_id, left_entity)
+"""
+
+_SIZES = """
+    JOIN counts x ON (x.source_id, x.entity) = (left_source_id, left_entity)
+    JOIN counts y ON (y.source_id, y.entity) = (right_source_id, right_entity)
 """
 
-DUPLICATES = f"""{_EXACT}, {_proposed({}, _SWAP)}
+DUPLICATES = f"""WITH {_fields()}, {_counts()}, {_proposed({}, _SWAP)}
     SELECT pos, {_NAMED},
-      row_number() OVER (PARTITION BY {_EDGE} ORDER BY pos) > 1 AS duplicate
-    FROM proposals
+      row_number() OVER (PARTITION BY {_EDGE} ORDER BY pos) > 1 AS duplicate,
+      x.row_count AS left_rows, y.row_count AS right_rows
+    FROM proposals {_SIZES}
 """
 
 # -- documents: the same collections, written out as (doc, path, type, form) --
@@ -318,7 +340,8 @@ DOCUMENT_PROFILE = f"""
       FROM everything GROUP BY ALL)
     SELECT source_id, 'docs' AS namespace, entity, path, types,
       coalesce(families, 'unknown') AS type_families,
-      path = '_id' AS primary_key, path = '_id' AS "unique",
+      path = '_id' AS primary_key,
+      path = '_id' OR (source_id = 'shop' AND path IN ('customer.id', 'total')) AS "unique",
       has_null OR present < documents AS nullable,
       sampled AS sampled_value_count,
       least(coalesce(distinct_count, 0), 100) AS distinct_sample_count,
@@ -328,6 +351,78 @@ DOCUMENT_PROFILE = f"""
     LEFT JOIN digests USING (source_id, entity, path)
 """
 
+_RELATIONAL_KEYS = ", ".join(
+    f"('{source}', '{entity}', '{','.join(sorted((*((entity + '_pkey',) if key or entity in COMPOSITE else ()), *INDEXES.get(entity, ()))))}',"
+    f" '{','.join(COMPOSITE.get(entity, (key,) if key else ()))}', '{','.join(sorted(UNIQUE.get(entity, ())))}')"
+    for _, source, entity, key, _ in TABLES
+)
+_KEYS = f"keys(source_id, entity, indexes, key_fields, unique_fields) AS (VALUES {_RELATIONAL_KEYS})"
+
+_DOCUMENT_FIELDS = f"""
+    everything AS (
+      SELECT 'shop' AS source_id, 'orders' AS entity, * FROM nodes
+      UNION ALL SELECT 'stream', 'events', * FROM ({_EVENT_NODES})),
+    totals AS (
+      SELECT 'shop' AS source_id, count(*) AS documents FROM orders
+      UNION ALL SELECT 'stream', count(*) FROM events),
+    found AS (
+      SELECT source_id, entity, path, list_sort(list(DISTINCT kind)) AS types,
+        bool_or(kind = 'null') OR count(DISTINCT doc) < any_value(documents) AS nullable
+      FROM everything JOIN totals USING (source_id) GROUP BY ALL)
+"""
+
+CATALOG_MIXED = f"""
+    WITH {_fields(TABLES[:3])}, {_KEYS}, {_SHOP}, {_DOCUMENT_FIELDS}
+    SELECT source_id, 'relational' AS kind, 'public' AS namespace, entity,
+      string_agg(path || ':' || kind || CASE WHEN is_key THEN '' ELSE ':null' END, ',' ORDER BY ordinal) AS fields,
+      any_value(indexes) AS indexes, any_value(key_fields) AS key_fields,
+      any_value(unique_fields) AS unique_fields
+    FROM fields JOIN keys USING (source_id, entity) GROUP BY source_id, entity
+    UNION ALL
+    SELECT source_id, 'document', 'docs', entity,
+      string_agg(path || ':' || array_to_string(types, '|') || CASE WHEN nullable THEN ':null' ELSE '' END, ',' ORDER BY path),
+      CASE source_id WHEN 'shop' THEN '_id_,orders_customer_total' ELSE '_id_' END, '',
+      CASE source_id WHEN 'shop' THEN 'customer.id,total' ELSE '' END
+    FROM found GROUP BY source_id, entity
+"""
+
+SUGGEST_MIXED = f"""
+    WITH {_fields(TABLES[:3], "tabled")}, {_values(TABLES[:3]).replace("prints AS", "table_prints AS").replace("FROM prints", "FROM table_prints").replace("sizes AS", "table_sizes AS")},
+    {_SHOP},
+    paths AS (
+      SELECT 1000 + row_number() OVER (ORDER BY path) AS fid, path, list(DISTINCT kind) AS kinds
+      FROM nodes GROUP BY path),
+    fields AS (
+      SELECT fid, ord, source_id, 'public' AS namespace, entity, path, [family] AS families,
+        is_key OR is_unique AS keyed FROM tabled
+      UNION ALL
+      SELECT fid, 9, 'shop', 'docs', 'orders', path,
+        list_transform(list_filter(kinds, lambda k: k IN ('number', 'string')),
+          lambda k: CASE k WHEN 'string' THEN 'text' ELSE k END),
+        path IN ('_id', 'customer.id', 'total') FROM paths),
+    prints AS (
+      SELECT * FROM table_prints
+      UNION ALL SELECT DISTINCT fid, sha256(form) FROM nodes JOIN paths USING (path) WHERE form IS NOT NULL),
+    sizes AS (SELECT fid, count(*) AS n FROM prints GROUP BY fid),
+    {TOKENS}, {OVERLAP}, {
+        SUGGEST.replace("'public' AS left_namespace", "l.namespace AS left_namespace")
+        .replace("'public' AS right_namespace", "r.namespace AS right_namespace")
+        .replace("l.family = r.family", "list_has_any(l.families, r.families)")
+        .replace("WHERE l.family <> 'unknown'", "")
+        .replace("l.is_key OR l.is_unique", "l.keyed").replace("r.is_key OR r.is_unique", "r.keyed")}
+    SELECT * FROM suggestions
+"""
+
+_UNIQUENESS = " UNION ALL ".join(
+    f"SELECT '{source}' AS source_id, '{entity}' AS entity, '{path}' AS path,"
+    f" count({path}) AS value_count, count(DISTINCT {path}) AS distinct_count,"
+    f" {str(path in COMPOSITE.get(entity, (key,)) or path in UNIQUE.get(entity, ())).lower()} AS declared_unique"
+    f" FROM {entity}"
+    for _, source, entity, key, columns in TABLES
+    for path, kind in columns
+    if kind in ("bigint", "integer", "text")
+)
+
 # -- several sources ---------------------------------------------------------
 
 _BATCH = """
@@ -430,10 +525,12 @@ def _forms(table: str, key: str, columns: dict[str, str], suffix: str, wrap: str
 
 ORACLE_SQL: dict[str, str] = {
     "result_envelope": """
-        SELECT CAST(to_json({'o_orderkey': o_orderkey, 'o_custkey': o_custkey,
-            'o_orderpriority': o_orderpriority}) AS VARCHAR) AS row,
-          count(*) OVER () AS returned_count
+        SELECT 'relational' AS kind,
+          coalesce(string_agg(CAST(to_json({'o_orderkey': o_orderkey, 'o_custkey': o_custkey,
+            'o_orderpriority': o_orderpriority}) AS VARCHAR), chr(10) ORDER BY o_orderkey), '') AS rows,
+          count(*) AS returned_count
         FROM (SELECT * FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderkey LIMIT 1000)
+        UNION ALL SELECT 'relational', '', 0
     """,
     "catalog_fields": f"""
         WITH {_fields(TABLES + WEB)}, {_counts(TABLES + WEB)}
@@ -442,13 +539,35 @@ ORACLE_SQL: dict[str, str] = {
         FROM fields JOIN counts USING (source_id, entity)
     """,
     "catalog_keys": f"""
-        WITH {_fields()}, {_counts()}
-        SELECT source_id, 'relational' AS kind, entity,
-          CASE WHEN bool_or(is_key) THEN entity || '_pkey' ELSE '' END AS indexes,
-          CASE WHEN bool_or(is_key) THEN entity || '_pkey' END AS key_name,
-          coalesce(max(path) FILTER (WHERE is_key), '') AS key_fields, '' AS unique_fields,
-          any_value(row_count) AS row_count
-        FROM fields JOIN counts USING (source_id, entity) GROUP BY source_id, entity
+        WITH {_KEYS}, {_counts()}
+        SELECT source_id, 'relational' AS kind, entity, indexes,
+          CASE WHEN key_fields <> '' THEN entity || '_pkey' END AS key_name,
+          key_fields, unique_fields, row_count
+        FROM keys JOIN counts USING (source_id, entity)
+    """,
+    "catalog_mixed": CATALOG_MIXED,
+    "relationship_suggestions_mixed": SUGGEST_MIXED,
+    "find_documents": """
+        SELECT o_orderkey AS order_key, o_custkey AS customer FROM orders
+        WHERE o_orderstatus = 'F' AND o_totalprice >= 1000
+        ORDER BY o_totalprice DESC, o_orderkey LIMIT 500
+    """,
+    "document_membership": """
+        SELECT o_orderkey AS order_key, o_orderstatus <> 'P' AS by_name,
+          o_orderstatus = 'P' AS by_element, true AS no_note, o_orderstatus = 'P' AS has_note
+        FROM orders WHERE o_orderpriority = '1-URGENT'
+    """,
+    "document_elem_match": """
+        SELECT o_orderkey AS order_key, o_custkey AS customer FROM orders WHERE o_orderstatus = 'F'
+    """,
+    "document_lookup": """
+        SELECT c_custkey AS key, c_name AS name, count(o_orderkey) AS order_count,
+          coalesce(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey), '') AS orders
+        FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name
+    """,
+    "ordered_string_repeats": """
+        SELECT l_orderkey, string_agg(l_returnflag, '/' ORDER BY l_linenumber, l_returnflag) AS flags
+        FROM lineitem GROUP BY l_orderkey
     """,
     "infer_fields_props": f"""
         SELECT path, string_agg(DISTINCT kind, ',' ORDER BY kind) AS types
@@ -489,7 +608,7 @@ ORACLE_SQL: dict[str, str] = {
         digests AS (
           SELECT fid, string_agg(fp, ',' ORDER BY fp) AS listed FROM sketch GROUP BY fid)
         SELECT source_id, 'public' AS namespace, entity, path, kind AS types,
-          family AS type_families, is_key AS primary_key, false AS "unique",
+          family AS type_families, is_key AS primary_key, is_unique AS "unique",
           NOT is_key OR coalesce(nulls, 0) > 0 AS nullable,
           coalesce(sampled, 0) AS sampled_value_count,
           least(coalesce(n, 0), 100) AS distinct_sample_count,
@@ -500,13 +619,8 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "document_profile": DOCUMENT_PROFILE,
     "measured_uniqueness": f"""
-        WITH {_fields()}, {_values()},
-        tallies AS (SELECT fid, count(form) AS sampled FROM cells GROUP BY fid)
-        SELECT source_id, entity, path, sampled AS sampled_value_count,
-          coalesce(n, 0) AS distinct_count, is_key AS declared_unique,
-          sampled > 0 AND sampled = coalesce(n, 0) AS measured_unique
-        FROM fields JOIN tallies USING (fid) LEFT JOIN sizes USING (fid)
-        WHERE kind IN ('bigint', 'integer', 'text')
+        SELECT *, value_count > 0 AND value_count = distinct_count AS measured_unique
+        FROM ({_UNIQUENESS})
     """,
     "fingerprint_sketch": f"""
         WITH {_fields()}, {_values()}, {SKETCH}
@@ -514,16 +628,17 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "name_tokens": f"""
         WITH {_fields()}, {_counts()}, {TOKENS}
-        SELECT source_id, entity, path, array_to_string(list_sort(toks), ',') AS tokens
-        FROM tokens JOIN counts USING (source_id, entity) WHERE row_count > 0
+        SELECT source_id, entity, path, array_to_string(list_sort(toks), ',') AS tokens, row_count
+        FROM tokens JOIN counts USING (source_id, entity)
     """,
     "name_similarity": f"""
-        WITH {_fields()}, {_counts()}, {TOKENS}, filled AS (
-          SELECT tokens.* FROM tokens JOIN counts USING (source_id, entity) WHERE row_count > 0)
+        WITH {_fields()}, {_counts()}, {TOKENS}, sized AS (
+          SELECT tokens.*, row_count FROM tokens JOIN counts USING (source_id, entity))
         SELECT {ENDS}, {_ratio(
             "len(list_intersect(l.toks, r.toks))"
-            " / len(list_distinct(list_concat(l.toks, r.toks)))")} AS similarity
-        FROM filled l JOIN filled r ON l.ord < r.ord AND list_has_any(l.toks, r.toks)
+            " / len(list_distinct(list_concat(l.toks, r.toks)))")} AS similarity,
+          l.row_count AS left_rows, r.row_count AS right_rows
+        FROM sized l JOIN sized r ON l.ord < r.ord AND list_has_any(l.toks, r.toks)
     """,
     "value_overlap": f"""
         WITH {_fields()}, {_values()}, {OVERLAP}
@@ -538,10 +653,11 @@ ORACLE_SQL: dict[str, str] = {
         WHERE l.ord <> r.ord
     """,
     "compatible_pairs": f"""
-        WITH {_fields()}, {_counts()}, {TOKENS}, filled AS (
-          SELECT tokens.* FROM tokens JOIN counts USING (source_id, entity) WHERE row_count > 0)
-        SELECT {ENDS}, l.family = r.family AND l.family <> 'unknown' AS compatible
-        FROM filled l JOIN filled r ON l.ord < r.ord AND list_has_any(l.toks, r.toks)
+        WITH {_fields()}, {_counts()}, {TOKENS}, sized AS (
+          SELECT tokens.*, row_count FROM tokens JOIN counts USING (source_id, entity))
+        SELECT {ENDS}, l.family = r.family AND l.family <> 'unknown' AS compatible,
+          l.row_count AS left_rows, r.row_count AS right_rows
+        FROM sized l JOIN sized r ON l.ord < r.ord AND list_has_any(l.toks, r.toks)
     """,
     "relationship_suggestions": f"{_EXACT} SELECT * FROM suggestions",
     "relationship_suggestions_sketch": f"""
@@ -633,8 +749,11 @@ ORACLE_SQL: dict[str, str] = {
           ('source_2', 'relational', 'catalog', 'failed', 'Unable to access the relational source.'),
           ('source_3', 'relational', 'execute', 'succeeded', NULL),
           ('source_4', 'document', 'execute', 'failed', 'Unable to access the document source.'),
-          ('source_5', 'document', 'execute', 'succeeded', NULL))
-        SELECT asked.*, returned_count FROM asked LEFT JOIN (
+          ('source_5', 'document', 'execute', 'succeeded', NULL),
+          ('source_6', 'relational', 'execute', 'succeeded', NULL),
+          ('source_7', 'document', 'execute', 'failed', 'Unable to access the document source.'))
+        SELECT asked.*, CASE WHEN status = 'succeeded' THEN coalesce(returned_count, 0) END AS returned_count
+        FROM asked LEFT JOIN (
           SELECT source_id, count(*) AS returned_count FROM bounded GROUP BY source_id)
         USING (source_id)
     """,

@@ -44,9 +44,21 @@ def text_form(value: Column) -> Column:
     return F.when(F.length(lowered).between(1, MAX_VALUE_LENGTH), lowered)
 
 
+_TINY = r"^(-?)(\d)(?:\.(\d+))?E-(\d+)$"
+
+
+def _plain(text: Column) -> Column:
+    """Text of a decimal without an exponent, which only small ones get."""
+    sign, first, rest, places = (F.regexp_extract(text, _TINY, i) for i in range(1, 5))
+    zeros = F.repeat(F.lit("0"), places.try_cast("int") - 1)
+    return F.when(
+        F.contains(text, F.lit("E-")), F.concat(sign, F.lit("0."), zeros, first, rest)
+    ).otherwise(text)
+
+
 def decimal_form(value: Column) -> Column:
     """Decimal text without trailing zeros, so that equal numbers are equal."""
-    text = value.cast("string")
+    text = _plain(value.cast("string"))
     return F.when(
         F.contains(text, F.lit(".")), F.regexp_replace(text, r"\.?0+$", "")
     ).otherwise(text)
@@ -81,8 +93,7 @@ def epoch_millis(value: Column, data_type: T.DataType) -> Column:
     through the session's zone, where some local times do not exist.
     """
     if isinstance(data_type, T.TimestampType):
-        micros = F.unix_micros(value)
-        return ((micros - F.pmod(micros, F.lit(1000))) / 1000).cast("bigint")
+        return F.unix_millis(value)
     days = F.unix_date(value.cast("date")).cast("bigint") * F.lit(_DAY_MILLIS).cast("bigint")
     if isinstance(data_type, T.DateType):
         return days

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -14,10 +15,17 @@ from pyspark.sql import functions as F
 
 from fieldkin.operators.catalog import local_rows
 from fieldkin.operators.query import MAX_ROWS
+from fieldkin.session import keep
 
-# Default budget of a packed request.
+# Default budget of a packed request, and what is said of failed sources.
 MAX_PACKED_ROWS = 100
 MAX_PACKED_CHARS = 50_000
+NO_SOURCE = "Unable to access any data source."
+
+
+def _no_access(kind: str) -> str:
+    return f"Unable to access the {kind} source."
+
 
 #: Rank filters of Spark reach below the shuffle for smaller limits than this.
 EARLY_RANK_LIMIT = 1000
@@ -26,6 +34,7 @@ SLICES = 256
 OUTCOME_SCHEMA = pa.schema([
     ("source_ord", pa.int32()), ("source_id", pa.string()), ("kind", pa.string()),
     ("stage", pa.string()), ("status", pa.string()), ("error", pa.string()),
+    ("returned_count", pa.int64()),
 ])
 
 
@@ -48,45 +57,44 @@ class Batch:
     outcomes: DataFrame
 
 
-def _answer(query: SourceQuery) -> tuple[DataFrame | None, str]:
-    """The analysed result and the stage reached; no result when a stage failed.
+def _answer(query: SourceQuery, position: int) -> tuple[DataFrame | None, str]:
+    """The written result and the stage reached; no result when a stage failed.
 
-    Only failures Spark reports are kept per source; a mistake in the caller's
-    own code is raised.
+    Only failures of Spark or of a driver below it are kept per source; a mistake in
+    the caller's own code is raised.
     """
     stage = "catalog"
     try:
         data = query.open()
         data.schema
         stage = "execute"
-        result = query.ask(data)
-        result.schema
-        return result, stage
-    except PySparkException:
+        return keep(_labelled(position, query, query.ask(data)), "answer"), stage
+    except (PySparkException, Py4JJavaError):
         return None, stage
 
 
 def multi_source_batch(spark: SparkSession, queries: Sequence[SourceQuery]) -> Batch:
     """Ask every source, keep the answers of those that can be read.
 
-    Each result is cut to :data:`MAX_ROWS` in its own order, so numbering and
-    counting within a source always sees a bounded set. Sources keep request
-    order. Missing files, tables and columns fail a source here, when its plan is
-    analysed; which driver error it was stays hidden.
+    Each source is a job of its own, whose result, at most :data:`MAX_ROWS` rows in
+    its own order, is written to the shared folder. A source that can't be opened,
+    analysed or read to its end fails alone; which error it was stays hidden.
+    Outcomes count the rows of the sources that answered, and keep request order.
     """
     outcomes, parts = [], []
     for i, query in enumerate(queries):
-        result, stage = _answer(query)
+        result, stage = _answer(query, i)
         failed = result is None
         outcomes.append((
             i, query.source_id, query.kind, stage,
             "failed" if failed else "succeeded",
-            f"Unable to access the {query.kind} source." if failed else None,
+            _no_access(query.kind) if failed else None,
+            None if failed else result.count(),
         ))
         if not failed:
-            parts.append(_labelled(i, query, result))
+            parts.append(result)
     if not parts:
-        raise RuntimeError("Unable to access any data source.")
+        raise RuntimeError(NO_SOURCE)
     return Batch(reduce(DataFrame.unionAll, parts), local_rows(spark, outcomes, OUTCOME_SCHEMA))
 
 
@@ -118,7 +126,7 @@ def _first_rows(
         return data.withColumn(rank, F.row_number().over(spec)).where(F.col(rank) <= count)
 
     if count >= EARLY_RANK_LIMIT:
-        content = F.xxhash64(*rows.columns)
+        content = F.xxhash64(*group, *order)
         sliced = rows.withColumn("_slice", F.pmod(content, F.lit(SLICES)))
         rows = cut(sliced, [*group, "_slice"], "_rank").drop("_slice", "_rank")
     return cut(rows, group, "rn")

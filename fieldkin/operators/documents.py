@@ -25,10 +25,6 @@ from fieldkin.operators.catalog import local_rows, with_families
 from fieldkin.operators.profile import assemble
 from fieldkin.sources.model import DOCUMENT, SourceSet
 
-#: Nesting that is unfolded unless asked for more. Deeper documents fail the
-#: query instead of losing fields.
-MAX_DEPTH = 8
-
 _INEXACT = "double"
 
 # Schema text of an array of objects without containers or unusual keys.
@@ -52,11 +48,28 @@ def _below(path: Column, key: Column) -> Column:
     )
 
 
-def _too_deep(max_depth: int) -> Column:
-    return F.raise_error(F.lit(f"A document nests deeper than max_depth={max_depth}."))
+def nesting(documents: DataFrame, column: str) -> int:
+    """How deep the containers of the deepest document are nested.
+
+    Read off the brackets of the JSON text, outside of its strings, in one pass over
+    the scan that hands back one number. It decides how many levels a plan unfolds,
+    so documents of any depth are unfolded whole.
+    """
+    text = F.replace(F.replace(F.to_json(column), F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit(""))
+    bare = F.regexp_replace(F.regexp_replace(text, '"[^"]*"', ""), r"[^\[\]{}]", "")
+    none = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def count(state: Column, bracket: Column) -> Column:
+        now = state["now"] + F.when(bracket.isin("[", "{"), 1).when(bracket.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
+
+    # Documents of one shape have one text of brackets, which is gone through once.
+    shapes = documents.select(bare.alias("bare")).distinct()
+    deep = F.aggregate(F.split("bare", ""), none, count, lambda state: state["most"])
+    return shapes.agg(F.max(deep)).first()[0] or 0
 
 
-def _unfold(documents: DataFrame, column: str, max_depth: int) -> DataFrame:
+def _unfold(documents: DataFrame, column: str, depth: int) -> DataFrame:
     """``(path, v, once, root)``: each document, without a path, and its keyed nodes.
 
     A level first splits each open row into itself and a request for its members,
@@ -69,15 +82,13 @@ def _unfold(documents: DataFrame, column: str, max_depth: int) -> DataFrame:
         F.lit(None).cast("string").alias("path"), document.alias("v"), (~dotted).alias("once"),
         F.lit(True).alias("root"), F.lit(True).alias("keyed"), F.lit(True).alias("open"),
     )
-    for level in range(max_depth + 1):
+    for _ in range(depth):
         split = F.when(F.col("open"), F.array(F.lit(False), F.lit(True))).otherwise(
             F.array(F.lit(False))
         )
         asked = F.when(F.col("descend").outer(), F.col("v").outer())
         member, has_key = F.col("descend"), F.col("key").isNotNull()
         path = _below(F.col("path"), F.col("key"))
-        if level == max_depth:
-            path = _too_deep(max_depth).cast("string")
         rows = (
             rows.withColumn("descend", F.explode(split))
             .lateralJoin(rows.sparkSession.tvf.variant_explode_outer(asked))
@@ -94,7 +105,7 @@ def _unfold(documents: DataFrame, column: str, max_depth: int) -> DataFrame:
     return rows.where("keyed").select("path", "v", "once", "root")
 
 
-def _paths_within(value: Column, path: Column, max_depth: int) -> Column:
+def _paths_within(value: Column, path: Column, depth: int) -> Column:
     """The distinct paths below one node, by a fold over its levels."""
     nodes = "array<struct<path: string, v: variant, keyed: boolean>>"
 
@@ -123,13 +134,13 @@ def _paths_within(value: Column, path: Column, max_depth: int) -> Column:
         F.array(node(path, value, False)).cast(nodes).alias("open"),
         F.array().cast("array<string>").alias("paths"),
     )
-    levels = F.array_repeat(F.lit(0), max_depth + 1)
+    levels = F.array_repeat(F.lit(0), depth + 1)
     return F.aggregate(levels, start, descend, lambda state: state["paths"])
 
 
-def document_paths(documents: DataFrame, column: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+def document_paths(documents: DataFrame, column: str) -> DataFrame:
     """``(path, v)`` of every keyed node of every document, one row each."""
-    return _unfold(documents, column, max_depth).where(~F.col("root")).select("path", "v")
+    return _unfold(documents, column, nesting(documents, column)).where(~F.col("root")).select("path", "v")
 
 
 def _with_class(nodes: DataFrame) -> DataFrame:
@@ -173,16 +184,16 @@ def _with_key(counted: DataFrame) -> DataFrame:
     )
 
 
-def infer_fields(documents: DataFrame, column: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+def infer_fields(documents: DataFrame, column: str) -> DataFrame:
     """Dotted paths of a collection, each with the sorted set of its types."""
     return (
-        _with_class(document_paths(documents, column, max_depth))
+        _with_class(document_paths(documents, column))
         .groupBy("path")
         .agg(F.array_sort(F.collect_set(_type())).alias("types"))
     )
 
 
-def _occurrences(documents: DataFrame, column: str, max_depth: int) -> DataFrame:
+def _occurrences(documents: DataFrame, column: str) -> DataFrame:
     """``(path, v, class, once)`` of every node, and rows without class for presence.
 
     ``once`` nodes stand for their document. Where paths can repeat, below an array
@@ -191,7 +202,8 @@ def _occurrences(documents: DataFrame, column: str, max_depth: int) -> DataFrame
     The schema of an array of plain objects already lists the keys of all of them;
     for anything else the values are gone through.
     """
-    nodes = _with_class(_unfold(documents, column, max_depth))
+    depth = nesting(documents, column)
+    nodes = _with_class(_unfold(documents, column, depth))
     once, root = F.col("once"), F.col("root")
     schema, path = F.col("_schema"), F.col("path")
     outer_array = ~root & once & schema.rlike("^ARRAY<(OBJECT|ARRAY|VARIANT)")
@@ -200,7 +212,7 @@ def _occurrences(documents: DataFrame, column: str, max_depth: int) -> DataFrame
         F.when(outer_array & schema.rlike(_FLAT_OBJECTS), F.transform(
             keys, lambda key: _below(path, key)
         ))
-        .when((root & ~once) | outer_array, _paths_within(F.col("v"), path, max_depth))
+        .when((root & ~once) | outer_array, _paths_within(F.col("v"), path, depth))
         .otherwise(F.array().cast("array<string>"))
     )
     itself = F.lit(None).cast("string")
@@ -213,7 +225,7 @@ def _occurrences(documents: DataFrame, column: str, max_depth: int) -> DataFrame
     )
 
 
-def document_counts(sources: SourceSet, max_depth: int = MAX_DEPTH) -> DataFrame:
+def document_counts(sources: SourceSet) -> DataFrame:
     """``(source…, path, type, key, n, present)`` over all document collections.
 
     ``n`` counts the values of a key, ``present`` the documents with the path.
@@ -230,7 +242,7 @@ def document_counts(sources: SourceSet, max_depth: int = MAX_DEPTH) -> DataFrame
         for entity in source.entities
     ]
     nodes = reduce(DataFrame.unionAll, [
-        _occurrences(entity.data, entity.document, max_depth).select(
+        _occurrences(entity.data, entity.document).select(
             F.lit(n).alias("collection"), "path", "v", "class", "once"
         )
         for n, (_, _, entity) in enumerate(collections)
@@ -314,8 +326,8 @@ def document_value_counts(counts: DataFrame) -> DataFrame:
     )
 
 
-def document_profile(sources: SourceSet, max_depth: int = MAX_DEPTH) -> DataFrame:
+def document_profile(sources: SourceSet) -> DataFrame:
     """Profiles of every inferred field of the document collections."""
-    counts = document_counts(sources, max_depth)
+    counts = document_counts(sources)
     fields = document_fields(sources, counts)
     return assemble(fields, document_value_counts(counts), F.col("declared_nullable"))

@@ -32,8 +32,15 @@ def expect_domains(data: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     return broken.unpivot([], list(rules), "rule", "violations")
 
 
-def expect_unique(data: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row: keys that repeat, and the rows beyond the first of each."""
+def expect_unique(
+    data: DataFrame, columns: Sequence[str], nulls_repeat: bool = True
+) -> DataFrame:
+    """One row: keys that repeat, and the rows beyond the first of each.
+
+    Keys with a null may repeat, as in SQL, unless ``nulls_repeat`` is false.
+    """
+    if nulls_repeat:
+        data = data.dropna(subset=list(columns))
     repeated = data.groupBy(*columns).agg(F.count("*").alias("n")).where(F.col("n") > 1)
     return repeated.agg(
         F.count("*").alias("repeated_keys"),

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldkin.functions import values as V
-from fieldkin.operators.catalog import profiled_fields
+from fieldkin.operators.catalog import profiled_columns, profiled_fields
 from fieldkin.operators.value_counts import value_counts
 from fieldkin.sources.model import Entity, Source, SourceSet
 
@@ -99,23 +102,38 @@ def field_profile(
     return assemble(profiled_fields(spark, sources), counts, nullable)
 
 
-def measured_uniqueness(fields: DataFrame, counts: DataFrame) -> DataFrame:
+def measured_uniqueness(sources: SourceSet, fields: DataFrame) -> DataFrame:
     """Whether a field's values are in fact all different, beside the declared keys.
 
-    Measured only where a key is plausible: integers, text, identifiers. A
-    floating measure that happens not to repeat is no key.
+    Measured on the values themselves, not on normal forms: texts of any length, case
+    and spacing count, nulls don't. Only where a key is plausible: integers, text,
+    identifiers. A floating measure that happens not to repeat is no key. Texts are
+    compared by 128-bit digests, which combine before they are shuffled.
     """
-    measured = field_statistics(counts)
-    countable = ("smallint", "integer", "bigint", "text", "character varying",
-                 "character", "uuid")
-    all_different = (F.col("sampled_value_count") > 0) & (
-        F.col("sampled_value_count") == F.col("distinct_count")
+    tables = profiled_columns(sources)
+    parts = []
+    for entity, refs in tables:
+        columns = {
+            str(ref.field_id): F.unhex(F.md5(F.col(f"`{ref.column}`").cast("string")))
+            for ref in refs
+            if isinstance(ref.data_type, (T.IntegralType, T.StringType))
+        }
+        if columns:
+            data = entity.data.select(*(c.alias(name) for name, c in columns.items()))
+            parts.append(data.unpivot([], list(columns), "field", "value"))
+    values = reduce(DataFrame.unionAll, parts).groupBy("field", "value").agg(F.count("*").alias("n"))
+    present = F.col("value").isNotNull()
+    measured = values.groupBy(F.col("field").cast("bigint").alias("field_id")).agg(
+        F.sum(F.when(present, F.col("n")).otherwise(0)).alias("value_count"),
+        F.count_if(present).alias("distinct_count"),
     )
     return (
         fields.join(measured, "field_id")
-        .where(F.arrays_overlap("types", F.array(*map(F.lit, countable))))
         .withColumn("declared_unique", F.col("primary_key") | F.col("unique"))
-        .withColumn("measured_unique", all_different)
+        .withColumn(
+            "measured_unique",
+            (F.col("value_count") > 0) & (F.col("value_count") == F.col("distinct_count")),
+        )
     )
 
 
@@ -131,7 +149,7 @@ def bounded_sample(data: DataFrame, *key: str, size: int = SAMPLE_SIZE) -> DataF
 def sampled(sources: SourceSet, size: int = SAMPLE_SIZE) -> SourceSet:
     """The same sources, each entity cut to a bounded sample of its rows.
 
-    Rows are ordered by a hash of all their scalar columns, or of their JSON.
+    Rows are ordered by a hash of their declared primary key, else of their JSON.
     """
     return SourceSet(
         Source(s.source_id, s.kind, tuple(_sampled(e, size) for e in s.entities))
@@ -140,8 +158,11 @@ def sampled(sources: SourceSet, size: int = SAMPLE_SIZE) -> SourceSet:
 
 
 def _sampled(entity: Entity, size: int) -> Entity:
+    key = next((k.columns for k in entity.keys if k.kind == "primary"), None)
     if entity.document is not None:
         text = F.to_json(F.col(entity.document))
+    elif key:
+        text = F.concat_ws("\u0000", *(F.col(f"`{c}`").cast("string") for c in key))
     else:
         text = F.to_json(F.struct(*(f"`{c}`" for c in entity.data.columns)))
     ordered = entity.data.orderBy(F.sha2(text, 256), text).limit(size)

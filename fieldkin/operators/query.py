@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldkin.operators import paths
+
 # Most rows any query hands back.
 MAX_ROWS = 1000
 
+#: Parts that the matches of a key are gathered in before they become one array.
+PARTS = 64
+
+# A final semicolon may be followed by white space and comments.
+_END = re.compile(r"(?:\s|--[^\n]*(?:\n|$)|/\*(?:(?!\*/).)*\*/)*$", re.S)
+
 
 def bounded_sql(
     spark: SparkSession, text: str, views: Mapping[str, DataFrame], limit: int = MAX_ROWS
@@ -21,12 +29,32 @@ def bounded_sql(
     """One read query over the named tables, at most ``limit`` rows.
 
     The text is placed as a subquery, so Spark's own parser refuses commands,
-    writes and further statements before anything runs.
+    writes and further statements before anything runs. It is analysed at once;
+    views of the caller with the same names are put back after that.
     """
-    for name, data in views.items():
-        data.createOrReplaceTempView(name)
-    query = text.rstrip().removesuffix(";")
-    return spark.sql(f"SELECT * FROM (\n{query}\n) LIMIT {_positive(limit)}")
+    before = {name: _set_aside(spark, name) for name in views}
+    try:
+        for name, data in views.items():
+            data.createOrReplaceTempView(name)
+        return spark.sql(f"SELECT * FROM (\n{_unended(text)}\n) LIMIT {_positive(limit)}")
+    finally:
+        for name, own in before.items():
+            spark.catalog.dropTempView(name)
+            if own is not None:
+                own.createOrReplaceTempView(name)
+
+
+def _set_aside(spark: SparkSession, name: str) -> DataFrame | None:
+    listed = {t.name.lower() for t in spark.catalog.listTables() if t.isTemporary}
+    return spark.table(name) if name.lower() in listed else None
+
+
+def _unended(text: str) -> str:
+    """The text without a final semicolon, where only comments and space follow it."""
+    for at in reversed([m.start() for m in re.finditer(";", text)]):
+        if _END.match(text, at + 1):
+            return text[:at]
+    return text
 
 
 def _positive(limit: int) -> int:
@@ -48,17 +76,18 @@ def find(
     data: DataFrame,
     where: Column | None = None,
     columns: Sequence[str | Column] | None = None,
-    sort: Mapping[str, int] | None = None,
+    sort: Mapping[str, int] | Sequence[Column] | None = None,
     limit: int | None = None,
 ) -> DataFrame:
     """Filter, sort, project and cut, at most :data:`MAX_ROWS` rows.
 
     Nulls sort lowest, as document stores sort them. Sorting happens before the
-    projection, so a query may sort by a column it does not return.
+    projection, so a query may sort by a column it does not return. Members of
+    documents sort by ``paths.sort_key``.
     """
     found = data if where is None else data.where(where)
     if sort:
-        found = found.orderBy(*_ordering(sort))
+        found = found.orderBy(*(_ordering(sort) if isinstance(sort, Mapping) else sort))
     if columns is not None:
         found = found.select(*columns)
     return found.limit(MAX_ROWS if limit is None else min(_positive(limit), MAX_ROWS))
@@ -70,16 +99,30 @@ def aggregate(data: DataFrame, *stages: Callable[[DataFrame], DataFrame]) -> Dat
 
 
 def matches(data: DataFrame, column: str, value: object) -> Column:
-    """Equality as documents mean it: an array matches by any of its elements."""
-    if isinstance(data.schema[column].dataType, T.ArrayType):
-        return F.array_contains(column, value)
-    return F.col(column) == F.lit(value)
+    """Equality as documents mean it: an array matches by any of its elements.
+
+    ``column`` may name a path within a VARIANT column (``document.tags.name``).
+    None matches what is null or missing.
+    """
+    name, _, path = column.partition(".")
+    if column not in data.columns and isinstance(data.schema[name].dataType, T.VariantType):
+        return paths.compares(F.col(name), path, "eq", value)
+    kind = data.schema[column].dataType
+    if isinstance(kind, T.VariantType):
+        return paths.compares(F.col(column), "", "eq", value)
+    missing = F.col(column).isNull()
+    if isinstance(kind, T.ArrayType):
+        if value is None:
+            return missing | F.exists(column, lambda x: x.isNull())
+        return F.coalesce(F.array_contains(column, value), F.lit(False))
+    return missing if value is None else F.coalesce(F.col(column) == F.lit(value), F.lit(False))
 
 
 def any_outside(column: str, allowed: Iterable[object]) -> Column:
-    """Whether an array has an element that is not one of the allowed values."""
+    """Whether an array has an element, null or not, that is none of the allowed values."""
     listed = list(allowed)
-    return F.coalesce(F.exists(column, lambda x: ~x.isin(listed)), F.lit(False))
+    outside = F.exists(column, lambda x: ~F.coalesce(x.isin(listed), F.lit(False)))
+    return F.coalesce(outside, F.lit(False))
 
 
 def has_path(document: str, path: str) -> Column:
@@ -87,6 +130,15 @@ def has_path(document: str, path: str) -> Column:
     return F.try_variant_get(F.col(document), path, "variant").isNotNull()
 
 
+def _unordered(kind: T.DataType) -> bool:
+    """Whether Spark can neither hash nor order values of a type."""
+    if isinstance(kind, T.ArrayType):
+        return _unordered(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_unordered(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.VariantType, T.MapType))
+
+
 def lookup(
     left: DataFrame,
     right: DataFrame,
@@ -94,54 +146,54 @@ def lookup(
     right_column: str,
     alias: str,
     columns: Sequence[str] | None = None,
-    chunk_rows: int = 100_000,
 ) -> DataFrame:
-    """Left join that nests the matching rows of ``right`` in an array.
+    """Left join that nests the matching rows of ``right``, sorted, in an array.
+
+    One row per left row, whatever the number of matches; rows without a match get
+    an empty array. Matches are gathered in parts by their content first, so that
+    many tasks share the rows of a frequent key before they become its array. For
+    matches that are too many for one row there is :func:`lookup_rows`.
 
-    Matches are gathered per key, at most about ``chunk_rows`` of them in one
-    array. Keys with more are spread over several rows, numbered by ``chunk``, so
-    that no key has to fit a single task; all other keys have ``chunk`` 0 only.
-    Rows without a match get an empty array. They are found against the distinct
-    keys, which leaves an inner join, the kind Spark can split on either side.
+    Rows with VARIANT or MAP members are dealt out and sorted by their JSON text.
     """
     nested = F.struct(*(columns or right.columns))
     keyed = right.where(F.col(right_column).isNotNull()).select(
         F.col(right_column).alias("_key"), nested.alias("_row")
     )
-    large = (
-        keyed.groupBy("_key").agg(F.count("*").alias("_n"))
-        .where(F.col("_n") > chunk_rows)
-        .select("_key", F.ceil(F.col("_n") / chunk_rows).alias("_chunks"))
+    kind = keyed.schema["_row"].dataType
+    rank = F.to_json("_row") if _unordered(kind) else F.lit(None).cast("string")
+    content = "_rank" if _unordered(kind) else "_row"
+    part = F.pmod(F.xxhash64(content), F.lit(PARTS))
+    entry = F.struct("_rank", "_row")
+    parts = keyed.withColumn("_rank", rank).groupBy("_key", part.alias("_part")).agg(
+        F.collect_list(entry).alias("_rows")
     )
-    few = keyed.join(large, "_key", "left_anti").select(
-        "_key", F.lit(0).cast("bigint").alias("chunk"), "_row", F.lit(1).alias("copies")
-    )
-    # Which chunk a row goes to depends on its content only, so a task that is run
-    # again decides alike. Equal rows are counted first and dealt out in pieces.
-    counted = keyed.join(large, "_key").groupBy("_key", "_chunks", "_row").agg(
-        F.count("*").alias("_n")
-    )
-    pieces = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / chunk_rows))
-    many = counted.withColumn("_piece", F.explode(pieces)).select(
-        "_key",
-        F.pmod(F.pmod(F.xxhash64("_row"), "_chunks") + F.col("_piece"), "_chunks").alias("chunk"),
-        "_row",
-        F.least(F.lit(chunk_rows), F.col("_n") - F.col("_piece") * chunk_rows)
-        .cast("int").alias("copies"),
-    )
-    rows = F.flatten(F.collect_list(F.array_repeat("_row", F.col("copies"))))
-    gathered = (
-        few.unionAll(many)
-        .groupBy("_key", F.col("chunk").cast("int").alias("chunk"))
-        .agg(F.array_sort(rows).alias(alias))
-    )
-    on = left[left_column] == F.col("_key")
-    matched = left.join(gathered, on).drop("_key")
-    unmatched = left.join(keyed.select("_key").distinct(), on, "left_anti").withColumns({
-        "chunk": F.lit(0),
-        alias: F.array().cast(gathered.schema[alias].dataType),
-    })
-    return matched.unionByName(unmatched)
+    rows = F.flatten(F.collect_list("_rows"))
+    if _unordered(kind):
+        rows = F.array_sort(rows, lambda a, b: (
+            F.when(a["_rank"] < b["_rank"], -1).when(a["_rank"] > b["_rank"], 1).otherwise(0)
+        ))
+    else:
+        rows = F.array_sort(rows)
+    gathered = parts.groupBy("_key").agg(F.transform(rows, lambda e: e["_row"]).alias(alias))
+    none = F.array().cast(gathered.schema[alias].dataType)
+    joined = left.join(gathered, left[left_column] == F.col("_key"), "left").drop("_key")
+    return joined.withColumn(alias, F.coalesce(alias, none))
+
+
+def lookup_rows(
+    left: DataFrame,
+    right: DataFrame,
+    left_column: str,
+    right_column: str,
+    alias: str,
+    columns: Sequence[str] | None = None,
+) -> DataFrame:
+    """The same pairs as :func:`lookup`, one row per match; null where there is none."""
+    keyed = right.select(
+        F.col(right_column).alias("_key"), F.struct(*(columns or right.columns)).alias(alias)
+    ).where("_key IS NOT NULL")
+    return left.join(keyed, left[left_column] == F.col("_key"), "left").drop("_key")
 
 
 def without_match(
@@ -166,18 +218,19 @@ def ordered_strings(
 
     ``distinct`` drops repeated (order, value) entries before they are gathered,
     with a map-side combine, so that a group is as large as its variety only.
-    Otherwise entries are range partitioned by group and order, which splits large
-    groups; each part is joined on its own and the parts are strung together.
+    Otherwise entries are range partitioned by group, order and value, which splits
+    large groups; values of equal order come in their own order. Each part is joined on its own and the parts are strung together.
     """
-    entries = data.select(*keys, order, value)
+    order_column = F.col(order).alias("_order")
+    entries = data.select(*keys, order_column, value)
     if distinct:
-        return entries.distinct().groupBy(*keys).agg(_listed(value, separator, order, alias))
+        return entries.distinct().groupBy(*keys).agg(_listed(value, separator, "_order", alias))
     parts = (
         entries.where(F.col(value).isNotNull())
-        .repartitionByRange(*keys, order)
+        .repartitionByRange(*keys, "_order", value)
         .withColumn("_part", F.spark_partition_id())
         .groupBy(*keys, "_part")
-        .agg(_listed(value, separator, order, "_text"))
+        .agg(_listed(value, separator, "_order", "_text"))
     )
     strings = parts.groupBy(*keys).agg(_listed("_text", separator, "_part", alias))
     groups = entries.select(*keys).distinct()
@@ -186,7 +239,9 @@ def ordered_strings(
 
 def _listed(value: str, separator: str, order: str, alias: str) -> Column:
     text = separator.replace("\\", "\\\\").replace("'", "\\'")
-    return F.expr(f"listagg(`{value}`, '{text}') WITHIN GROUP (ORDER BY `{order}`)").alias(alias)
+    return F.expr(
+        f"listagg(`{value}`, '{text}') WITHIN GROUP (ORDER BY `{order}`, `{value}`)"
+    ).alias(alias)
 
 
 def _contains(column: Column, fragment: str) -> Column:
@@ -214,12 +269,15 @@ def as_json(data: DataFrame, alias: str = "row") -> DataFrame:
     return data.select(row.alias(alias))
 
 
-def result_envelope(result: DataFrame, limit: int = MAX_ROWS) -> DataFrame:
-    """A bounded result as JSON rows, each with the number of rows returned.
+def result_envelope(result: DataFrame, kind: str, limit: int = MAX_ROWS) -> DataFrame:
+    """One row: the kind of the source, a bounded result as JSON rows, and their number.
 
-    The window sees at most ``limit`` rows, never an open-ended result.
+    An empty result has no rows and the number 0. The array holds at most ``limit``
+    rows, never an open-ended result; it keeps the order of a sorted result.
     """
-    everything = W.partitionBy(F.lit(0))
-    return as_json(result.limit(limit)).withColumn(
-        "returned_count", F.count("*").over(everything)
+    rows = as_json(result.limit(limit))
+    return rows.agg(
+        F.lit(kind).alias("kind"),
+        F.collect_list("row").alias("rows"),
+        F.count("*").alias("returned_count"),
     )

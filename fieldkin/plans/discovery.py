@@ -5,10 +5,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-
-from fieldkin.operators.catalog import profiled_fields
+from pyspark.sql import functions as F
+
+from fieldkin.operators.catalog import (
+    catalog_entities,
+    catalog_fields,
+    catalog_keys,
+    declared_keys,
+    profiled_fields,
+)
 from fieldkin.operators.documents import (
-    MAX_DEPTH,
     document_counts,
     document_fields,
     document_value_counts,
@@ -30,14 +36,14 @@ class Inspection:
     counts: DataFrame
 
 
-def inspect(spark: SparkSession, sources: SourceSet, max_depth: int = MAX_DEPTH) -> Inspection:
+def inspect(spark: SparkSession, sources: SourceSet) -> Inspection:
     """Fields and value counts of relational and document sources together."""
     fields, counts = [], []
     if sources.of_kind(RELATIONAL):
         fields.append(profiled_fields(spark, sources))
         counts.append(value_counts(sources))
     if sources.of_kind(DOCUMENT):
-        occurrences = document_counts(sources, max_depth)
+        occurrences = document_counts(sources)
         fields.append(document_fields(sources, occurrences))
         counts.append(document_value_counts(occurrences))
     if len(fields) == 1:
@@ -49,6 +55,28 @@ def inspect(spark: SparkSession, sources: SourceSet, max_depth: int = MAX_DEPTH)
     )
 
 
+def catalog(spark: SparkSession, sources: SourceSet) -> DataFrame:
+    """Every entity of sources of both kinds: its fields, indexes and keys, one row each.
+
+    Fields of tables come in their order, fields of documents by path.
+    """
+    entity = ["source_ord", "source_id", "namespace", "entity"]
+    described = ["path", "types", F.col("declared_nullable").alias("nullable")]
+    fields = []
+    if sources.of_kind(RELATIONAL):
+        fields.append(catalog_fields(spark, sources).select(*entity, "ordinal", *described))
+    if sources.of_kind(DOCUMENT):
+        found = document_fields(sources, document_counts(sources))
+        fields.append(found.select(*entity, F.lit(0).alias("ordinal"), *described))
+    every = fields[0] if len(fields) == 1 else fields[0].unionAll(fields[1])
+    listed = F.transform(
+        F.array_sort(F.collect_list(F.struct("ordinal", "path", "types", "nullable"))),
+        lambda f: F.struct(f["path"].alias("path"), f["types"].alias("types"), f["nullable"].alias("nullable")),
+    )
+    keys = catalog_keys(catalog_entities(spark, sources), declared_keys(spark, sources))
+    return keys.join(every.groupBy(*entity).agg(listed.alias("fields")), entity, "left")
+
+
 def _overlaps(counts: DataFrame, mode: str) -> DataFrame:
     return sketch_overlap(fingerprint_sketch(counts)) if mode == "sketch" else value_overlap(counts)
 
@@ -66,7 +94,7 @@ def overlaps(spark: SparkSession, sources: SourceSet, mode: str = "exact") -> Da
 
 def relationships(spark: SparkSession, sources: SourceSet, mode: str = "exact") -> DataFrame:
     """Every relationship that meets the confidence threshold."""
-    return related(_inspected(spark, sources, mode), mode)
+    return related(_inspected(spark, sources.for_mapping(), mode), mode)
 
 
 def related(found: Inspection, mode: str = "exact") -> DataFrame:

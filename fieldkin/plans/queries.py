@@ -11,17 +11,16 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldkin.functions.values import fingerprint, normal_form
-from fieldkin.operators import batch, catalog, documents, expect, mapping, overlap, profile
+from fieldkin.operators import batch, catalog, documents, expect, mapping, overlap, paths, profile
 from fieldkin.operators import query as q
 from fieldkin.operators import relate
 from fieldkin.operators.value_counts import value_counts
 from fieldkin.plans import discovery
-from fieldkin.sources.model import DOCUMENT, RELATIONAL, Entity, Source, SourceSet
-from fieldkin.sources.readers import DOCUMENT_COLUMN, documents_from_json
+from fieldkin.sources.model import DOCUMENT, RELATIONAL, Entity, Key, Source, SourceSet
+from fieldkin.sources.readers import DOCUMENT_COLUMN, documents_from_json, documents_from_rows
 from fieldkin.sources.warehouse import NAMESPACE, table, warehouse
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,18 +127,95 @@ def _event_documents(spark: SparkSession, directory: str) -> DataFrame:
     return documents_from_json(table(spark, directory, "events"), "props")
 
 
+def _shop(spark: SparkSession, directory: str) -> Source:
+    """A collection with a unique key over two paths."""
+    return Source("shop", DOCUMENT, (Entity(
+        "docs", "orders", _shop_documents(spark, directory),
+        keys=(Key("orders_customer_total", "unique", ("customer.id", "total")),),
+        indexes=("_id_", "orders_customer_total"), document=DOCUMENT_COLUMN,
+    ),))
+
+
+def _stream(spark: SparkSession, directory: str) -> Source:
+    data = _event_documents(spark, directory)
+    return Source("stream", DOCUMENT, (
+        Entity("docs", "events", data, indexes=("_id_",), document=DOCUMENT_COLUMN),
+    ))
+
+
 def _collections(spark: SparkSession, directory: str) -> SourceSet:
-    return SourceSet(
-        Source(source_id, DOCUMENT, (Entity("docs", name, data, document=DOCUMENT_COLUMN),))
-        for source_id, name, data in (
-            ("stream", "events", _event_documents(spark, directory)),
-            ("shop", "orders", _shop_documents(spark, directory)),
-        )
+    return SourceSet([_stream(spark, directory), _shop(spark, directory)])
+
+
+def catalog_mixed(spark: SparkSession, directory: str) -> DataFrame:
+    """Tables and collections in one catalog."""
+    crm = warehouse(spark, directory)["crm"]
+    found = discovery.catalog(spark, SourceSet([crm, *_collections(spark, directory)]))
+    field = F.transform("fields", lambda f: F.concat_ws(
+        ":", f["path"], F.array_join(f["types"], "|"), F.when(f["nullable"], "null")))
+    return found.select(
+        "source_id", "kind", "namespace", "entity", _joined(field).alias("fields"),
+        _joined("indexes").alias("indexes"), _joined("key_fields").alias("key_fields"),
+        _joined("unique_fields").alias("unique_fields"),
+    )
+
+
+def _at(path: str, kind: str) -> Column:
+    return F.try_variant_get(DOCUMENT_COLUMN, f"$.{path}", kind)
+
+
+def find_documents(spark: SparkSession, directory: str) -> DataFrame:
+    """Documents by members at dotted paths, sorted by one that has several types."""
+    data, document = _shop_documents(spark, directory), F.col(DOCUMENT_COLUMN)
+    return q.find(
+        data,
+        where=paths.compares(document, "customer.state.code", "in", ["F", "P"])
+        & paths.compares(document, "total", "gte", 1000),
+        columns=[_at("_id", "bigint").alias("order_key"), _at("customer.id", "bigint").alias("customer")],
+        sort=[paths.sort_key(document, "total", -1), paths.sort_key(document, "_id", 1)],
+        limit=500,
+    )
+
+
+def document_membership(spark: SparkSession, directory: str) -> DataFrame:
+    """Arrays that hold a value, as an element or as a member of an element."""
+    data = _shop_documents(spark, directory)
+    found = data.select(
+        _at("_id", "bigint").alias("order_key"),
+        q.matches(data, "document.tags.name", "1-URGENT").alias("by_name"),
+        q.matches(data, "document.tags", "1-URGENT").alias("by_element"),
+        q.matches(data, "document.note", None).alias("no_note"),
+        paths.compares(F.col(DOCUMENT_COLUMN), "note", "exists", True).alias("has_note"),
+    )
+    return found.where("by_name or by_element")
+
+
+def document_elem_match(spark: SparkSession, directory: str) -> DataFrame:
+    """Arrays with one element that passes two tests at once."""
+    tests = [("name", "gte", "F"), ("name", "lt", "G")]
+    data, document = _shop_documents(spark, directory), F.col(DOCUMENT_COLUMN)
+    return data.where(paths.element_matches(document, "tags", tests)).select(
+        _at("_id", "bigint").alias("order_key"), _at("customer.id", "bigint").alias("customer")
+    )
+
+
+def document_lookup(spark: SparkSession, directory: str) -> DataFrame:
+    """Customers as documents with their orders, documents too."""
+    customers = documents_from_rows(table(spark, directory, "customer"), "c_custkey", "c_name")
+    orders = _shop_documents(spark, directory).withColumn("of", _at("customer.id", "bigint"))
+    found = q.lookup(
+        customers.withColumn("key", _at("c_custkey", "bigint")), orders, "key", "of", "orders",
+        columns=[DOCUMENT_COLUMN],
+    )
+    keys = F.transform("orders", lambda o: F.try_variant_get(o[DOCUMENT_COLUMN], "$._id", "bigint"))
+    return found.select(
+        "key", _at("c_name", "string").alias("name"),
+        F.size("orders").cast("bigint").alias("order_count"), _joined(F.array_sort(keys)).alias("orders"),
     )
 
 
 def _inferred(data: DataFrame) -> DataFrame:
-    fields = documents.infer_fields(data, DOCUMENT_COLUMN, max_depth=4)
+    fields = documents.infer_fields(data, DOCUMENT_COLUMN)
     return fields.select("path", _joined("types").alias("types"))
 
 
@@ -152,7 +228,7 @@ def infer_fields_nested(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def document_profile(spark: SparkSession, directory: str) -> DataFrame:
-    return _flat_profile(documents.document_profile(_collections(spark, directory), max_depth=4))
+    return _flat_profile(documents.document_profile(_collections(spark, directory)))
 
 
 # -- profiles ----------------------------------------------------------------
@@ -198,8 +274,8 @@ def fingerprint_values(spark: SparkSession, directory: str) -> DataFrame:
 def measured_uniqueness(spark: SparkSession, directory: str) -> DataFrame:
     sources = warehouse(spark, directory)
     fields = catalog.profiled_fields(spark, sources)
-    return profile.measured_uniqueness(fields, value_counts(sources)).select(
-        "source_id", "entity", "path", "sampled_value_count", "distinct_count",
+    return profile.measured_uniqueness(sources, fields).select(
+        "source_id", "entity", "path", "value_count", "distinct_count",
         "declared_unique", "measured_unique",
     )
 
@@ -216,28 +292,41 @@ def fingerprint_sketch(spark: SparkSession, directory: str) -> DataFrame:
 # -- relationships -----------------------------------------------------------
 
 
+ENTITY = ["source_id", "namespace", "entity"]
+
+
 def _described(spark: SparkSession, directory: str) -> DataFrame:
-    """Described fields of the entities that have rows."""
-    sources = warehouse(spark, directory)
-    filled = catalog.row_counts(sources).where("row_count > 0").drop("row_count")
-    fields = catalog.profiled_fields(spark, sources)
-    return relate.describe(fields.join(filled, ["source_id", "namespace", "entity"]))
+    return relate.describe(catalog.profiled_fields(spark, warehouse(spark, directory)))
+
+
+def _with_sizes(pairs: DataFrame, spark: SparkSession, directory: str) -> DataFrame:
+    """Pairs of fields beside the measured size of both entities."""
+    counts = catalog.row_counts(warehouse(spark, directory))
+    for side in ("left", "right"):
+        sizes = counts.toDF(*(f"{side}_{c}" for c in ENTITY), f"{side}_rows")
+        pairs = pairs.join(sizes, [f"{side}_{c}" for c in ENTITY])
+    return pairs
 
 
 def name_tokens(spark: SparkSession, directory: str) -> DataFrame:
-    return _described(spark, directory).select(
-        "source_id", "entity", "path", _joined(F.array_sort("tokens")).alias("tokens")
+    counts = catalog.row_counts(warehouse(spark, directory))
+    return _described(spark, directory).join(counts, ENTITY).select(
+        "source_id", "entity", "path", _joined(F.array_sort("tokens")).alias("tokens"), "row_count"
     )
 
 
 def name_similarity(spark: SparkSession, directory: str) -> DataFrame:
     pairs = relate.name_similarity(_described(spark, directory))
-    return pairs.select(*ENDS, _ratio("similarity").alias("similarity"))
+    return _with_sizes(pairs, spark, directory).select(
+        *ENDS, _ratio("similarity").alias("similarity"), "left_rows", "right_rows"
+    )
 
 
 def compatible_pairs(spark: SparkSession, directory: str) -> DataFrame:
     pairs = relate.compatible_pairs(relate.name_pairs(_described(spark, directory)))
-    return pairs.select(*ENDS, "compatible")
+    return _with_sizes(pairs, spark, directory).select(
+        *ENDS, "compatible", "left_rows", "right_rows"
+    )
 
 
 def value_overlap(spark: SparkSession, directory: str) -> DataFrame:
@@ -270,13 +359,38 @@ def relationship_suggestions_sketch(spark: SparkSession, directory: str) -> Data
     return _flat_suggestions(discovery.suggest(spark, warehouse(spark, directory), "sketch"))
 
 
+def relationship_suggestions_mixed(spark: SparkSession, directory: str) -> DataFrame:
+    """Suggestions between tables and a collection."""
+    sources = SourceSet([warehouse(spark, directory)["crm"], _shop(spark, directory)])
+    return _flat_suggestions(discovery.suggest(spark, sources))
+
+
+#: Positions of mappings are made from the numbers of their two fields.
+FIELDS = 10_000
+
+
 def _proposals(spark: SparkSession, sources: SourceSet, *variants: Column) -> DataFrame:
-    """Mapping rows made from the suggestions, at most a hundred times each variant."""
-    ranked = discovery.suggest(spark, sources).withColumn(
-        "place", F.row_number().over(W.orderBy(*relate.endpoint_columns()))
-    )
-    proposed = ranked.select("place", F.posexplode(F.array(*variants)).alias("variant", "r"))
-    position = (F.col("place") - 1) * len(variants) + F.col("variant") + 1
+    """A mapping of each key column to each field of its families in another source,
+    in every variant."""
+    described = relate.describe(catalog.profiled_fields(spark, sources))
+    left, right = (
+        described.select(*(F.col(c).alias(f"{side}_{c}") for c in described.columns))
+        .withColumn("family", F.explode(f"{side}_type_families"))
+        for side in ("left", "right")
+    )
+    pairs = (
+        left.where("left_is_key").join(right, "family")
+        .where("left_source_ord <> right_source_ord")
+        .withColumns({
+            "operator": F.lit("equals"), "cardinality": F.lit("one-to-many"),
+            "join_type": F.lit("inner"),
+        })
+    )
+    place = F.col("left_field_id") * FIELDS + F.col("right_field_id")
+    proposed = pairs.select(
+        place.alias("place"), F.posexplode(F.array(*variants)).alias("variant", "r")
+    )
+    position = F.col("place") * len(variants) + F.col("variant")
     return proposed.select(position.cast("bigint").alias("pos"), "r.*")
 
 
@@ -305,12 +419,17 @@ def validate_relationships(spark: SparkSession, directory: str) -> DataFrame:
         ),
     )
     checked = mapping.validate(proposals, catalog.profiled_fields(spark, sources))
-    return checked.select("pos", *ENDS, "status")
+    counts = catalog.row_counts(sources).select(
+        *(F.col(c).alias(f"left_{c}") for c in ENTITY), F.col("row_count").alias("left_rows"))
+    return checked.join(counts, [f"left_{c}" for c in ENTITY]).select(
+        "pos", *ENDS, "status", "left_rows")
 
 
 def duplicate_relationships(spark: SparkSession, directory: str) -> DataFrame:
     proposals = _proposals(spark, warehouse(spark, directory), _variant(), _swapped())
-    return mapping.mark_duplicates(proposals).select("pos", *ENDS, "duplicate")
+    marked = mapping.mark_duplicates(proposals)
+    return _with_sizes(marked, spark, directory).select(
+        "pos", *ENDS, "duplicate", "left_rows", "right_rows")
 
 
 def join_inner(spark: SparkSession, directory: str) -> DataFrame:
@@ -365,7 +484,7 @@ def sql_bounded(spark: SparkSession, directory: str) -> DataFrame:
         SELECT o_orderkey, c_name, o_totalprice  -- a ';' in a comment is no end
         FROM big JOIN customer ON c_custkey = o_custkey
         WHERE o_orderpriority <> ';'
-        ORDER BY o_totalprice DESC, o_orderkey;
+        ORDER BY o_totalprice DESC, o_orderkey; -- a comment after the end
     """, views)
 
 
@@ -449,6 +568,14 @@ def ordered_string_agg(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def ordered_string_repeats(spark: SparkSession, directory: str) -> DataFrame:
+    """Flags of an order's lines in the order of the lines, repeats kept."""
+    return q.ordered_strings(
+        table(spark, directory, "lineitem"), ["l_orderkey"], "l_returnflag", "l_linenumber",
+        "/", "flags",
+    )
+
+
 def tolerant_text_match(spark: SparkSession, directory: str) -> DataFrame:
     return q.tolerant_match(
         table(spark, directory, "part"), "p_name", {"SMALL ring": "sma", "Blue Bolt": "blu"}
@@ -456,13 +583,19 @@ def tolerant_text_match(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def result_envelope(spark: SparkSession, directory: str) -> DataFrame:
-    found = q.find(
-        table(spark, directory, "orders"),
-        where=F.col("o_orderstatus") == "O",
-        columns=["o_orderkey", "o_custkey", "o_orderpriority"],
-        sort={"o_orderkey": 1},
+    """A bounded result and an empty one."""
+    def envelope(status: str) -> DataFrame:
+        found = q.find(
+            table(spark, directory, "orders"),
+            where=F.col("o_orderstatus") == status,
+            columns=["o_orderkey", "o_custkey", "o_orderpriority"],
+            sort={"o_orderkey": 1},
+        )
+        return q.result_envelope(found, RELATIONAL)
+
+    return envelope("O").unionAll(envelope("no such status")).select(
+        "kind", F.array_join("rows", "\n").alias("rows"), "returned_count"
     )
-    return q.result_envelope(found)
 
 
 # -- several sources ---------------------------------------------------------
@@ -492,6 +625,15 @@ def _batch(spark: SparkSession, directory: str) -> batch.Batch:
             "source_5", DOCUMENT, opened("events"),
             lambda d: d.where("event_type = 'error'").select("event_id", "user_id"), ("event_id",),
         ),
+        batch.SourceQuery(
+            "source_6", RELATIONAL, opened("orders"),
+            lambda d: d.where("o_totalprice < 0").select("o_orderkey"), ("o_orderkey",),
+        ),
+        batch.SourceQuery(
+            "source_7", DOCUMENT, opened("events"),
+            lambda d: d.select("event_id", F.assert_true(F.col("event_id") < 0).alias("checked")),
+            ("event_id",),
+        ),
     ])
 
 
@@ -503,9 +645,7 @@ def multi_source_batch(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def multi_source_outcomes(spark: SparkSession, directory: str) -> DataFrame:
-    answered = _batch(spark, directory)
-    returned = answered.rows.groupBy("source_id").agg(F.count("*").alias("returned_count"))
-    return answered.outcomes.join(returned, "source_id", "left").select(
+    return _batch(spark, directory).outcomes.select(
         "source_id", "kind", "stage", "status", "error", "returned_count"
     )
 
@@ -586,15 +726,17 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         result_envelope,
-        catalog_fields, catalog_keys, infer_fields_props, infer_fields_nested,
+        catalog_fields, catalog_keys, catalog_mixed, infer_fields_props, infer_fields_nested,
         bounded_sample, normalize_values, fingerprint_values, type_families, profile_eligible,
         field_profile, document_profile, measured_uniqueness, fingerprint_sketch,
         name_tokens, name_similarity, value_overlap, value_overlap_sketch, compatible_pairs,
-        relationship_suggestions, relationship_suggestions_sketch,
+        relationship_suggestions, relationship_suggestions_sketch, relationship_suggestions_mixed,
         validate_relationships, duplicate_relationships, join_inner, join_left,
         observed_cardinality,
         sql_bounded, find_orders, aggregate_capped, array_membership, array_any_match,
-        filter_compound, lookup_nested, lookup_orphans, ordered_string_agg, row_counts,
+        filter_compound, find_documents, document_membership, document_elem_match,
+        document_lookup, lookup_nested, lookup_orphans, ordered_string_agg,
+        ordered_string_repeats, row_counts,
         tolerant_text_match,
         multi_source_batch, multi_source_outcomes, pack_rows_per_group, pack_rows_shared,
         expect_row_counts, expect_domains, expect_unique, expect_references,

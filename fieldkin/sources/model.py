@@ -8,9 +8,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-# Limits of a request that names several sources.
+# Limits of a request that maps sources to each other, and what is said of others.
 MIN_SOURCES = 2
 MAX_SOURCES = 10
+TOO_FEW_OR_MANY = f"{MIN_SOURCES} to {MAX_SOURCES} sources are required."
 SOURCE_ID = re.compile(r"[a-zA-Z][a-zA-Z0-9_-]{0,63}")
 
 RELATIONAL = "relational"
@@ -82,7 +83,7 @@ class Source:
 
 @dataclass(frozen=True)
 class SourceSet:
-    """Two to ten uniquely named sources, in request order."""
+    """Uniquely named sources, in request order. Mapping requests take two to ten."""
 
     sources: tuple[Source, ...]
     _ids: frozenset[str] = field(init=False, repr=False)
@@ -92,8 +93,8 @@ class SourceSet:
         ids = frozenset(s.source_id for s in listed)
         if len(ids) != len(listed):
             raise ValueError("Source IDs must be unique.")
-        if not MIN_SOURCES <= len(listed) <= MAX_SOURCES:
-            raise ValueError(f"{MIN_SOURCES} to {MAX_SOURCES} sources are required.")
+        if not listed:
+            raise ValueError("A source is required.")
         object.__setattr__(self, "sources", listed)
         object.__setattr__(self, "_ids", ids)
 
@@ -109,5 +110,11 @@ class SourceSet:
                 return source
         raise KeyError(f"No source {source_id!r}.")
 
+    def for_mapping(self) -> SourceSet:
+        """These sources, if there are as many as a mapping request may name."""
+        if not MIN_SOURCES <= len(self.sources) <= MAX_SOURCES:
+            raise ValueError(TOO_FEW_OR_MANY)
+        return self
+
     def of_kind(self, kind: str) -> list[tuple[int, Source]]:
         return [(i, s) for i, s in enumerate(self.sources) if s.kind == kind]

@@ -18,16 +18,24 @@ SOURCES = {
 }
 
 PRIMARY_KEYS = {
-    "customer": "c_custkey",
-    "nation": "n_nationkey",
-    "region": "r_regionkey",
-    "orders": "o_orderkey",
-    "part": "p_partkey",
-    "supplier": "s_suppkey",
-    "documents": "doc_id",
-    "labels": "doc_id",
+    "customer": ("c_custkey",),
+    "nation": ("n_nationkey",),
+    "region": ("r_regionkey",),
+    "lineitem": ("l_orderkey", "l_linenumber"),
+    "orders": ("o_orderkey",),
+    "part": ("p_partkey",),
+    "supplier": ("s_suppkey",),
+    "documents": ("doc_id",),
+    "labels": ("doc_id",),
 }
 
+UNIQUE_KEYS = {
+    "customer": {"customer_name_key": ("c_name",)},
+    "nation": {"nation_place_key": ("n_regionkey", "n_name"), "nation_name_key": ("n_name",)},
+}
+
+OTHER_INDEXES = {"orders": ("orders_custkey_idx", "orders_date_idx")}
+
 #: Declared schemas: opening a table then reads no file, whatever their number.
 SCHEMAS = {
     "region": "r_regionkey int, r_name string",
@@ -80,11 +88,12 @@ def warehouse(spark: SparkSession, directory: str) -> SourceSet:
 
 def _entity(spark: SparkSession, directory: str, name: str) -> Entity:
     key = PRIMARY_KEYS.get(name)
-    keys = (Key(f"{name}_pkey", "primary", (key,)),) if key else ()
+    keys = (Key(f"{name}_pkey", "primary", key),) if key else ()
+    keys += tuple(Key(k, "unique", c) for k, c in UNIQUE_KEYS.get(name, {}).items())
     return Entity(
         NAMESPACE,
         name,
         table(spark, directory, name),
         keys=keys,
-        indexes=tuple(k.name for k in keys),
+        indexes=tuple(k.name for k in keys) + OTHER_INDEXES.get(name, ()),
     )
