@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
 from operator import or_
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,8 +46,10 @@ def bounded_sql(
 
 
 def _set_aside(spark: SparkSession, name: str) -> DataFrame | None:
-    listed = {t.name.lower() for t in spark.catalog.listTables() if t.isTemporary}
-    return spark.table(name) if name.lower() in listed else None
+    try:
+        return spark.table(name) if spark.catalog.getTable(name).isTemporary else None
+    except AnalysisException:
+        return None
 
 
 def _unended(text: str) -> str:

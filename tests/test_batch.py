@@ -21,12 +21,19 @@ def test_a_failing_source_does_not_stop_the_others(spark, tmp_path):
         query("s2", lambda: spark.range(3)),
         query("s3", lambda: spark.range(3), lambda d: d.select("nope")),
         query("s4", lambda: spark.range(2000)),
+        query("s5", lambda: spark.range(3), lambda d: d.select("id", F.raise_error(F.lit("x")).alias("e"))),
+        query("s6", lambda: spark.range(3).where("id > 5")),
+        query("s7", lambda: spark.read.format("jdbc").options(url="jdbc:nosuch:x", dbtable="t").load()),
     ])
-    outcomes = {r.source_id: (r.stage, r.status, r.error) for r in got.outcomes.collect()}
+    outcomes = {
+        r.source_id: (r.stage, r.status, r.error, r.returned_count) for r in got.outcomes.collect()
+    }
     hidden = "Unable to access the relational source."
     assert outcomes == {
-        "s1": ("catalog", "failed", hidden), "s2": ("execute", "succeeded", None),
-        "s3": ("execute", "failed", hidden), "s4": ("execute", "succeeded", None),
+        "s1": ("catalog", "failed", hidden, None), "s2": ("execute", "succeeded", None, 3),
+        "s3": ("execute", "failed", hidden, None), "s4": ("execute", "succeeded", None, 1000),
+        "s5": ("execute", "failed", hidden, None), "s6": ("execute", "succeeded", None, 0),
+        "s7": ("catalog", "failed", hidden, None),
     }
     rows = got.rows.collect()
     assert [(r.row_no, r.returned_count, r.row) for r in rows if r.source_id == "s2"] == [
@@ -138,3 +145,9 @@ def test_expectations(spark):
     counts = spark.createDataFrame([("a", 5), ("b", 1), ("c", 1)], "entity string, row_count bigint")
     verdicts = E.expect_row_counts(counts, {"a": 5, "b": 2}).orderBy("entity").collect()
     assert [r.as_expected for r in verdicts] == [True, False, None]
+
+
+def test_nulls_may_repeat_in_a_unique_key(spark):
+    data = spark.createDataFrame([(1, None), (1, None), (2, 3), (2, 3)], "a int, b int")
+    assert tuple(E.expect_unique(data, ["a", "b"]).first()) == (1, 1)
+    assert tuple(E.expect_unique(data, ["a", "b"], nulls_repeat=False).first()) == (2, 2)

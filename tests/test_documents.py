@@ -34,7 +34,7 @@ def profiles(spark, *docs, keys=()):
     sources = SourceSet([
         source("a", collection(spark, *docs), keys), source("b", collection(spark, {"x": 1})),
     ])
-    rows = D.document_profile(sources, max_depth=4).where("source_id = 'a'").collect()
+    rows = D.document_profile(sources).where("source_id = 'a'").collect()
     return {r.path: r for r in rows}
 
 
@@ -62,11 +62,16 @@ def test_empty_documents_and_containers(spark):
     assert inferred(spark, {}, {"a": {}, "b": []}) == {"a": ["object"], "b": ["array"]}
 
 
-def test_deeper_documents_fail_instead_of_losing_fields(spark):
-    deep = {"a": {"b": {"c": {"d": 1}}}}
-    assert inferred(spark, deep, max_depth=4)["a.b.c.d"] == ["number"]
-    with pytest.raises(PySparkException, match="max_depth=3"):
-        inferred(spark, deep, max_depth=3)
+def test_documents_of_any_depth_are_unfolded(spark):
+    deep, path = 1, []
+    for level in range(40):
+        deep = {f"k{level}": deep, 'x"]}[{\\': "]]}"} if level % 3 else [{f"k{level}": deep}]
+        path.insert(0, f"k{level}")
+    documents = collection(spark, {"r": deep}, {"a": {"b": {"c": {"d": 1}}}})
+    assert D.nesting(documents, DOCUMENT_COLUMN) == 41 + 14
+    got = {r.path: r.types for r in D.infer_fields(documents, DOCUMENT_COLUMN).collect()}
+    assert got[".".join(["r", *path])] == ["number"] and got["a.b.c.d"] == ["number"]
+    assert profiles(spark, {"r": deep})[".".join(["r", *path])].distinct_count == 1
 
 
 def test_profile_counts_values_and_distinct_values(spark):

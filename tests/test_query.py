@@ -8,7 +8,9 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from fieldkin.operators import paths
 from fieldkin.operators import query as q
+from fieldkin.sources.readers import documents_from_json
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +31,7 @@ def test_sql_keeps_the_inner_order(spark, many):
 @pytest.mark.parametrize("text", [
     "DROP TABLE many", "CREATE TABLE x AS SELECT 1", "INSERT INTO many VALUES (1)",
     "SET spark.sql.ansi.enabled=false", "SELECT 1; SELECT 2", "-- nothing", "",
-    "SELECT 1; DROP VIEW many", "SELECT 1 /* open",
+    "SELECT 1; DROP VIEW many", "SELECT 1 /* open", "SELECT 1; /* open", "SELECT 1;;",
 ])
 def test_only_one_read_statement_is_accepted(spark, many, text):
     with pytest.raises(PySparkException):
@@ -40,11 +42,19 @@ def test_only_one_read_statement_is_accepted(spark, many, text):
 @pytest.mark.parametrize("text", [
     "SELECT ';' AS s", "SELECT 1 -- ; not an end", "SELECT 1 /* ; */ AS one",
     "WITH a AS (SELECT 1 AS x) SELECT x FROM a;", "SELECT 1 AS `a;b`", "VALUES (1)",
+    "SELECT 1; -- note", "SELECT ';' AS s; /* a ; */ -- and b\n  ",
 ])
 def test_semicolons_in_text_and_comments_are_no_ends(spark, text):
     assert q.bounded_sql(spark, text, {}).count() == 1
 
 
+def test_views_of_the_caller_are_put_back(spark, many):
+    spark.range(2).createOrReplaceTempView("many")
+    assert q.bounded_sql(spark, "SELECT n FROM many LIMIT 7", {"many": many, "other": many}).count() == 7
+    assert spark.table("many").count() == 2 and not spark.catalog.tableExists("other")
+    spark.catalog.dropTempView("many")
+
+
 def test_find_caps_sorts_and_projects(spark, many):
     assert q.find(many).count() == 1000
     assert q.find(many, limit=2000).count() == 1000
@@ -80,6 +90,10 @@ def test_array_predicates(spark):
     assert ids(q.matches(data, "episodes", "IV")) == [1]
     assert ids(q.matches(data, "i", 2)) == [2]
     assert ids(q.any_outside("episodes", ["IV", "V", "VI"])) == [5]
+    assert ids(q.matches(data, "episodes", None)) == [4]
+    nulls = spark.createDataFrame([(1, ["IV", None]), (2, ["IV"])], "i int, episodes array<string>")
+    assert [r.i for r in nulls.where(q.any_outside("episodes", ["IV"])).collect()] == [1]
+    assert [r.i for r in nulls.where(q.matches(nulls, "episodes", None)).collect()] == [1]
 
 
 def test_presence_differs_from_null(spark):
@@ -102,21 +116,62 @@ def worlds(spark):
 
 def test_lookup_nests_matches(worlds):
     rows = q.lookup(*worlds, "home", "slug", "planet", columns=["n"]).collect()
-    assert {r.name: ([m.n for m in r.planet], r.chunk) for r in rows} == {
-        "luke": ([1, 2], 0), "leia": ([3], 0), "rey": ([], 0), "yoda": ([], 0),
+    assert {r.name: [m.n for m in r.planet] for r in rows} == {
+        "luke": [1, 2], "leia": [3], "rey": [], "yoda": [],
     }
+    flat = q.lookup_rows(*worlds, "home", "slug", "planet", columns=["n"]).collect()
+    assert sorted((r.name, r.planet.n if r.planet else 0) for r in flat) == [
+        ("leia", 3), ("luke", 1), ("luke", 2), ("rey", 0), ("yoda", 0),
+    ]
 
 
-def test_lookup_spreads_large_keys_and_loses_nothing(spark):
-    left = spark.createDataFrame([(1,), (2,)], "k int")
-    right = spark.range(1000).select(F.when(F.col("id") < 990, 1).otherwise(2).alias("k"), "id")
-    rows = q.lookup(left, right, "k", "k", "m", columns=["id"], chunk_rows=100).collect()
-    assert max(len(r.m) for r in rows) < 200 and len([r for r in rows if r.k == 1]) == 10
-    assert sorted(m.id for r in rows for m in r.m) == list(range(1000))
-    assert [r.chunk for r in rows if r.k == 2] == [0]
+def test_lookup_gives_one_row_per_left_row_whatever_the_matches(spark):
+    left = spark.createDataFrame([(1,), (2,), (1,)], "k int")
+    right = spark.range(30_000).select(F.when(F.col("id") < 29_990, 1).otherwise(2).alias("k"), "id")
+    rows = q.lookup(left, right, "k", "k", "m", columns=["id"]).collect()
+    assert sorted((r.k, len(r.m)) for r in rows) == [(1, 29_990), (1, 29_990), (2, 10)]
+    assert all([m.id for m in r.m] == sorted(m.id for m in r.m) for r in rows)
     same = right.withColumn("id", F.lit(7))
-    rows = q.lookup(left, same, "k", "k", "m", columns=["id"], chunk_rows=100).collect()
-    assert max(len(r.m) for r in rows) < 200 and sum(len(r.m) for r in rows) == 1000
+    assert sorted(len(r.m) for r in q.lookup(left, same, "k", "k", "m").collect()) == [10, 29_990, 29_990]
+
+
+def test_lookup_nests_documents_and_maps(spark):
+    left = spark.createDataFrame([(1,), (2,)], "k int")
+    right = spark.createDataFrame([(1, '{"b": 2}'), (1, '{"a": 1}'), (None, "{}")], "k int, j string").select(
+        "k", F.parse_json("j").alias("d"), F.create_map(F.lit("j"), "j").alias("m"))
+    rows = {r.k: r.x for r in q.lookup(left, right, "k", "k", "x").collect()}
+    assert [dict(x.m) for x in rows[1]] == [{"j": '{"a": 1}'}, {"j": '{"b": 2}'}] and rows[2] == []
+
+
+def test_document_paths_go_through_arrays(spark):
+    documents = (
+        '{"_id": 1, "tags": [{"name": "a", "n": 1}, {"name": "b", "n": 5}], "x": {"y": [1, 2, 3]}, "s": "5"}',
+        '{"_id": 2, "tags": [], "x": {"y": 7}, "s": null, "t": true}',
+        '{"_id": 3, "tags": [{"name": "a", "n": 5}, null, 4], "a": [[1, 2], [3]], "t": 1, "o\'s": 1}',
+    )
+    data = documents_from_json(spark.createDataFrame([(x,) for x in documents], "value string"))
+    document = F.col("document")
+
+    def ids(condition, *order):
+        found = data.where(condition)
+        found = found.orderBy(*order) if order else found
+        return [int(r[0]) for r in found.select(paths.text_at(document, "_id")).collect()]
+
+    for path, operator, value, want in (
+        ("tags.name", "eq", "a", [1, 3]), ("tags.name", "ne", "a", [2]), ("tags.n", "gt", 4, [1, 3]),
+        ("tags.n", "lte", 1.5, [1]), ("x.y", "eq", 2, [1]), ("x.y.1", "eq", 2, [1]), ("tags.0.name", "eq", "a", [1, 3]),
+        ("s", "eq", 5, []), ("s", "eq", "5", [1]), ("s", "eq", None, [2, 3]), ("s", "exists", True, [1, 2]),
+        ("none", "exists", False, [1, 2, 3]), ("x.y", "in", [7, 3, None], [1, 2, 3]), ("x.y", "nin", [7], [1, 3]),
+        ("a", "eq", 3, []), ("t", "eq", True, [2]), ("t", "eq", 1, [3]), ("o's", "eq", 1, [3]), ("tags", "eq", 4, [3]),
+    ):
+        assert sorted(ids(paths.compares(document, path, operator, value))) == want, (path, operator, value)
+    assert ids(paths.element_matches(document, "tags", [("name", "eq", "a"), ("n", "gte", 5)])) == [3]
+    every = F.lit(True)
+    assert ids(every, paths.sort_key(document, "x.y", -1)) == [2, 1, 3]
+    assert ids(every, paths.sort_key(document, "x.y", 1)) == [3, 1, 2]
+    assert ids(q.matches(data, "document.tags.name", "b")) == [1]
+    with pytest.raises(ValueError):
+        paths.compares(document, "x", "like", "a")
 
 
 def test_without_match(worlds):
@@ -157,11 +212,18 @@ def test_tolerant_match(spark):
     assert [r.name for r in got] == ["Mew_"]
 
 
+def test_ties_in_order_are_ordered_by_value(spark):
+    data = spark.createDataFrame([("g", 1, v) for v in "dbcae"], "g string, o int, v string")
+    assert q.ordered_strings(data, ["g"], "v", "o", "", "s").first().s == "abcde"
+    assert q.ordered_strings(data, ["g"], "v", "v", "", "s").first().s == "abcde"
+
+
 def test_result_envelope(spark, many):
     data = spark.createDataFrame([(1, None), (2, "é\n")], "a int, `b.c` string")
-    rows = q.result_envelope(data).collect()
-    assert {r.returned_count for r in rows} == {2}
-    assert sorted((json.loads(r.row) for r in rows), key=str) == [
+    found = q.result_envelope(data, "document").first()
+    assert (found.kind, found.returned_count) == ("document", 2)
+    assert sorted((json.loads(r) for r in found.rows), key=str) == [
         {"a": 1, "b.c": None}, {"a": 2, "b.c": "é\n"},
     ]
-    assert q.result_envelope(many).first().returned_count == 1000
+    assert q.result_envelope(many, "relational").first().returned_count == 1000
+    assert tuple(q.result_envelope(data.where("a > 5"), "relational").first()) == ("relational", [], 0)

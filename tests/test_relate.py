@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldkin.operators import overlap, profile, relate
 from fieldkin.operators.catalog import (
-    catalog_entities, catalog_fields, catalog_keys, declared_keys, profiled_fields,
+    catalog_entities, catalog_fields, catalog_keys, declared_keys, profiled_fields, row_counts,
 )
 from fieldkin.operators.value_counts import value_counts
 from fieldkin.plans import discovery
@@ -172,7 +172,7 @@ def test_candidates_lose_no_relationship(spark, sources):
             wanted.add((a.entity, a.path, b.entity, b.path))
     got = discovery.relationships(spark, sources).collect()
     assert {(r.left_entity, r.left_path, r.right_entity, r.right_path) for r in got} == wanted
-    assert len(got) == len(wanted) == 41
+    assert len(got) == len(wanted) == 51
 
 
 def test_nearly_equal_names_need_no_key(spark):
@@ -193,7 +193,7 @@ def test_foreign_keys_lead(spark):
         ("c_custkey", "o_custkey", 0.76), ("n_nationkey", "s_nationkey", 0.76),
         ("l_partkey", "p_partkey", 0.76), ("l_suppkey", "s_suppkey", 0.76),
     ]
-    assert len(rows) == 31
+    assert len(rows) == 42
 
 
 def test_mixed_kinds_of_sources_relate(spark):
@@ -262,10 +262,13 @@ def test_source_rules(spark):
     data = Entity("public", "t", table(spark, [], "x int"))
     with pytest.raises(ValueError, match="unique"):
         SourceSet([source("a", data), source("a", data)])
-    with pytest.raises(ValueError):
-        SourceSet([source("a", data)])
-    with pytest.raises(ValueError):
-        SourceSet(source(f"s{i}", data) for i in range(11))
+    with pytest.raises(ValueError, match="required"):
+        SourceSet([])
+    for count in (1, 11):
+        some = SourceSet(source(f"s{i}", data) for i in range(count))
+        assert row_counts(some).count() == count, "limits are those of mapping requests"
+        with pytest.raises(ValueError, match="2 to 10"):
+            discovery.suggest(spark, some)
     for bad in ("1a", "", "a b", "x" * 65):
         with pytest.raises(ValueError):
             source(bad, data)

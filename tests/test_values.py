@@ -14,6 +14,9 @@ from fieldkin.functions import values as V
 from fieldkin.functions.names import jaccard, name_tokens
 from fieldkin.functions.scoring import MIN_CONFIDENCE, raw_confidence, rounded_confidence
 from fieldkin.functions.types import profiled, type_families
+from fieldkin.operators.catalog import profiled_fields
+from fieldkin.operators.profile import measured_uniqueness
+from fieldkin.sources.model import RELATIONAL, Entity, Source, SourceSet
 
 
 def forms(spark, kind: T.DataType, *values):
@@ -156,3 +159,32 @@ def test_confidence_rounds_halves_up(spark):
     data = spark.createDataFrame([(0.125,), (0.7649,), (0.765,)], "c double")
     got = [r[0] for r in data.select(rounded_confidence(F.col("c"))).collect()]
     assert got == [0.13, 0.76, 0.77]
+
+
+def test_far_moments_keep_their_milliseconds(spark):
+    data = spark.range(-2000, 2000).selectExpr(
+        "timestamp_micros(253402300799999999L - abs(id) * 86399999977) AS t")
+    millis = V.epoch_millis(F.col("t"), T.TimestampType())
+    assert data.where(millis != F.unix_millis("t")).count() == 0
+
+
+def test_small_decimals_have_no_exponent_whatever_the_mode(spark):
+    for ansi in ("true", "false"):
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+        try:
+            data = spark.sql("SELECT cast(x as decimal(38, 18)) AS d FROM VALUES"
+                             " ('0'), ('0.00000001'), ('-0.0000000120'), ('12.5'), ('-3.000') AS t(x)")
+            got = [r.f for r in data.select(V.decimal_form(F.col("d")).alias("f")).collect()]
+        finally:
+            spark.conf.set("spark.sql.ansi.enabled", "true")
+        assert got == ["0", "0.00000001", "-0.000000012", "12.5", "-3"]
+
+
+def test_uniqueness_is_of_values_not_of_forms(spark):
+    long = "x" * 2000
+    data = spark.createDataFrame([(long, "A", 1), (long, "a", 2), ("s", None, None)], "t string, u string, n int")
+    sources = SourceSet([Source("a", RELATIONAL, (Entity("public", "t", data),))])
+    got = measured_uniqueness(sources, profiled_fields(spark, sources)).collect()
+    assert {r.path: (r.value_count, r.distinct_count, r.measured_unique) for r in got} == {
+        "t": (3, 2, False), "u": (2, 2, True), "n": (2, 2, True),
+    }
