@@ -26,15 +26,15 @@ def value_signatures(counts: DataFrame) -> DataFrame:
     )
 
 
-def _pairs_of(fields: str):
-    """Every (a, b) with a <= b of a sorted array; (a, a) counts the field itself."""
-    return F.flatten(F.transform(
-        fields,
-        lambda a, i: F.transform(
-            F.slice(fields, i + 1, F.size(fields) - i),
-            lambda b: F.struct(a.alias("a"), b.alias("b")),
-        ),
-    ))
+def _paired(signatures: DataFrame, *extra: str) -> DataFrame:
+    """Every ``(a, b)`` with a <= b of a signature; ``(a, a)`` counts the field itself.
+
+    One side is unfolded before the other, so no row ever holds more than one field's
+    pairs of a signature.
+    """
+    first = signatures.select("fields", *extra, F.posexplode("fields").alias("at", "a"))
+    rest = F.slice("fields", F.col("at") + 1, F.size("fields") - F.col("at"))
+    return first.select("a", *extra, F.explode(rest).alias("b"))
 
 
 def value_overlap(counts: DataFrame) -> DataFrame:
@@ -44,9 +44,8 @@ def value_overlap(counts: DataFrame) -> DataFrame:
     the Jaccard similarity of the two sets of distinct values.
     """
     paired = (
-        value_signatures(counts)
-        .select(F.explode(_pairs_of("fields")).alias("pair"), "n")
-        .groupBy("pair.a", "pair.b")
+        _paired(value_signatures(counts), "n")
+        .groupBy("a", "b")
         .agg(F.sum("n").alias("shared"))
     )
     sizes = paired.where("a = b")
@@ -70,15 +69,15 @@ def sketch_overlap(sketch: DataFrame, size: int = MAX_FINGERPRINTS) -> DataFrame
     that fit their sketches. Sketches hold at most ``size`` rows per field, so
     the work depends on the number of fields only.
     """
-    entries = sketch.select("field_id", "fingerprint")
-    pairs = (
+    # The join below filters like this. Both readers of the sketch do, so it is made once.
+    entries = sketch.select("field_id", "fingerprint").where(F.col("field_id").isNotNull())
+    signatures = (
         entries.groupBy("fingerprint")
         .agg(F.sort_array(F.collect_set("field_id")).alias("fields"))
         .where(F.size("fields") > 1)
         .select("fields").distinct()
-        .select(F.explode(_pairs_of("fields")).alias("pair"))
-        .select("pair.a", "pair.b").where("a < b").distinct()
     )
+    pairs = _paired(signatures).where("a < b").distinct()
     sides = F.explode(F.array("a", "b")).alias("field_id")
     rank = F.row_number().over(W.partitionBy("a", "b").orderBy("fingerprint"))
     return (

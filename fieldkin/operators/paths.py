@@ -18,9 +18,12 @@ KINDS = ("null", "number", "string", "object", "array", "boolean", "date")
 _VARIANTS = "array<variant>"
 
 
-def _step(key: str) -> str:
-    quoted = key.replace("\\", "\\\\").replace("'", "\\'")
-    return f"$['{quoted}']"
+def _member(value: Column, key: str) -> Column:
+    """A member of an object; keys with both kinds of quotes fit no path expression."""
+    for quote in ("'", '"'):
+        if quote not in key:
+            return F.try_variant_get(value, f"$[{quote}{key}{quote}]", "variant")
+    return F.try_element_at(F.try_variant_get(value, "$", "map<string,variant>"), F.lit(key))
 
 
 def _elements(value: Column) -> Column:
@@ -52,7 +55,7 @@ def values_at(document: Column, path: str) -> Column:
 
         def members(value: Column, key=key, index=index) -> Column:
             inner = F.concat(F.array(value), _elements(value))
-            found = F.transform(inner, lambda v: F.try_variant_get(v, _step(key), "variant"))
+            found = F.transform(inner, lambda v: _member(v, key))
             if index is not None:
                 found = F.concat(found, F.array(F.get(_elements(value), index)))
             return F.filter(found, lambda v: v.isNotNull())

@@ -147,7 +147,7 @@ def test_document_paths_go_through_arrays(spark):
     documents = (
         '{"_id": 1, "tags": [{"name": "a", "n": 1}, {"name": "b", "n": 5}], "x": {"y": [1, 2, 3]}, "s": "5"}',
         '{"_id": 2, "tags": [], "x": {"y": 7}, "s": null, "t": true}',
-        '{"_id": 3, "tags": [{"name": "a", "n": 5}, null, 4], "a": [[1, 2], [3]], "t": 1, "o\'s": 1}',
+        '{"_id": 3, "tags": [{"name": "a", "n": 5}, null, 4], "a": [[1, 2], [3]], "t": 1, "o\'s": 1, "\'\\"": 2}',
     )
     data = documents_from_json(spark.createDataFrame([(x,) for x in documents], "value string"))
     document = F.col("document")
@@ -162,7 +162,7 @@ def test_document_paths_go_through_arrays(spark):
         ("tags.n", "lte", 1.5, [1]), ("x.y", "eq", 2, [1]), ("x.y.1", "eq", 2, [1]), ("tags.0.name", "eq", "a", [1, 3]),
         ("s", "eq", 5, []), ("s", "eq", "5", [1]), ("s", "eq", None, [2, 3]), ("s", "exists", True, [1, 2]),
         ("none", "exists", False, [1, 2, 3]), ("x.y", "in", [7, 3, None], [1, 2, 3]), ("x.y", "nin", [7], [1, 3]),
-        ("a", "eq", 3, []), ("t", "eq", True, [2]), ("t", "eq", 1, [3]), ("o's", "eq", 1, [3]), ("tags", "eq", 4, [3]),
+        ("a", "eq", 3, []), ("t", "eq", True, [2]), ("t", "eq", 1, [3]), ("o's", "eq", 1, [3]), ("'\"", "eq", 2, [3]), ("tags", "eq", 4, [3]),
     ):
         assert sorted(ids(paths.compares(document, path, operator, value))) == want, (path, operator, value)
     assert ids(paths.element_matches(document, "tags", [("name", "eq", "a"), ("n", "gte", 5)])) == [3]

@@ -273,3 +273,13 @@ def test_source_rules(spark):
         with pytest.raises(ValueError):
             source(bad, data)
     assert len(SourceSet(source(f"s{i}", data) for i in range(10))) == 10
+
+
+def test_sketches_read_each_column_once(spark, sources):
+    def scans(mode):
+        found = discovery.overlaps(spark, sources, mode)
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        return plan.split("== Initial Plan ==")[0].count("FileScan")
+
+    assert scans("sketch") <= scans("exact")
