@@ -30,17 +30,20 @@ def local_session(cores: int | str | None = None, app: str = "fieldkin") -> Spar
 
 
 def shared_directory(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir`` of the session.
+    """The folder all executors see: the session's ``spark.checkpoint.dir``.
 
-    A local session that names none gets a new temporary folder; a cluster has to
-    name one, since a folder of one machine would not survive its loss.
+    Where it is unset, a local session gets one temporary folder, as its checkpoint
+    folder; a cluster has to name one, since a folder of one machine would not
+    survive its loss.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("Set spark.checkpoint.dir to a folder all executors share.")
-    return tempfile.mkdtemp(prefix="fieldkin-")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="fieldkin-"))
+    return context.getCheckpointDir()
 
 
 def keep(data: DataFrame, name: str) -> DataFrame:
