@@ -213,8 +213,20 @@ class LabelModel:
         return shares / shares.sum(axis=1, keepdims=True)
 
 
+def with_labels(posterior: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """The posterior once a row's own label has voted too.
+
+    The label's accuracy is how far the other voters agree with it, so a wrong label
+    doesn't outweigh them, but decides where few of them have a say.
+    """
+    agreed = np.where(labels, posterior, 1 - posterior)
+    accuracy = min(max(float(agreed.mean()) if len(agreed) else 0.5, 0.5), 0.99)
+    for_toxic = np.where(labels, accuracy, 1 - accuracy) * posterior
+    return for_toxic / (for_toxic + np.where(labels, 1 - accuracy, accuracy) * (1 - posterior))
+
+
 def logistic(rows: list[list[int]], targets: np.ndarray, size: int, penalty: float = 0.05,
-             rounds: int = 400) -> tuple[np.ndarray, float]:
+             rounds: int = 3_000) -> tuple[np.ndarray, float]:
     """Weights of a logistic regression on soft labels, by accelerated gradients."""
     owner = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
     column = np.array([c for x in rows for c in x], np.int64)
@@ -280,7 +292,8 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
         _voted(scorer, [], False), "votes int").groupBy("votes").count()
     labelled = Counter((x["votes"], int(x["toxic"] > 0)) for x in learned)
     model = LabelModel({x["votes"]: x["count"] for x in patterns.collect()}, labelled)
-    targets = np.array([model.table[x["votes"]] for x in learned])
+    targets = with_labels(
+        np.array([model.table[x["votes"]] for x in learned]), np.array([x["toxic"] > 0 for x in learned], bool))
     weights, bias = logistic([x["terms"] for x in learned], targets, len(terms))
     return scorer._replace(weights=weights, bias=bias)
 
