@@ -135,10 +135,11 @@ def mixture(docs: DataFrame, domain: Column | None = None, id_column: str = "doc
     ordered = ordered.withColumn("bucket", F.substring("digest", 1, BUCKET_DIGITS))
     sums = ordered.where("rest > 0").groupBy(*_TREE, "rest", "bucket").agg(F.sum("tokens").alias("tokens"))
     running = F.sum("tokens").over(Window.partitionBy(*_TREE).orderBy("bucket"))
-    ends = (
+    # Written, so that its small size is known before the documents would be shuffled by it.
+    ends = keep(
         sums.withColumn("after", running).where("after > rest")
-        .groupBy(*_TREE).agg(F.min(F.struct("bucket", (F.col("after") - F.col("tokens")).alias("before"))).alias("end"))
-    )
+        .groupBy(*_TREE).agg(F.min(F.struct("bucket", (F.col("after") - F.col("tokens")).alias("before"))).alias("end")),
+        "ends")
     placed = ordered.join(ends, _TREE, "left")
     inside = placed.where("bucket = end.bucket")
     within = F.col("end.before") + F.sum("tokens").over(
