@@ -90,6 +90,8 @@ def without_repeats(docs: DataFrame, unit: str = "line", id_column: str = "doc_i
     found = keep(rows.mapInArrow(_units(separator, least_words), "row long, rank long, place long, digest binary"), "units")
     place = F.struct("rank", "row", "place")
     owners = found.groupBy("digest").agg(F.min(place).alias("owner"), F.count("*").alias("copies")).where("copies > 1")
+    # Written, so that the join reads both sides from shuffles of its own and can split either.
+    owners = keep(owners, "owners")
     repeats = found.join(owners, "digest").where(place != F.col("owner"))
     gone = repeats.groupBy("row").agg(F.collect_list("place").alias("places"))
     return rows.join(gone, "row", "left").select("id", "row", "text", "places").mapInArrow(
