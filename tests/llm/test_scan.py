@@ -217,3 +217,11 @@ def test_windows_in_documents(spark, edge, nothing, block_bytes):
         assert winnowing.contamination(nothing, bench).count() == 0
         assert winnowing.contamination(edge, bench.where("false")).where("n_hit > 0").count() == 0
         assert winnowing.without_contaminated(edge, bench).columns == edge.columns
+
+
+def test_a_label_decides_only_where_voters_have_little_to_say():
+    posterior = np.array([0.99] * 40 + [0.01] * 200 + [0.4, 0.4, 0.999])
+    labels = np.array([True] * 40 + [False] * 200 + [True, False, False])
+    targets = toxicity.with_labels(posterior, labels)
+    assert targets[-3] > 0.9 and targets[-2] < 0.1 and targets[-1] > 0.8
+    assert len(toxicity.with_labels(np.zeros(0), np.zeros(0, bool))) == 0
