@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of the strings that are looked for, and of an anchor.
-SPAN, ANCHOR = 50, 24
+SPAN, ANCHOR = 50, 18
 #: Anchors in a string: the one with the smallest hash, the leftmost of equals, is its own.
 CHOICES = SPAN - ANCHOR + 1
 #: Strings handled at a time; their number fits the bits that a place takes in a key.

@@ -8,19 +8,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldkin.llm.anchors import CHOICES, SPAN, anchored
+from fieldkin.llm.anchors import ANCHOR, CHOICES, SPAN, anchored
 from fieldkin.llm.common import LAST_ID, numbered, slices, table, texts, utf8, whole_groups
 from fieldkin.session import keep
 
 #: Bytes of text handled at a time; contexts sorted together, one anchor's at least.
-SLICE, COLLECTION = 1 << 20, 1 << 17
+SLICE, COLLECTION = 1 << 20, 1 << 15
 #: Frequent anchors are looked for in about so many documents, are in so many of them
 #: or more, and are at most so many.
-SAMPLE, FREQUENT, LISTED = 16_384, 16, 20_000
+SAMPLE, FREQUENT, LISTED = 8_192, 8, 20_000
 #: A frequent anchor with more different contexts than this is split by whole strings.
 CONTEXTS = 250_000
 
@@ -29,7 +30,7 @@ COLUMNS = CHOICES - 1 + SPAN
 #: Bits of an anchor's hash that are compared while candidates are looked for.
 _CANDIDATE = np.uint64((1 << 48) - 1)
 
-_CONTEXTS = "h long, left int, context binary, start long, rank long, row long"
+_CONTEXTS = "left int, context binary, start long, rank long, row long"
 
 
 # -- reading texts ------------------------------------------------------------------
@@ -45,6 +46,19 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["row", "id", "length", "digest", "key"])
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts are shuffled whole, so they are compressed first."""
+    packer = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        packed = [packer.compress(x) for x in texts(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(packed, pa.binary())], ["row", "packed"])
+
+
+def _unpacked(column: pa.Array) -> list[bytes]:
+    reader = zstandard.ZstdDecompressor()
+    return [reader.decompress(x) for x in column.to_pylist()]
+
+
 def _key(digest: bytes) -> int:
     """Equal for equal texts: copies of a text are one holder of its anchors."""
     return int.from_bytes(digest[:8], "little", signed=True)
@@ -65,9 +79,9 @@ def _listed(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
 
 
-def _anchors(frequent: np.ndarray, with_context: bool):
+def _anchors(frequent: np.ndarray, contexts_of: bool = False):
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each anchor of a text once, without the frequent ones."""
+        """Each anchor of a text once without the frequent ones, or only those with their contexts."""
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             view = memoryview(data)
@@ -75,7 +89,7 @@ def _anchors(frequent: np.ndarray, with_context: bool):
                 offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.int64)
             for h, place, first, last, text in _runs(data, offsets):
                 h = h & _CANDIDATE
-                rest = ~_listed(h, frequent)
+                rest = _listed(h, frequent) == contexts_of
                 h, place, first, last, text = (x[rest] for x in (h, place, first, last, text))
                 order = np.lexsort((h, text))
                 h, text = h[order], text[order]
@@ -83,7 +97,7 @@ def _anchors(frequent: np.ndarray, with_context: bool):
                 new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
                 columns = [pa.array(h[new].view(np.int64)), pa.array(keys[text[new]])]
                 names = ["h", "key"]
-                if with_context:
+                if contexts_of:
                     first, last = first[order][new], last[order][new]
                     columns.append(pa.array(np.array(
                         [xxhash.xxh64_intdigest(view[a : b + SPAN]) for a, b in zip(first.tolist(), last.tolist(), strict=True)],
@@ -97,7 +111,9 @@ def _contexts(frequent: np.ndarray, ragged: np.ndarray, of_frequent: bool):
     """The contexts of the texts' candidate anchors, or those of the frequent anchors."""
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column("text"))
+            contents = _unpacked(batch.column("packed"))
+            data = np.frombuffer(b"".join(contents), np.uint8)
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in contents], dtype=np.int64)))
             rows, ranks = batch.column("row").to_numpy(), batch.column("rank").to_numpy()
             wanted, bounds = batch.column("hs").values, batch.column("hs").offsets.to_numpy()
             wanted = wanted.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
@@ -131,10 +147,12 @@ def _contexts(frequent: np.ndarray, ragged: np.ndarray, of_frequent: bool):
                 content = pa.Array.from_buffers(
                     pa.binary(), len(h),
                     [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32)), pa.py_buffer(data[source])])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array((place - first).astype(np.int32)), content,
-                     pa.array(first - offsets[text]), pa.array(ranks[text]), pa.array(rows[text])],
-                    ["h", "left", "context", "start", "rank", "row"])
+                columns = [pa.array((place - first).astype(np.int32)), content, pa.array(first - offsets[text]),
+                           pa.array(ranks[text]), pa.array(rows[text])]
+                names = ["left", "context", "start", "rank", "row"]
+                if of_frequent:
+                    columns, names = [pa.array(h.view(np.int64)), *columns], ["h", *names]
+                yield pa.RecordBatch.from_arrays(columns, names)
     return contexts
 
 
@@ -228,10 +246,9 @@ def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         removed, runs, digests, spans = [], [], [], []
-        begins, ends = batch.column("begins").to_pylist(), batch.column("ends").to_pylist()
-        for content, low, high in zip(texts(batch.column("text")), begins, ends, strict=True):
+        for content, found in zip(_unpacked(batch.column("packed")), batch.column("found").to_pylist(), strict=True):
             merged: list[int] = []
-            for start, end in sorted(zip(low, high, strict=True)):
+            for start, end in sorted((x >> 31, (x >> 31) + (x & (1 << 31) - 1)) for x in found):
                 if merged and start <= merged[-1]:
                     merged[-1] = max(merged[-1], end)
                 else:
@@ -258,13 +275,18 @@ def _frequent(rows: DataFrame, count: int, sample: int, frequent: int, contexts:
     """
     share = max(count // sample, 1)
     some = rows.where(F.pmod(F.xxhash64("row"), F.lit(share)) == 0).select("text")
-    held = some.mapInArrow(_anchors(np.zeros(0, np.uint64), True), "h long, key long, context long")
-    counts = held.groupBy("h").agg(
-        F.approx_count_distinct("key").alias("texts"), F.approx_count_distinct("context").alias("contexts"))
-    found = counts.where(F.col("texts") >= frequent).orderBy(F.desc("texts"), "h").limit(LISTED).collect()
-    hashes = np.array(sorted(x["h"] for x in found), np.int64).view(np.uint64)
-    ragged = np.array(sorted(x["h"] for x in found if x["contexts"] * share > contexts), np.int64).view(np.uint64)
-    return hashes, ragged
+
+    def listed(held: DataFrame, counted: str, least: int) -> np.ndarray:
+        counts = held.repartition("h").groupBy("h").agg(F.count_distinct(counted).alias("n")).where(F.col("n") >= least)
+        found = counts.orderBy(F.desc("n"), "h").limit(LISTED).collect()
+        return np.array(sorted(x["h"] for x in found), np.int64).view(np.uint64)
+
+    none = np.zeros(0, np.uint64)
+    hashes = listed(some.mapInArrow(_anchors(none), "h long, key long"), "key", frequent)
+    if not len(hashes):
+        return none, none
+    held = some.mapInArrow(_anchors(hashes, True), "h long, key long, context long")
+    return hashes, listed(held, "context", contexts // share + 1)
 
 
 def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", sample: int = SAMPLE,
@@ -300,28 +322,33 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     firsts = rows.groupBy("digest").agg(F.min(F.struct("rank", "row", "key")).alias("first")).select(
         "digest", F.col("first.rank").alias("first_rank"), F.col("first.row").alias("first_row"), F.col("first.key").alias("key"))
     listed, ragged = _frequent(source, rows.count(), sample, frequent, contexts)
-    holders = source.select("text").mapInArrow(_anchors(listed, False), "h long, key long").repartition("h")
+    holders = source.select("text").mapInArrow(_anchors(listed), "h long, key long").repartition("h")
     one = Window.partitionBy("h")
     shared = holders.withColumn("low", F.min("key").over(one)).withColumn("high", F.max("key").over(one))
     wanted = shared.where("low <> high").groupBy("key").agg(F.collect_set("h").alias("hs"))
     units = firsts.drop("digest").join(wanted, "key", "left").select(
         F.col("first_row").alias("row"), F.col("first_rank").alias("rank"),
         F.coalesce("hs", F.array().cast("array<long>")).alias("hs"))
-    contents = source.select("row", "text")
-    told = contents.join(units, "row").select("row", "rank", "hs", "text")
+    contents = source.select("row", "text").mapInArrow(_packed, "row long, packed binary")
+    told = contents.join(units, "row").select("row", "rank", "hs", "packed")
     rare = told.mapInArrow(_contexts(listed, ragged, False), _CONTEXTS)
-    spans = rare.repartition("h").sortWithinPartitions("h").mapInArrow(_removed, "row long, begin long, end long")
+    anchor = F.substring("context", F.col("left") + 1, F.lit(ANCHOR))
+    spans = (
+        rare.repartition(F.xxhash64(anchor)).sortWithinPartitions(anchor).withColumn("h", F.xxhash64(anchor))
+        .mapInArrow(_removed, "row long, begin long, end long")
+    )
     if len(listed):
-        often = told.mapInArrow(_contexts(listed, ragged, True), _CONTEXTS)
+        often = told.mapInArrow(_contexts(listed, ragged, True), f"h long, {_CONTEXTS}")
         different = often.groupBy("h", "left", "context").agg(F.min("rank").alias("rank"))
         held = different.repartition("h").sortWithinPartitions("h").mapInArrow(
             _owned, "h long, left int, context binary, from long, to long, owner long")
         spans = spans.unionAll(
             often.join(held, ["h", "left", "context"]).where("owner < rank").select(
                 "row", (F.col("start") + F.col("from")).alias("begin"), (F.col("start") + F.col("to") - 1 + SPAN).alias("end")))
-    spans = spans.groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    cut = contents.join(spans.select("row", F.col("spans.begin").alias("begins"), F.col("spans.end").alias("ends")), "row")
-    results = cut.select("row", "text", "begins", "ends").mapInArrow(
+    # Begin and length in one number, so that a span takes eight bytes of the shuffle.
+    span = F.shiftleft("begin", 31).bitwiseOR(F.col("end") - F.col("begin"))
+    cut = contents.join(spans.groupBy("row").agg(F.collect_list(span).alias("found")), "row")
+    results = cut.select("row", "packed", "found").mapInArrow(
         _kept, "first_row long, removed long, runs long, kept binary, spans array<long>")
     copy = (F.col("rank") > F.col("first_rank")) & (F.col("length") >= SPAN)
     return rows.join(firsts.drop("key"), "digest").join(results, "first_row", "left").select(
