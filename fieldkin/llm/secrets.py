@@ -97,7 +97,8 @@ def secrets(docs: DataFrame, repository: Column, owner: Column, id_column: str =
     ``n_live``, ``n_example``, ``base_spans``, ``spans``.
     """
     found = keep(candidates(docs, F.coalesce(repository, F.lit("")), F.coalesce(owner, F.lit("")), text_column), "candidates")
-    judged = found.join(ownership(found), "digest").select(
+    # Written, so that the join reads both sides from shuffles of its own and can split either.
+    judged = found.join(keep(ownership(found), "ownership"), "digest").select(
         "row", "rank", "kind", "start", "end",
         ((F.col("owners") == 1) & F.col("varied")).alias("live"),
         ((F.col("owners") >= MANY_OWNERS) | (F.col("repositories") >= MANY_REPOSITORIES)).alias("example"))
