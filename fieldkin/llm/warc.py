@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldkin.llm.common import LAST_ID, table
-from fieldkin.session import shared_directory
+from fieldkin.session import keep, shared_directory
 
 #: Payloads of fewer bytes are never revisited.
 LEAST_BYTES = 100
@@ -49,7 +49,8 @@ def write_archive(pages: DataFrame, directory: str, id_column: str = "page_id",
     digests = rows.select("page", "uri", "row", F.octet_length("payload").cast("long").alias("length"),
                           F.sha2("payload", 256).alias("digest"))
     first = F.min(F.struct(F.coalesce("page", F.lit(LAST_ID)).alias("rank"), "row", "page")).alias("first")
-    owners = digests.groupBy("digest").agg(first)
+    # Written, so that the join reads both sides from shuffles of its own and can split either.
+    owners = keep(digests.groupBy("digest").agg(first), "owners")
     revisit = (F.col("length") >= least_bytes) & ~F.col("page").eqNullSafe(F.col("first.page"))
     size = F.when(revisit, F.lit(0)).otherwise(F.col("length"))
     lines = [
