@@ -1,0 +1,60 @@
+"""Near copies of the pipeline against brute-force Jaccard similarity."""
+
+from __future__ import annotations
+
+import random
+from collections import Counter
+
+import pytest
+
+import corpus_pipeline
+from fieldkin.llm import jaccard, simhash
+from tests.llm.conftest import SCHEMA, edge_rows, words
+
+
+def near_rows() -> list[tuple]:
+    """Edge rows, texts on both sides of the similarity, a chain, and a common passage."""
+    rng = random.Random(7)
+    rows = [r for r in edge_rows() if r[0] not in (7, 8)]
+    passage = words(rng, 30)
+    for family in range(6):
+        parts = words(rng, 120).split(" ")
+        for copy in range(9):
+            changed = list(parts)
+            for at in rng.sample(range(120), copy % 4):
+                changed[at] = f"changed{family}{copy}"
+            rows.append((1000 + 10 * family + copy, " ".join(changed), "en", "src0", 0))
+        rows.append((2000 + family, passage + " " + words(rng, 12), "en", "src0", 0))
+    chain = words(rng, 100).split(" ")
+    for step in range(8):
+        rows.append((3000 - step, " ".join(chain[step * 8 :] + [f"s{step}w{x}" for x in range(step * 8)]), "en", "src0", 0))
+    rng.shuffle(rows)
+    return rows
+
+
+def kept(rows: list[tuple]) -> list[tuple]:
+    sets = [jaccard.shingles((r[1] or "").encode()) for r in rows]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8 and root[a] != root[b]:
+                root = [root[a] if x == root[b] else x for x in root]
+    best: dict = {}
+    for at, x in enumerate(root):
+        rank = (2**63 if rows[at][0] is None else rows[at][0], at)
+        best[x] = min(best.get(x, rank), rank)
+    return [rows[at] for _, at in best.values()]
+
+
+@pytest.mark.parametrize("limits", [{}, {"FREQUENT": 10**9}])
+def test_near_copies_of_the_stage(spark, nothing, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(jaccard, name, value)
+    rows = near_rows()
+    docs = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    assert Counter(tuple(x) for x in got.collect()) == Counter(kept(rows))
+    if not limits:
+        assert len(kept(rows)) < simhash.without_near_copies(docs).count(), "two bits don't find them"
+        assert corpus_pipeline.near_dedup(spark, nothing, "").count() == 0
