@@ -118,7 +118,8 @@ class Model:
             total[at] = np.bincount(owner, weights=count[at], minlength=len(sizes)).astype(np.int64)
         return total
 
-    def predict(self, values: list[str | None]) -> tuple[list[str], list[float]]:
+    def predict(self, values: list[str | None]) -> tuple[list[str], list[float], list[int]]:
+        """Language, score and number of letters of each text."""
         points = _points("".join(x or "" for x in values))
         offsets = np.concatenate(([0], np.cumsum([len(x or "") for x in values]))).astype(np.int64)
         symbols = self.symbols[points]
@@ -130,14 +131,14 @@ class Model:
         offsets = np.concatenate(([0], np.cumsum(stays)))[offsets]
         symbols = symbols[stays]
         if not self.languages:
-            return [UNDETERMINED] * len(values), [0.0] * len(values)
+            return [UNDETERMINED] * len(values), [0.0] * len(values), letters.tolist()
         # Phrases times the bits that name a place in the sample: the cross entropy of the text.
         cost = self.phrases(symbols, offsets) * np.array(self.bits)[:, None]
         best = cost.argmin(axis=0)
         gap = np.minimum(cost - cost.min(axis=0), 60.0)
         score = 1 / np.exp2(-gap).sum(axis=0)
         names = [self.languages[b] if n else UNDETERMINED for b, n in zip(best.tolist(), letters.tolist(), strict=True)]
-        return names, np.where(letters > 0, score, 0.0).tolist()
+        return names, np.where(letters > 0, score, 0.0).tolist(), letters.tolist()
 
 
 def _points(text: str) -> np.ndarray:
@@ -197,13 +198,15 @@ def _predicted(model: Broadcast):
             bounds = np.concatenate(([0], np.cumsum([len(x or "") for x in values])))
             languages: list[str] = []
             scores: list[float] = []
+            letters: list[int] = []
             for start, end in slices(bounds, SLICE):
-                names, found = parser.predict(values[start:end])
+                names, found, counts = parser.predict(values[start:end])
                 languages += names
                 scores += found
+                letters += counts
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("row"), pa.array(languages, pa.string()),
-                 pa.array(scores, pa.float64())], ["id", "row", "language", "score"])
+                 pa.array(scores, pa.float64()), pa.array(letters, pa.int64())], ["id", "row", "language", "score", "letters"])
     return predicted
 
 
@@ -215,13 +218,14 @@ def languages(docs: DataFrame, model: Model, id_column: str = "doc_id", text_col
     sample contains. Phrases weigh the bits that name a place in the sample, and the
     language with the least weight wins; of equal ones that with more labelled rows. Null texts
     and texts without letters are ``und`` with score 0. The score is the winner's share
-    of the likelihood. Rows that repeat are predicted alike.
+    of the likelihood. Rows that repeat are predicted alike. Without a learned language
+    every text is ``und``.
 
-    Columns: ``row``, ``id``, ``language``, ``score``.
+    Columns: ``row``, ``id``, ``language``, ``score``, ``letters`` (of the whole text).
     """
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
     return numbered(docs, id_column, text_column).mapInArrow(
-        _predicted(shared), "id long, row long, language string, score double")
+        _predicted(shared), "id long, row long, language string, score double, letters long")
 
 
 def op1_language_id(spark: SparkSession, directory: str) -> DataFrame:
@@ -233,7 +237,7 @@ def op1_language_id(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def with_language(docs: DataFrame) -> DataFrame:
-    """The documents that are in some language; those without a letter go."""
+    """The documents that are in some language; those without a letter go, whatever was learned."""
     row = "__llm_row"
-    found = languages(docs, train(docs)).where(F.col("language") != UNDETERMINED).select(F.col("row").alias(row))
+    found = languages(docs, train(docs)).where("letters > 0").select(F.col("row").alias(row))
     return numbered_rows(docs, row).join(found, row, "left_semi").drop(row)

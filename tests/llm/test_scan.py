@@ -77,6 +77,11 @@ def test_no_label_of_a_held_out_row_is_learned(spark, edge):
     assert language.train(docs).languages == []
 
 
+def test_only_texts_without_a_letter_go_when_no_language_is_known(spark, edge):
+    want = sum(any(c.isalpha() for c in r[1] or "") for r in edge_rows())
+    assert language.with_language(edge.withColumn("lang", F.lit(None).cast("string"))).count() == want
+
+
 # -- toxicity -----------------------------------------------------------------------
 
 
