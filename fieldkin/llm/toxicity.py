@@ -24,6 +24,8 @@ STEMS = (4, 5, 6)
 EVIDENCE, PRECISION = 16.0, 0.5
 #: Votes are bits of a number, so there are at most 65,536 patterns of votes.
 LEXICONS, VOTERS = 13, 16
+#: Characters whose letters are counted at a time.
+CHUNK = 1 << 12
 THRESHOLD = 0.3
 
 
@@ -45,6 +47,22 @@ def terms_of(text: str) -> set[str]:
     return out
 
 
+def shouts(text: str) -> bool:
+    """Whether over half of the letters of the whole text are capitals."""
+    letters = capitals = 0
+    for at in range(0, len(text), CHUNK):
+        part = text[at : at + CHUNK]
+        if part.isascii():
+            content = part.encode()
+            small = len(content) - len(content.translate(None, b"abcdefghijklmnopqrstuvwxyz"))
+            large = len(content) - len(content.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+            letters, capitals = letters + small + large, capitals + large
+        else:
+            letters += sum(map(str.isalpha, part))
+            capitals += sum(map(str.isupper, part))
+    return capitals * 2 > letters > 0
+
+
 def votes_of(text: str, terms: set[str], voter: dict[str, int]) -> int:
     """One bit per voter that takes the text for toxic.
 
@@ -55,8 +73,7 @@ def votes_of(text: str, terms: set[str], voter: dict[str, int]) -> int:
     votes = sum(1 << x for x in fired)
     if len(fired) >= 2:
         votes |= 1 << LEXICONS
-    letters = sum(map(str.isalpha, text[:2_000]))
-    if letters and sum(map(str.isupper, text[:2_000])) * 2 > letters:
+    if shouts(text):
         votes |= 1 << (LEXICONS + 1)
     if fired and "!!" in text:
         votes |= 1 << (LEXICONS + 2)

@@ -94,6 +94,14 @@ def test_toxicity_of_held_out_documents(spark):
     assert caught[True, 1] / (caught[True, 1] + caught[True, 0]) >= 0.95
 
 
+def test_shouting_is_heard_in_the_whole_text():
+    bit = 1 << (toxicity.LEXICONS + 1)
+    for calm, loud in (("calm words ", "LOUD WORDS "), ("ruhige wörter ", "LAUTE WÖRTER ")):
+        assert toxicity.votes_of(calm * 300 + loud * 900, set(), {}) == bit
+        assert toxicity.votes_of(loud * 300 + calm * 900, set(), {}) == 0
+    assert toxicity.votes_of("12 !", set(), {}) == toxicity.votes_of("", set(), {}) == 0
+
+
 def test_label_model_learns_accuracies_and_a_dependence():
     rng = np.random.default_rng(3)
     truth = rng.random(20_000) < 0.2
