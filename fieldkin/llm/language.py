@@ -16,9 +16,12 @@ from pyspark.sql.window import Window
 from fieldkin.llm.common import held_out, numbered, numbered_rows, slices, table
 
 UNDETERMINED = "und"
-#: Symbols of the alphabet: what is no letter, letters no training text has, then the
-#: most frequent letters.
-SEPARATOR, UNKNOWN, LETTERS = 0, 1, 62
+#: Symbols of the alphabet: what is no letter, letters no training text has, then every
+#: letter of the training texts.
+SEPARATOR, UNKNOWN = 0, 1
+#: Moves by a language's most frequent letters are in a dense table, at most so wide and
+#: in all of so many entries; the others are searched for. What is found is the same.
+DENSE, ENTRIES = 64, 1 << 26
 #: A phrase never crosses a block of so many symbols, so all blocks are parsed side by side.
 BLOCK = 512
 #: Characters parsed at a time in a task.
@@ -26,7 +29,7 @@ SLICE = 1 << 20
 
 
 class SuffixAutomaton:
-    """All substrings of a sequence of symbols, as a dense table of moves (-1: none)."""
+    """All substrings of a sequence of symbols, as moves between states."""
 
     def __init__(self, symbols: list[int], alphabet: int) -> None:
         moves, link, length, last = [{}], [-1], [0], 0
@@ -53,10 +56,18 @@ class SuffixAutomaton:
                         state = link[state]
                     link[target] = link[new] = copy
             last = new
-        self.table = np.full((len(moves), alphabet), -1, np.int32)
-        for state, out in enumerate(moves):
-            for symbol, target in out.items():
-                self.table[state, symbol] = target
+        self.states, self.alphabet = len(moves), alphabet
+        #: State, symbol and next state of every move.
+        self.state = np.repeat(np.arange(len(moves)), [len(x) for x in moves])
+        self.symbol = np.array([x for out in moves for x in out], np.int64)
+        self.target = np.array([x for out in moves for x in out.values()], np.int64)
+
+    @property
+    def table(self) -> np.ndarray:
+        """A dense table of the moves (-1: none)."""
+        table = np.full((self.states, self.alphabet), -1, np.int32)
+        table[self.state, self.symbol] = self.target
+        return table
 
 
 class Model:
@@ -64,31 +75,61 @@ class Model:
 
     def __init__(self, samples: dict[str, str], chars: int) -> None:
         self.languages = list(samples)
-        share = max(chars // max(len(samples), 1), 1)
-        counts = Counter(c for x in samples.values() for c in x.lower() if c.isalpha())
-        known = sorted(counts, key=lambda c: (-counts[c], c))[:LETTERS]
-        self.symbols = np.zeros(0x110000, np.uint8)
+        seen = Counter(c for x in samples.values() for c in x if c.isalpha())
+        counts: Counter = Counter()
+        for letter, count in seen.items():
+            counts[_folded(letter)] += count
+        known = sorted(counts, key=lambda c: (-counts[c], c))
+        self.symbols = np.zeros(0x110000, np.int32)
         for point in range(0x110000):
-            letter = chr(point)
-            if letter.isalpha():
+            if chr(point).isalpha():
                 self.symbols[point] = UNKNOWN
         for at, letter in enumerate(known):
             for form in {letter, letter.upper(), letter.title()}:
                 if len(form) == 1:
                     self.symbols[ord(form)] = at + 2
-        self.width = len(known) + 2
-        tables, roots, base, self.bits = [], [], 0, []
-        for language in self.languages:
-            text = samples[language]
-            symbols = _collapsed(self.symbols[_points(text)])[:share]
-            moves = SuffixAutomaton(symbols.tolist(), self.width).table
-            # A state is kept as the place of its row, so a move is one addition and one look-up.
-            tables.append(np.where(moves >= 0, moves * self.width + base, -1).astype(np.int32).ravel())
-            roots.append(base)
-            base += moves.size
-            self.bits.append(math.log2(max(len(symbols), 2)))
-        self.moves = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+        number = {letter: at + 2 for at, letter in enumerate(known)}
+        for letter in seen:
+            self.symbols[ord(letter)] = number[_folded(letter)]
+        self.size = len(known) + 2
+        texts = [_collapsed(self.symbols[_points(x)])[:chars] for x in samples.values()]
+        self.bits = [math.log2(max(len(x), 2)) for x in texts]
+        automata = [SuffixAutomaton(x.tolist(), self.size) for x in texts]
+        states = sum(x.states for x in automata)
+        self.width = min(max(ENTRIES // max(states, 1), 2), DENSE, self.size)
+        # A state is kept as the place of its row, so a move is one addition and one look-up.
+        self.moves = np.full(states * self.width, -1, np.int32)
+        #: Per language the column of every symbol; column 1 is for those without one.
+        self.columns = np.full((len(texts), self.size), UNKNOWN, np.int32)
+        roots, keys, targets, row = [], [], [], 0
+        for at, (text, automaton) in enumerate(zip(texts, automata, strict=True)):
+            often = np.argsort(-np.bincount(text[text > UNKNOWN], minlength=self.size), kind="stable")
+            often = often[often > UNKNOWN][: self.width - 2]
+            self.columns[at, SEPARATOR] = SEPARATOR
+            self.columns[at, often] = np.arange(len(often)) + 2
+            column = self.columns[at, automaton.symbol]
+            place, target = ((x + row) * self.width for x in (automaton.state, automaton.target))
+            dense = column != UNKNOWN
+            self.moves[place[dense] + column[dense]] = target[dense]
+            keys.append(place[~dense] * self.size + automaton.symbol[~dense])
+            targets.append(target[~dense])
+            roots.append(row * self.width)
+            row += automaton.states
         self.roots = np.array(roots, np.int32)
+        self.keys, self.targets = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (keys, targets))
+        order = np.argsort(self.keys)
+        self.keys, self.targets = self.keys[order], self.targets[order].astype(np.int32)
+
+    def _moved(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The next state of each language and lane, -1 where there is none."""
+        columns = self.columns[:, symbol]
+        move = self.moves.take(state + columns)
+        if len(self.keys):
+            language, lane = np.nonzero(columns == UNKNOWN)
+            wanted = state[language, lane].astype(np.int64) * self.size + symbol[lane]
+            at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            move[language, lane] = np.where(self.keys[at] == wanted, self.targets[at], -1)
+        return move
 
     def phrases(self, symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Phrases per language and text."""
@@ -102,14 +143,14 @@ class Model:
         owner, start, length = owner[order], start[order], length[order]
         active = np.searchsorted(-length, -np.arange(BLOCK), side="left")  # lanes longer than a step
         roots = self.roots[:, None]
-        first = self.moves[roots + np.arange(self.width, dtype=np.int32)]
+        first = self._moved(np.repeat(roots, self.size, axis=1), np.arange(self.size))
         first = np.where(first < 0, roots, first).astype(np.int32)
         state = np.repeat(roots, len(owner), axis=1)
         count = np.ones(state.shape, np.int32)
         for step in range(int(length.max(initial=0))):
             lanes = int(active[step])
-            symbol = symbols[start[:lanes] + step].astype(np.int32)
-            move = self.moves.take(state[:, :lanes] + symbol)
+            symbol = symbols[start[:lanes] + step]
+            move = self._moved(state[:, :lanes], symbol)
             ends = move < 0
             count[:, :lanes] += ends
             state[:, :lanes] = np.where(ends, first[:, symbol], move)
@@ -141,6 +182,10 @@ class Model:
         return names, np.where(letters > 0, score, 0.0).tolist(), letters.tolist()
 
 
+def _folded(letter: str) -> str:
+    return letter.lower() if len(letter.lower()) == 1 else letter
+
+
 def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -157,12 +202,13 @@ def _collapsed(symbols: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, language_column: str = "lang", id_column: str = "doc_id", text_column: str = "text",
-          rows: int = 64, chars_per_row: int = 4_000, chars: int = 120_000) -> Model:
+          rows: int = 64, chars: int = 60_000) -> Model:
     """Automata of a bounded sample of the labelled rows that are not held out.
 
-    Of each language the ``rows`` with the smallest hashes are taken, at most
-    ``chars_per_row`` characters of each, and ``chars`` symbols of all languages
-    together. Rows are chosen by a hash below a threshold that follows the number of
+    Of each language the ``rows`` with the smallest hashes are taken, whole, until they
+    have ``chars`` characters, however many languages there are. Only a row that is
+    longer by itself is cut, to ``chars``, so a language has less than twice as many.
+    Rows are chosen by a hash below a threshold that follows the number of
     labelled rows, so what is ranked and collected does not grow with the table.
     """
     labelled = docs.where(~held_out(F.col(id_column))).select(
@@ -178,15 +224,17 @@ def train(docs: DataFrame, language_column: str = "lang", id_column: str = "doc_
         below = min(-(2**63) + int(2**64 * 4 * rows / count), 2**63 - 1)
         low = F.when(F.col("language") == language, F.lit(below)).otherwise(low)
     rank = F.row_number().over(Window.partitionBy("language").orderBy("hash", "text"))
+    before = Window.partitionBy("language").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     chosen = (
         labelled.where(F.col("hash") <= low)
-        .select("language", "hash", F.substring("text", 1, chars_per_row).alias("text"))
+        .select("language", "hash", F.substring("text", 1, chars).alias("text"))
         .withColumn("rank", rank).where(F.col("rank") <= rows)
+        .withColumn("before", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))).where(F.col("before") < chars)
     )
     samples: dict[str, list[str]] = {x: [] for x in sorted(counts, key=lambda x: (-counts[x], x))}
     for row in chosen.orderBy("language", "rank").collect():
         samples[row["language"]].append(row["text"])
-    return Model({k: "\n".join(v) for k, v in samples.items()}, chars)
+    return Model({k: "\n".join(v) for k, v in samples.items()}, 2 * chars + rows)
 
 
 def _predicted(model: Broadcast):

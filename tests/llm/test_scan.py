@@ -48,6 +48,35 @@ def test_phrases_are_longest_matches():
         assert model.phrases(symbols, np.array([0, len(symbols)]))[at, 0] == count
 
 
+@pytest.mark.parametrize("entries", [1 << 26, 1])
+def test_every_letter_of_every_script_tells_languages_apart(monkeypatch, entries):
+    """Languages of one script each and word lengths alike, the last far behind in letters."""
+    monkeypatch.setattr(language, "ENTRIES", entries)
+    rng = random.Random(9)
+    scripts = {"latin": range(0x61, 0x7B), "greek": range(0x3B1, 0x3C2), "cyrillic": range(0x430, 0x450),
+               "han": range(0x4E00, 0x4F00), "hebrew": range(0x5D0, 0x5EA), "arabic": range(0x628, 0x638)}
+
+    def text(points, count):
+        return " ".join(rng.choices(points, k=count))
+
+    scripts = {k: ["".join(chr(rng.choice(v)) for _ in range(4)) for _ in range(100)] for k, v in scripts.items()}
+    samples = {k: text(v, 200 if k in ("hebrew", "arabic") else 400) for k, v in scripts.items()}
+    model = language.Model(samples, 10_000)
+    names, _, _ = model.predict([text(v, 30) for v in scripts.values()])
+    assert names == list(scripts)
+    assert len(np.unique(model.symbols)) == 2 + len({c for x in samples.values() for c in x if c.isalpha()})
+
+
+def test_the_share_of_a_language_does_not_depend_on_the_others(spark):
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2]
+    docs = spark.createDataFrame([(i, "ab " * 2_000, f"l{i % 40}", "", 0) for i in ids], SCHEMA)
+    few = language.train(docs.where("lang < 'l2'"), chars=7_000)
+    many = language.train(docs, chars=7_000)
+    assert len(many.languages) == 40
+    assert dict(zip(few.languages, few.bits)).items() <= dict(zip(many.languages, many.bits)).items()
+    assert min(many.bits) > 13, "whole rows"
+
+
 def test_language_of_held_out_documents(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     found = language.languages(docs, language.train(docs)).join(docs.select(F.col("doc_id").alias("id"), "lang"), "id")
