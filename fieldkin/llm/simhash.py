@@ -251,8 +251,8 @@ def op10_simhash_near_dedup(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-def without_near_copies(docs: DataFrame) -> DataFrame:
+def without_near_copies(docs: DataFrame, shingle: int = 3, errors: int = 2) -> DataFrame:
     """One document of each component, with its own columns."""
     row = "__llm_row"
-    kept = near_duplicates(docs).where("row = component_row").select(F.col("row").alias(row))
+    kept = near_duplicates(docs, shingle=shingle, errors=errors).where("row = component_row").select(F.col("row").alias(row))
     return numbered_rows(docs, row).join(kept, row, "left_semi").drop(row)
