@@ -6,11 +6,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldkin.llm import exact, jaccard, language, mixing, winnowing
+from fieldkin.llm import exact, language, mixing, simhash, winnowing
 from fieldkin.llm.common import table
 from fieldkin.session import shared_directory
 
 
+#: Words of a shingle and most differing bits of a link, as op10_simhash_near_dedup has them.
+SHINGLE, BITS = 3, 2
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter are in no language and go."""
     return language.with_language(docs)
@@ -22,8 +26,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts alike in four fifths of their 5-word runs the smallest doc_id stays."""
-    return jaccard.without_near_copies(docs)
+    """Of each component of SimHashes (3-word shingles) linked at 2 or fewer bits the smallest doc_id stays."""
+    return simhash.without_near_copies(docs, shingle=SHINGLE, errors=BITS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +48,7 @@ STAGES = [
     ("mixing", source_mixing),
 ]
 
-#: Learned languages and similarity can't be expressed in SQL; tests use brute force.
+#: Learned languages and SimHash can't be expressed in SQL; tests use brute force.
 ORACLE_SQL = None
 
 
