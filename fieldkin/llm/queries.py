@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldkin.llm import exact, language, lines, mixing, repeats, secrets, simhash, toxicity, warc, winnowing
+from fieldkin.llm import divergence, exact, language, lines, mixing, repeats, secrets, simhash, toxicity, warc, winnowing
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_benchmark_decontamination": winnowing.op8_benchmark_decontamination,
     "op9_exact_dedup": exact.op9_exact_dedup,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+    "op11_source_divergence": divergence.op11_source_divergence,
 }
 
 ORACLE_SQL = {
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op5_mixing": mixing.OP5_SQL,
     "op7_secret_scan": secrets.OP7_SQL,
     "op9_exact_dedup": exact.OP9_SQL,
+    "op11_source_divergence": divergence.OP11_SQL,
 }
