@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldkin.llm import divergence, exact, language, lines, mixing, repeats, secrets, simhash, toxicity, warc, winnowing
+from fieldkin.llm import divergence, exact, language, lines, mixing, negatives, repeats, secrets, simhash, toxicity, warc, winnowing
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_exact_dedup": exact.op9_exact_dedup,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
     "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_hard_negatives": negatives.op12_hard_negatives,
 }
 
 ORACLE_SQL = {
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op7_secret_scan": secrets.OP7_SQL,
     "op9_exact_dedup": exact.OP9_SQL,
     "op11_source_divergence": divergence.OP11_SQL,
+    "op12_hard_negatives": negatives.OP12_SQL,
 }
