@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldkin.llm import divergence, exact, language, lines, mixing, negatives, repeats, secrets, simhash, toxicity, warc, winnowing
+from fieldkin.llm import divergence, exact, language, lines, mixing, negatives, quality, repeats, secrets, simhash, toxicity, warc, winnowing
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
     "op11_source_divergence": divergence.op11_source_divergence,
     "op12_hard_negatives": negatives.op12_hard_negatives,
+    "op13_quality_classifier": quality.op13_quality_classifier,
 }
 
 ORACLE_SQL = {

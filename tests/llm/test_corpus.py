@@ -29,7 +29,7 @@ def test_query_equals_its_sql(spark, name):
 
 
 def test_every_query_returns_every_row(spark):
-    for name in set(QUERIES) - {"op5_mixing"}:
+    for name in set(QUERIES) - {"op5_mixing", "op11_source_divergence", "op12_hard_negatives"}:
         source = "pages" if name == "op4_warc_archive" else "documents"
         assert QUERIES[name](spark, SMALL).count() == table(spark, SMALL, source).count(), name
 
