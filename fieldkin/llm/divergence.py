@@ -65,8 +65,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uses.clear()
         documents.clear()
 
+    more = 0  # what the texts since the last count may have added
     for batch in batches:
-        held = sum(map(len, uses.values()))
         langs, founds = batch.column("lang").to_pylist(), batch.column("found").to_pylist()
         for lang, found, content in zip(langs, founds, texts(batch.column("text")), strict=True):
             words = terms_of(content)
@@ -82,10 +82,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for term, n in once.items():
                         uses[key][term] += n * times
                         documents[key][term] += times
-                held += len(once)
-                if held > HELD:
+                more += len(once)
+            if more > HELD // 8:
+                more = 0
+                if sum(map(len, uses.values())) > HELD:
                     yield from entries()
-                    held = 0
     yield from entries()
 
 
