@@ -4,30 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from typing import NamedTuple
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldkin.llm.common import numbered, table, texts
+from fieldkin.llm.common import numbered, slices, table, utf8
 from fieldkin.session import keep
 
 #: Most labelled documents that the model is learned from.
 SAMPLE = 4_000
 #: Rows of the embedding, a power of two within a 16-bit number, and their length.
 BUCKETS, DIMENSIONS = 1 << 15, 8
-#: Lengths of the character n-grams of a word, in bytes of UTF-8, its borders included.
+#: Lengths of the character n-grams of a word, in bytes of UTF-8, its ends included.
 NGRAMS = (3, 4, 5)
 #: A longer word is taken as words of at most so many bytes, so every byte counts.
 PIECE = 64
 #: Passes over the sample, and the step of the first; it falls to zero evenly.
 EPOCHS, STEP, SEED = 6, 0.1, 42
+#: Bytes that are gone through at a time.
+PART = 1 << 19
 #: The feature of a word after itself.
-REPEATED = crc32(b"repeated") & (BUCKETS - 1)
-#: Words that a task remembers, those of one text beside.
-REMEMBERED = 1 << 17
+REPEATED = 1
+# Odd multipliers of the hashes, and the marks at the ends of a word.
+STRIDE, MIXER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+POWERS = np.random.default_rng(SEED).integers(0, 2**63, PIECE + 2, np.uint64) * np.uint64(2) + np.uint64(1)
+OPENS, CLOSES = np.uint64(256), np.uint64(257)
+SOLID = np.array([not (9 <= x <= 13 or x == 32) for x in range(256)])
 THRESHOLD = 0.5
 
 
@@ -39,79 +43,93 @@ class Model(NamedTuple):
     offsets: np.ndarray
 
 
-def words_of(content: bytes) -> list[bytes]:
-    """What lies between ASCII white space, case kept, in order."""
-    words = content.split()
-    if max(map(len, words), default=0) > PIECE:
-        words = [x[at : at + PIECE] for x in words for at in range(0, len(x), PIECE)]
-    return words
+def bucket(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes * MIXER) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
 
 
-def features_of(word: bytes) -> np.ndarray:
-    """The hashed word and its hashed n-grams, repeats included."""
-    framed = b"<" + word + b">"
-    found = [crc32(framed)]
-    for size in NGRAMS:
-        found += [crc32(framed[at : at + size], size) for at in range(len(framed) - size + 1)]
-    return np.array(found, np.int64) & (BUCKETS - 1)
+def occurrences(data: np.ndarray, offsets: np.ndarray, seam: list | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(row, feature)`` arrays of all words, pairs of words and n-grams of the texts.
 
-
-def pairs_of(places: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """The hashed pairs of neighbouring words.
-
-    A word after itself is one feature whatever the word, so repetition is learned
-    from the words of the sample and seen in any others.
+    Words lie between ASCII white space, case kept, and are framed by two marks that
+    no byte equals. A word after itself is one feature whatever the word, so repetition
+    is learned from the words of the sample and seen in any others. ``seam`` holds the
+    hash of the word before, for a text that is gone through in parts.
     """
-    first, second = hashes[places[:-1]], hashes[places[1:]]
-    mixed = (first * 2654435761 + second) >> 7 & (BUCKETS - 1)
-    return np.where(places[:-1] == places[1:], REPEATED, mixed)
-
-
-class Words:
-    """Words met so far, their hash and what was made of their features."""
-
-    def __init__(self, make):
-        self.make, self.place, self.made, self.hashes = make, {}, [], np.zeros(1 << 12, np.int64)
-
-    def places(self, words: list[bytes]) -> tuple[dict, np.ndarray]:
-        """The different words with their place, and the place of each word in turn."""
-        if len(self.place) > REMEMBERED:
-            self.place, self.made = {}, []
-        known = {}
-        for word in dict.fromkeys(words):
-            at = self.place.get(word)
-            if at is None:
-                at = self.place[word] = len(self.made)
-                self.made.append(self.make(features_of(word)))
-                if at == len(self.hashes):
-                    self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-                self.hashes[at] = crc32(word)
-            known[word] = at
-        return known, np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-
-
-def features_of_text(content: bytes, met: Words) -> tuple[np.ndarray, np.ndarray]:
-    """The different features of a text and each one's share of all its occurrences."""
-    known, places = met.places(words_of(content))
-    if not len(places):
-        return np.zeros(0, np.int64), np.zeros(0)
-    different, times = np.unique(places, return_counts=True)
-    parts = [met.made[x] for x in different.tolist()]
-    counts = np.bincount(np.concatenate(parts), np.repeat(times, [len(x) for x in parts]), BUCKETS)
-    counts += np.bincount(pairs_of(places, met.hashes), minlength=BUCKETS)
-    present = np.flatnonzero(counts)
-    return present, counts[present] / counts.sum()
+    at = np.flatnonzero(SOLID[data])
+    if not len(at):
+        return
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[at]
+    begins = np.concatenate(([True], (np.diff(at) > 1) | (row[1:] != row[:-1])))
+    start = np.flatnonzero(begins)
+    begins |= (np.arange(len(at)) - start[np.cumsum(begins) - 1]) % PIECE == 0
+    start = np.flatnonzero(begins)
+    size = np.diff(np.append(start, len(at))) + 2
+    first = start + 2 * np.arange(len(start))
+    framed = np.full(len(at) + 2 * len(start), OPENS)
+    framed[np.arange(len(at)) + 2 * np.cumsum(begins) - 1] = data[at]
+    framed[first + size - 1] = CLOSES
+    owner, end = np.repeat(row[start], size), np.repeat(first + size, size)
+    grams = framed
+    for n in range(2, max(NGRAMS) + 1):
+        grams = grams[:-1] * STRIDE + framed[n - 1 :]
+        if n in NGRAMS:
+            whole = np.arange(n, len(framed) + 1) <= end[: len(grams)]
+            yield owner[: len(grams)][whole], bucket(grams[whole] + np.uint64(n))
+    words = np.add.reduceat(framed * POWERS[np.arange(len(framed)) - np.repeat(first, size)], first)
+    yield row[start], bucket(words)
+    rows = row[start]
+    if seam:
+        words, rows = np.concatenate((seam, words)), np.concatenate((rows[:1], rows))
+    near = rows[1:] == rows[:-1]
+    before, after = words[:-1][near], words[1:][near]
+    yield rows[1:][near], np.where(before == after, REPEATED, bucket(before * STRIDE + after))
+    if seam is not None:
+        seam[:] = [words[-1]]
+
+
+def parts_of(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, Iterator]]:
+    """Runs of rows and their occurrences, at most about :data:`PART` bytes at a time."""
+    for first, last in slices(offsets, PART):
+        low, high = int(offsets[first]), int(offsets[last])
+        seam: list | None = [] if high - low > PART else None
+        while True:
+            cut = high
+            if high - low > PART:
+                white = np.flatnonzero(~SOLID[data[low : low + PART]])
+                cut = low + (int(white[-1]) + 1 if len(white) else PART - PART % PIECE)
+            yield first, last, occurrences(data[low:cut], np.minimum(offsets[first : last + 1], cut) - low if seam is None
+                                           else np.array([0, cut - low]), seam)
+            if cut == high:
+                break
+            low = cut
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    met = Words(lambda features: features)
     for batch in batches:
-        found = [features_of_text(x, met) for x in texts(batch.column("text"))]
+        data, offsets = utf8(batch.column("text"))
+        counts: dict[int, np.ndarray] = {}
+        features: list = [np.zeros(0, np.int16)] * batch.num_rows
+        shares: list = [np.zeros(0, np.float32)] * batch.num_rows
+        for first, last, found in parts_of(data, offsets):
+            for row, feature in found:
+                for n in range(last - first):
+                    low, high = np.searchsorted(row, (n, n + 1))
+                    counts.setdefault(first + n, np.zeros(BUCKETS, np.int64))
+                    counts[first + n] += np.bincount(feature[low:high], minlength=BUCKETS)
+            # A long text comes in several parts, as the last of its run.
+            for n in [x for x in counts if x < first or last - first > 1]:
+                features[n], shares[n] = _shares(counts.pop(n))
+        for n, found in counts.items():
+            features[n], shares[n] = _shares(found)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("row"), batch.column("label"),
-             pa.array([x.astype(np.int16) for x, _ in found], pa.list_(pa.int16())),
-             pa.array([y.astype(np.float32) for _, y in found], pa.list_(pa.float32()))],
-            ["row", "label", "features", "shares"])
+            [batch.column("row"), batch.column("label"), pa.array(features, pa.list_(pa.int16())),
+             pa.array(shares, pa.list_(pa.float32()))], ["row", "label", "features", "shares"])
+
+
+def _shares(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different features of a text and each one's share of all its occurrences."""
+    present = np.flatnonzero(counts)
+    return present.astype(np.int16), (counts[present] / max(counts.sum(), 1)).astype(np.float32)
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, learnable: Column, id_column: str, text_column: str,
@@ -185,24 +203,20 @@ def learn(sample: DataFrame, classes: int = 2, **how) -> Model:
 
 def _scored(shared):
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Probabilities of the classes; words met before keep the sum of their features."""
+        """Probabilities of the classes: the means of what each feature adds to their scores."""
         model = shared.value
-        reach = model.embedding @ model.weights.T
-        met = Words(lambda features: (reach[features].sum(axis=0), len(features)))
+        reach = (model.embedding @ model.weights.T).T.copy()
         for batch in batches:
-            out = np.empty((batch.num_rows, reach.shape[1]))
-            for n, content in enumerate(texts(batch.column("text"))):
-                known, places = met.places(words_of(content))
-                total, size = np.zeros(reach.shape[1]), 1
-                if len(places):
-                    different, times = np.unique(places, return_counts=True)
-                    sums, sizes = zip(*[met.made[x] for x in different.tolist()], strict=True)
-                    pairs = pairs_of(places, met.hashes)
-                    total = times @ np.array(sums) + reach[pairs].sum(axis=0)
-                    size = times @ np.array(sizes) + len(pairs)
-                out[n] = softmax(total / size + model.offsets)
+            data, offsets = utf8(batch.column("text"))
+            sums, sizes = np.zeros((batch.num_rows, len(reach))), np.zeros(batch.num_rows, np.int64)
+            for first, last, found in parts_of(data, offsets):
+                for row, feature in found:
+                    sizes[first:last] += np.bincount(row, minlength=last - first)
+                    for k, part in enumerate(reach):
+                        sums[first:last, k] += np.bincount(row, part[feature], last - first)
+            scores = softmax(sums / np.maximum(sizes, 1)[:, None] + model.offsets)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("id"), pa.array(list(out), pa.list_(pa.float64()))],
+                [batch.column("row"), batch.column("id"), pa.array(list(scores), pa.list_(pa.float64()))],
                 ["row", "id", "probabilities"])
     return scored
 

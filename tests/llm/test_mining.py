@@ -8,6 +8,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,38 +165,41 @@ def test_edges_of_the_tree_are_true():
 
 
 def slow_features(content: bytes) -> Counter:
-    from zlib import crc32
+    def bucket(h: int) -> int:
+        return (h * int(quality.MIXER) % 2**64) >> 49
 
     parts = [w[a : a + quality.PIECE] for w in content.split() for a in range(0, len(w), quality.PIECE)]
-    found = Counter()
+    found, hashes = Counter(), []
     for word in parts:
-        framed = b"<" + word + b">"
-        found[crc32(framed) % quality.BUCKETS] += 1
+        framed = [256, *word, 257]
         for n in quality.NGRAMS:
             for at in range(len(framed) - n + 1):
-                found[crc32(framed[at : at + n], n) % quality.BUCKETS] += 1
-    for a, b in zip(parts, parts[1:]):
-        mixed = (crc32(a) * 2654435761 + crc32(b)) & (2**64 - 1)
-        found[quality.REPEATED if a == b else (mixed >> 7) % quality.BUCKETS] += 1
+                h = 0
+                for x in framed[at : at + n]:
+                    h = h * int(quality.STRIDE) + x
+                found[bucket(h + n)] += 1
+        hashes.append(sum(x * int(p) for x, p in zip(framed, quality.POWERS)) % 2**64)
+        found[bucket(hashes[-1])] += 1
+    for a, b in zip(hashes, hashes[1:]):
+        found[quality.REPEATED if a == b else bucket(a * int(quality.STRIDE) + b)] += 1
     return found
 
 
-@pytest.mark.parametrize("remembered", [1 << 17, 3])
-def test_features_and_scores(spark, edge, monkeypatch, remembered):
-    monkeypatch.setattr(quality, "REMEMBERED", remembered)
-    met = quality.Words(lambda features: features)
+@pytest.mark.parametrize("part", [1 << 19, 700])
+def test_features_and_scores(monkeypatch, part):
+    monkeypatch.setattr(quality, "PART", part)
     model = quality.Model(*(np.random.default_rng(6).normal(size=s) for s in ((quality.BUCKETS, 8), (2, 8), (2,))))
-    contents = [(r[1] or "").encode() for r in edge_rows()]
-    shared = type("Shared", (), {"value": model})
-    batch = __import__("pyarrow").RecordBatch.from_pydict(
-        {"row": list(range(len(contents))), "id": [0] * len(contents), "text": [c.decode() for c in contents]})
-    scores = next(quality._scored(shared)(iter([batch]))).column("probabilities").to_pylist()
-    for content, score in zip(contents, scores):
-        want = slow_features(content)
-        ids, shares = quality.features_of_text(content, met)
-        assert dict(zip(ids.tolist(), shares.tolist())) == pytest.approx({k: v / want.total() for k, v in want.items()})
+    contents = [(r[1] or "")[:20_000] for r in edge_rows()] + ["the the a", "x" * 1_500 + " y " + "x" * 64 + "x", "é" * 900]
+    batch = pa.RecordBatch.from_pydict({"row": list(range(len(contents))), "id": [0] * len(contents),
+                                        "label": [1] * len(contents), "text": contents})
+    scores = next(quality._scored(type("Shared", (), {"value": model}))(iter([batch]))).column("probabilities").to_pylist()
+    made = next(quality._featured(iter([batch])))
+    for n, content in enumerate(contents):
+        want = slow_features(content.encode())
+        got = dict(zip(*(made.column(x)[n].as_py() for x in ("features", "shares"))))
+        assert got == pytest.approx({k: v / want.total() for k, v in want.items()}, rel=1e-6)
         mean = sum((model.embedding[k] * v for k, v in want.items()), np.zeros(8)) / max(want.total(), 1)
-        assert score == pytest.approx(quality.softmax(model.weights @ mean + model.offsets).tolist())
+        assert scores[n] == pytest.approx(quality.softmax(model.weights @ mean + model.offsets).tolist())
 
 
 def test_steps_go_down_the_gradient():
