@@ -230,7 +230,7 @@ def _proposed(*variants: dict[str, str]) -> str:
             ("entity", f"{alias}.entity"), ("path", f"{alias}.path"))
     )
     return (
-        f"placed AS (SELECT (l.fid * 10000 + r.fid)::BIGINT AS place, {ends}, 'equals' AS operator"
+        f"placed AS (SELECT (l.fid::BIGINT * 268435456 + r.fid)::BIGINT AS place, {ends}, 'equals' AS operator"
         " FROM fields l JOIN fields r ON l.ord <> r.ord AND l.family = r.family"
         " WHERE (l.is_key OR l.is_unique) AND l.family <> 'unknown'), "
         f"proposals AS ({' UNION ALL '.join(parts)})"
@@ -560,6 +560,21 @@ ORACLE_SQL: dict[str, str] = {
     "document_elem_match": """
         SELECT o_orderkey AS order_key, o_custkey AS customer FROM orders WHERE o_orderstatus = 'F'
     """,
+    "document_numbers": """
+        WITH amounts AS (
+          SELECT o_orderkey AS order_key, o_orderkey % 4 AS kind,
+            CASE o_orderkey % 4 WHEN 0 THEN 9007199254740992 + o_orderkey % 3 WHEN 1 THEN 1
+              WHEN 2 THEN 1000000000000000000000000000000 END::HUGEINT AS whole,
+            CASE WHEN o_orderkey % 4 = 1 THEN o_orderkey % 3 ELSE 0 END AS rest
+          FROM orders)
+        SELECT order_key, coalesce(whole = 1 AND rest = 0, false) AS is_one,
+          coalesce(whole > 1 OR (whole = 1 AND rest > 0), false) AS above_one,
+          coalesce(whole >= 5, false) AS from_five,
+          coalesce(whole = 9007199254740993, false) AS is_odd,
+          coalesce(whole <= 9007199254740992, false) AS to_even,
+          coalesce(whole = 9007199254740994, false) OR (kind = 3 AND order_key = 7) AS listed
+        FROM amounts
+    """,
     "document_lookup": """
         SELECT c_custkey AS key, c_name AS name, count(o_orderkey) AS order_count,
           coalesce(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey), '') AS orders

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from fieldkin.functions import values as V
 from fieldkin.operators.catalog import local_rows, with_families
 from fieldkin.operators.profile import assemble
-from fieldkin.sources.model import DOCUMENT, SourceSet
+from fieldkin.sources.model import DOCUMENT, Entity, SourceSet
 
 _INEXACT = "double"
 
@@ -51,21 +51,27 @@ def _below(path: Column, key: Column) -> Column:
 def nesting(documents: DataFrame, column: str) -> int:
     """How deep the containers of the deepest document are nested.
 
-    Read off the brackets of the JSON text, outside of its strings, in one pass over
-    the scan that hands back one number. It decides how many levels a plan unfolds,
-    so documents of any depth are unfolded whole.
+    Read off the type of a document, which names each container, in one pass over the
+    scan that hands back one number; documents of one shape share a type, which is
+    gone through once. A type that leaves out what differs within an array is of no
+    use: there the brackets of the JSON text count, outside of its strings. The number
+    decides how many levels a plan unfolds, so documents of any depth are unfolded whole.
     """
+    schema = F.schema_of_variant(F.col(column))
     text = F.replace(F.replace(F.to_json(column), F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit(""))
     bare = F.regexp_replace(F.regexp_replace(text, '"[^"]*"', ""), r"[^\[\]{}]", "")
+    # A first bracket tells the two kinds of text apart.
+    shapes = documents.select(
+        F.when(schema.contains("VARIANT"), F.concat(F.lit("["), bare)).otherwise(schema).alias("type")).distinct()
+    named = F.regexp_replace(F.regexp_replace("type", "`[^`]*`", ""), "[^<>]", "")
+    brackets = F.when(F.col("type").startswith("["), F.substring("type", 2, 1 << 30)).otherwise(named)
     none = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
     def count(state: Column, bracket: Column) -> Column:
-        now = state["now"] + F.when(bracket.isin("[", "{"), 1).when(bracket.isin("]", "}"), -1).otherwise(0)
+        now = state["now"] + F.when(bracket.isin("[", "{", "<"), 1).when(bracket.isin("]", "}", ">"), -1).otherwise(0)
         return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
 
-    # Documents of one shape have one text of brackets, which is gone through once.
-    shapes = documents.select(bare.alias("bare")).distinct()
-    deep = F.aggregate(F.split("bare", ""), none, count, lambda state: state["most"])
+    deep = F.aggregate(F.split(brackets, ""), none, count, lambda state: state["most"])
     return shapes.agg(F.max(deep)).first()[0] or 0
 
 
@@ -225,6 +231,48 @@ def _occurrences(documents: DataFrame, column: str) -> DataFrame:
     )
 
 
+def _collections(sources: SourceSet) -> list[tuple[int, str, Entity]]:
+    return [
+        (i, source.source_id, entity)
+        for i, source in sources.of_kind(DOCUMENT)
+        for entity in source.entities
+    ]
+
+
+def _all_nodes(sources: SourceSet) -> DataFrame:
+    return reduce(DataFrame.unionAll, [
+        _occurrences(entity.data, entity.document).select(
+            F.lit(n).alias("collection"), "path", "v", "class", "once"
+        )
+        for n, (_, _, entity) in enumerate(_collections(sources))
+    ])
+
+
+def _placed(counted: DataFrame, sources: SourceSet) -> DataFrame:
+    places = local_rows(counted.sparkSession, [
+        (n, i, source_id, entity.namespace, entity.name)
+        for n, (i, source_id, entity) in enumerate(_collections(sources))
+    ], PLACE_SCHEMA)
+    return counted.join(places, "collection")
+
+
+def _presence() -> list[Column]:
+    """How many values were counted, and how many documents have the path."""
+    return [
+        F.count("class").alias("n"),
+        F.count_if(F.col("once") | F.col("class").isNull()).alias("present"),
+    ]
+
+
+def document_presence(sources: SourceSet) -> DataFrame:
+    """``(source…, path, type, n, present)``: what a catalog needs of the collections.
+
+    Paths and types are counted; values are neither read as text nor shuffled.
+    """
+    counted = _all_nodes(sources).groupBy("collection", "path", "class").agg(*_presence())
+    return _placed(counted, sources).select(*FIELD, _type().alias("type"), "n", "present")
+
+
 def document_counts(sources: SourceSet) -> DataFrame:
     """``(source…, path, type, key, n, present)`` over all document collections.
 
@@ -236,17 +284,7 @@ def document_counts(sources: SourceSet) -> DataFrame:
     columns and filter on counted ones only, so that their plans agree up to the
     shuffle of the counts and Spark unfolds the documents once.
     """
-    collections = [
-        (i, source.source_id, entity)
-        for i, source in sources.of_kind(DOCUMENT)
-        for entity in source.entities
-    ]
-    nodes = reduce(DataFrame.unionAll, [
-        _occurrences(entity.data, entity.document).select(
-            F.lit(n).alias("collection"), "path", "v", "class", "once"
-        )
-        for n, (_, _, entity) in enumerate(collections)
-    ])
+    nodes = _all_nodes(sources)
     kind, scalar = F.col("class"), F.try_variant_get("v", "$", "string")
     texts = nodes.withColumns({
         "string": F.when(kind == "string", scalar),
@@ -255,16 +293,9 @@ def document_counts(sources: SourceSet) -> DataFrame:
     counted = (
         V.with_text_key(texts, "string")
         .groupBy("collection", "path", "class", F.coalesce("string", "other").alias("text"))
-        .agg(
-            F.count("class").alias("n"),
-            F.count_if(F.col("once") | kind.isNull()).alias("present"),
-        )
+        .agg(*_presence())
     )
-    places = local_rows(counted.sparkSession, [
-        (n, i, source_id, entity.namespace, entity.name)
-        for n, (i, source_id, entity) in enumerate(collections)
-    ], PLACE_SCHEMA)
-    return _with_key(counted).join(places, "collection").select(
+    return _placed(_with_key(counted), sources).select(
         *FIELD, _type().alias("type"), "key", "n", "present"
     )
 

@@ -79,16 +79,23 @@ def find(
     data: DataFrame,
     where: Column | None = None,
     columns: Sequence[str | Column] | None = None,
-    sort: Mapping[str, int] | Sequence[Column] | None = None,
+    sort: Mapping[str, int] | Sequence[Column | tuple[Column, int]] | None = None,
     limit: int | None = None,
 ) -> DataFrame:
     """Filter, sort, project and cut, at most :data:`MAX_ROWS` rows.
 
     Nulls sort lowest, as document stores sort them. Sorting happens before the
     projection, so a query may sort by a column it does not return. Members of
-    documents sort by ``paths.sort_key``.
+    documents sort by ``paths.sort_value``, in pairs with their direction: such values
+    are worked out once per row, not once per comparison.
     """
     found = data if where is None else data.where(where)
+    if sort and not isinstance(sort, Mapping) and all(isinstance(x, tuple) for x in sort):
+        names = {f"_sort{n}": direction for n, (_, direction) in enumerate(sort)}
+        found = found.withColumns({f"_sort{n}": value for n, (value, _) in enumerate(sort)})
+        found = found.orderBy(*_ordering(names))
+        found = found.select(*columns) if columns is not None else found.drop(*names)
+        return found.limit(MAX_ROWS if limit is None else min(_positive(limit), MAX_ROWS))
     if sort:
         found = found.orderBy(*(_ordering(sort) if isinstance(sort, Mapping) else sort))
     if columns is not None:
@@ -96,6 +103,17 @@ def find(
     return found.limit(MAX_ROWS if limit is None else min(_positive(limit), MAX_ROWS))
 
 
+def computed_once(data: DataFrame, column: str) -> DataFrame:
+    """The same rows, with a computed column behind a generator.
+
+    Spark moves a filter below a plain projection and then works the column out anew
+    for every place where the filter names it. For documents parsed from text, whose
+    filters read many members, that is most of the time.
+    """
+    others = [c for c in data.columns if c != column]
+    return data.select(*others, F.explode(F.array(column)).alias(column))
+
+
 def aggregate(data: DataFrame, *stages: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """A chain of stages with a hard cap on the result."""
     return reduce(DataFrame.transform, stages, data).limit(MAX_ROWS)

@@ -17,6 +17,7 @@ from fieldkin.operators.catalog import (
 from fieldkin.operators.documents import (
     document_counts,
     document_fields,
+    document_presence,
     document_value_counts,
 )
 from fieldkin.operators.overlap import sketch_overlap, value_overlap
@@ -66,7 +67,7 @@ def catalog(spark: SparkSession, sources: SourceSet) -> DataFrame:
     if sources.of_kind(RELATIONAL):
         fields.append(catalog_fields(spark, sources).select(*entity, "ordinal", *described))
     if sources.of_kind(DOCUMENT):
-        found = document_fields(sources, document_counts(sources))
+        found = document_fields(sources, document_presence(sources))
         fields.append(found.select(*entity, F.lit(0).alias("ordinal"), *described))
     every = fields[0] if len(fields) == 1 else fields[0].unionAll(fields[1])
     listed = F.transform(

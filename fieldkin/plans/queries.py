@@ -123,6 +123,10 @@ def _shop_documents(spark: SparkSession, directory: str) -> DataFrame:
     return documents_from_json(orders.select(text.alias("value")))
 
 
+def _parsed_shop(spark: SparkSession, directory: str) -> DataFrame:
+    return q.computed_once(_shop_documents(spark, directory), DOCUMENT_COLUMN)
+
+
 def _event_documents(spark: SparkSession, directory: str) -> DataFrame:
     return documents_from_json(table(spark, directory, "events"), "props")
 
@@ -166,20 +170,20 @@ def _at(path: str, kind: str) -> Column:
 
 def find_documents(spark: SparkSession, directory: str) -> DataFrame:
     """Documents by members at dotted paths, sorted by one that has several types."""
-    data, document = _shop_documents(spark, directory), F.col(DOCUMENT_COLUMN)
+    data, document = _parsed_shop(spark, directory), F.col(DOCUMENT_COLUMN)
     return q.find(
         data,
         where=paths.compares(document, "customer.state.code", "in", ["F", "P"])
         & paths.compares(document, "total", "gte", 1000),
         columns=[_at("_id", "bigint").alias("order_key"), _at("customer.id", "bigint").alias("customer")],
-        sort=[paths.sort_key(document, "total", -1), paths.sort_key(document, "_id", 1)],
+        sort=[(paths.sort_value(document, "total", -1), -1), (paths.sort_value(document, "_id", 1), 1)],
         limit=500,
     )
 
 
 def document_membership(spark: SparkSession, directory: str) -> DataFrame:
     """Arrays that hold a value, as an element or as a member of an element."""
-    data = _shop_documents(spark, directory)
+    data = _parsed_shop(spark, directory)
     found = data.select(
         _at("_id", "bigint").alias("order_key"),
         q.matches(data, "document.tags.name", "1-URGENT").alias("by_name"),
@@ -193,12 +197,33 @@ def document_membership(spark: SparkSession, directory: str) -> DataFrame:
 def document_elem_match(spark: SparkSession, directory: str) -> DataFrame:
     """Arrays with one element that passes two tests at once."""
     tests = [("name", "gte", "F"), ("name", "lt", "G")]
-    data, document = _shop_documents(spark, directory), F.col(DOCUMENT_COLUMN)
+    data, document = _parsed_shop(spark, directory), F.col(DOCUMENT_COLUMN)
     return data.where(paths.element_matches(document, "tags", tests)).select(
         _at("_id", "bigint").alias("order_key"), _at("customer.id", "bigint").alias("customer")
     )
 
 
+def document_numbers(spark: SparkSession, directory: str) -> DataFrame:
+    """Numbers that doubles can't tell apart, beside large ones and texts."""
+    key = F.col("o_orderkey")
+    amount = (
+        F.when(key % 4 == 0, (F.lit(9007199254740992) + key % 3).cast("string"))
+        .when(key % 4 == 1, F.concat(F.lit("1.000000000"), (key % 3).cast("string")))
+        .when(key % 4 == 2, F.lit("1e30")).otherwise(F.concat(F.lit('"'), key.cast("string"), F.lit('"')))
+    )
+    text = F.concat(F.lit('{"_id":'), key.cast("string"), F.lit(',"amount":'), amount, F.lit("}"))
+    data = q.computed_once(documents_from_json(table(spark, directory, "orders").select(text.alias("value"))), DOCUMENT_COLUMN)
+
+    def passes(operator: str, value: object) -> Column:
+        return paths.compares(F.col(DOCUMENT_COLUMN), "amount", operator, value)
+
+    return data.select(
+        _at("_id", "bigint").alias("order_key"), passes("eq", 1).alias("is_one"), passes("gt", 1).alias("above_one"),
+        passes("gte", 5).alias("from_five"), passes("eq", 9007199254740993).alias("is_odd"),
+        passes("lte", 9007199254740992.0).alias("to_even"), passes("in", [9007199254740994, "7"]).alias("listed"),
+    )
+
+
 def document_lookup(spark: SparkSession, directory: str) -> DataFrame:
     """Customers as documents with their orders, documents too."""
     customers = documents_from_rows(table(spark, directory, "customer"), "c_custkey", "c_name")
@@ -365,8 +390,9 @@ def relationship_suggestions_mixed(spark: SparkSession, directory: str) -> DataF
     return _flat_suggestions(discovery.suggest(spark, sources))
 
 
-#: Positions of mappings are made from the numbers of their two fields.
-FIELDS = 10_000
+#: Positions of mappings are made from the numbers of their two fields, so that these
+#: must not reach it; the position of a mapping then fits in 64 bits.
+FIELDS = 1 << 28
 
 
 def _proposals(spark: SparkSession, sources: SourceSet, *variants: Column) -> DataFrame:
@@ -734,7 +760,7 @@ QUERIES: dict[str, Query] = {
         validate_relationships, duplicate_relationships, join_inner, join_left,
         observed_cardinality,
         sql_bounded, find_orders, aggregate_capped, array_membership, array_any_match,
-        filter_compound, find_documents, document_membership, document_elem_match,
+        filter_compound, find_documents, document_membership, document_elem_match, document_numbers,
         document_lookup, lookup_nested, lookup_orphans, ordered_string_agg,
         ordered_string_repeats, row_counts,
         tolerant_text_match,

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from decimal import Decimal
+from fractions import Fraction
 
 import pytest
 from pyspark.errors import PySparkException
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fieldkin.operators import paths
 from fieldkin.operators import query as q
-from fieldkin.sources.readers import documents_from_json
+from fieldkin.sources.readers import DOCUMENT_COLUMN, documents_from_json
 
 
 @pytest.fixture(scope="module")
@@ -227,3 +229,42 @@ def test_result_envelope(spark, many):
     ]
     assert q.result_envelope(many, "relational").first().returned_count == 1000
     assert tuple(q.result_envelope(data.where("a > 5"), "relational").first()) == ("relational", [], 0)
+
+
+NUMBERS = [
+    "1", "1.0", "1.0000000001", "0.99999999999999999999", "-1.5", "-1", "0", "-0.25", "0.1", "1e-1", "1e30", "-1e30",
+    "1000000000000000000000000000000", "9007199254740992", "9007199254740993", "9007199254740992.0", "9007199254740994",
+    "1152921504606846976", "1152921504606846977", "99999999999999999999999999999999999999", "1e38", "1e300",
+    "123456789012345678901234567890123456789012", "0.00000000000000000000000000000000000001",
+]
+
+
+def _value_of(text: str) -> Fraction:
+    """What a JSON number stands for: up to 38 plain digits exactly, anything else as a double."""
+    plain = "e" not in text and len(text.strip("-").replace(".", "").lstrip("0")) <= 38
+    return Fraction(text) if plain else Fraction(float(text))
+
+
+@pytest.mark.parametrize("wanted", [1, 0.1, 9007199254740992.0, 2**60 + 1, 1e30, 10**38, Decimal("0.99999999999999999999")])
+def test_numbers_compare_exactly(spark, wanted):
+    texts = ['{"n":' + n + ',"i":' + str(i) + "}" for i, n in enumerate(NUMBERS)] + ['{"n":"1","i":90}', '{"n":true,"i":91}']
+    data = documents_from_json(spark.createDataFrame([(t,) for t in texts], "value string"))
+    number = F.try_variant_get(DOCUMENT_COLUMN, "$.i", "int")
+    operators = {"eq": "__eq__", "gt": "__gt__", "lte": "__le__"}
+    found = data.select(number.alias("i"), *(paths.compares(F.col(DOCUMENT_COLUMN), "n", o, wanted).alias(o) for o in operators))
+    rows = {r["i"]: r for r in found.collect()}
+    fraction = isinstance(wanted, float) and not wanted.is_integer()
+    for i, text in enumerate(NUMBERS):
+        exact = Fraction(Decimal(repr(wanted))) if fraction and "e" not in text else Fraction(wanted)
+        for operator, method in operators.items():
+            assert rows[i][operator] == getattr(_value_of(text), method)(exact), (text, operator, wanted)
+    assert not any(rows[90][o] or rows[91][o] for o in operators)
+
+
+def test_large_numbers_sort_exactly(spark):
+    texts = ["9007199254740993", "9007199254740992", "9007199254740994", "1", "1.00000000000000000001", "0.99999999999999999999",
+             "-9007199254740993", "-9007199254740992", "-1.00000000000000000001", "-1"]
+    data = documents_from_json(spark.createDataFrame([('{"n":' + n + "}",) for n in texts], "value string"))
+    key = paths.sort_value(F.col(DOCUMENT_COLUMN), "n", 1)
+    got = q.find(data, sort=[(key, 1)], columns=[F.try_variant_get(DOCUMENT_COLUMN, "$.n", "string").alias("n")])
+    assert [r["n"] for r in got.collect()] == sorted(texts, key=Fraction)
