@@ -235,30 +235,91 @@ def test_every_string_has_one_anchor_wherever_it_lies(monkeypatch):
 # -- lines --------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("unit", ["line", "paragraph"])
-def test_repeated_lines_go(spark, edge, unit):
+def slow_lines(rows: list[tuple], separator: str, least: int | None) -> Counter:
+    """What stays of each text: every unit is compared with all before it."""
+    def normed(x):
+        return re.sub("[A-Z]", lambda m: m.group().lower(), " ".join(re.split("[ \t\n\r\x0b\f]+", x))).strip(" ")
+
+    def parts(x):
+        cut = [0] + [m.end() for m in re.finditer("[.!?。！？](?![.!?。！？])[ \t\n\r\x0b\f]*", x)]
+        return [x[a:b] for a, b in zip(cut, cut[1:] + [len(x)]) if a < b]
+
+    units = []
+    for at, (id_, text, *_) in enumerate(rows):
+        start = 0
+        for unit in (text or "").split(separator):
+            units.append(((2**63 if id_ is None else id_), at, start, 0, normed(unit), bool(normed(unit))))
+            inner, cut = start, parts(unit)
+            for part in cut:
+                fits = least is not None and len(cut) > 1 and len(normed(part)) >= least
+                units.append(((2**63 if id_ is None else id_), at, inner, 1, normed(part), fits))
+                inner += len(part)
+            start += len(unit) + len(separator)
+    seen, gone = set(), set()
+    for _, at, start, kind, content, counts in sorted(units):
+        if counts and content in seen:
+            gone.add((at, start, kind))
+        if counts:
+            seen.add(content)
+    out = Counter()
+    for at, (id_, text, *_) in enumerate(rows):
+        start, stays = 0, []
+        for unit in (text or "").split(separator):
+            inner, left = start, ""
+            for part in parts(unit):
+                left += "" if (at, inner, 1) in gone else part
+                inner += len(part)
+            if (at, start, 0) not in gone:
+                stays.append(left)
+            start += len(unit) + len(separator)
+        out[id_, separator.join(stays)] += 1
+    return out
+
+
+def line_rows() -> list[tuple]:
     rng = random.Random(6)
-    line = words(rng, 9)
-    rows = [(3, f"{line}\nshort one\n\n{line.upper()}", "", "", 0), (2, f"a b\n {line}  \nshort one", "", "", 0),
-            (2, None, "", "", 0), (None, line, "", "", 0), (5, f"{line}\n\nb", "", "", 0), (5, f"{line}\n\nb", "", "", 0)]
+    line, passage = words(rng, 9), words(rng, 60) + "."
+    japanese = "これは句読点だけで区切られたとても長い一つの文であり、空白をまったく含まないので単語を数えることはできません。"
+    texts = [
+        (3, f"{line}\nshort one\n\n{line.upper()}"), (2, f"a b\n {line}  \nshort one"), (2, None), (None, line),
+        (5, f"{line}\n\nb"), (5, f"{line}\n\nb"), (6, f"Before it. {passage} After it?!  {passage.upper()}"),
+        (7, f"Something else! {passage}\tAnd \x0b more... "), (8, passage), (9, japanese + "短い。"),
+        (10, "別の文。" + japanese + "終わり"), (11, japanese), (12, "one. two. three."), (13, "one. four."),
+        (14, "\n".join(f"{words(rng, 12)}. {words(rng, 12)}." for _ in range(3000))),
+    ]
+    texts.append((15, texts[-1][1].replace("\n", " ")))
+    return [(id_, text, "", "", 0) for id_, text in texts]
+
+
+@pytest.mark.parametrize("sentence_chars", [None, 1, lines.SENTENCE_CHARS])
+@pytest.mark.parametrize("unit", ["line", "paragraph"])
+def test_repeated_lines_and_sentences_go(spark, edge, unit, sentence_chars):
+    rows = line_rows()
     docs = spark.createDataFrame(rows, SCHEMA).coalesce(1)
-    separator = lines.SEPARATORS[unit]
-    units = sorted(
-        ((2**63 if id_ is None else id_), at, place, x)
-        for at, (id_, text, *_) in enumerate(rows) for place, x in enumerate((text or "").split(separator)))
-    seen, gone = set(), defaultdict(list)
-    for _, at, place, x in units:
-        content = lines.normal(x)
-        if len(content.split()) >= lines.LEAST_WORDS:
-            if content in seen:
-                gone[at].append(place)
-            seen.add(content)
-    want = Counter(
-        (r[0], separator.join(x for p, x in enumerate((r[1] or "").split(separator)) if p not in gone[at]))
-        for at, r in enumerate(rows))
-    got = lines.without_repeats(docs, unit).collect()
-    assert Counter((x["id"], x["kept"]) for x in got) == want
-    assert lines.without_repeats(edge, unit).count() == len(edge_rows())
+    got = lines.without_repeats(docs, unit, sentence_chars=sentence_chars).collect()
+    assert Counter((x["id"], x["kept"]) for x in got) == slow_lines(rows, lines.SEPARATORS[unit], sentence_chars)
+    texts = defaultdict(list)
+    for id_, text, *_ in rows:
+        texts[id_].append(text or "")
+    for row in got:
+        spans = row["spans"]
+        assert spans == sorted(spans) and row["removed"] == len(spans) // 2
+        assert row["chars"] == sum(spans[1::2]) - sum(spans[::2])
+        assert all(b <= max(map(len, texts[row["id"]])) for b in spans)
+    if sentence_chars is None:
+        return
+    kept = {x["id"]: x["kept"] for x in got}
+    assert kept[8] == "" and kept[11] == "", "a passage within a line meets a line of its own"
+    assert kept[10] == "別の文。終わり", "scripts without white space"
+    got = lines.without_repeats(edge, unit, sentence_chars=sentence_chars)
+    assert Counter((x["id"], x["kept"]) for x in got.collect()) == slow_lines(
+        edge_rows(), lines.SEPARATORS[unit], sentence_chars)
+
+
+def test_short_lines_stay_on_request(spark):
+    rows = [(1, "a b\nc d e", "", "", 0), (2, "a b\nc d e", "", "", 0)]
+    got = lines.without_repeats(spark.createDataFrame(rows, SCHEMA).coalesce(1), least_words=3).collect()
+    assert {x["id"]: x["kept"] for x in got} == {1: "a b\nc d e", 2: "a b"}
 
 
 def test_lines_of_an_empty_table(nothing):
