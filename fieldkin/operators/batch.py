@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
+from pyspark import inheritable_thread_target
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -27,6 +29,8 @@ def _no_access(kind: str) -> str:
     return f"Unable to access the {kind} source."
 
 
+#: Sources asked at a time. Their jobs share the executors as Spark schedules them.
+CONCURRENT = 16
 #: Rank filters of Spark reach below the shuffle for smaller limits than this.
 EARLY_RANK_LIMIT = 1000
 SLICES = 256
@@ -57,8 +61,8 @@ class Batch:
     outcomes: DataFrame
 
 
-def _answer(query: SourceQuery, position: int) -> tuple[DataFrame | None, str]:
-    """The written result and the stage reached; no result when a stage failed.
+def _answer(query: SourceQuery, position: int) -> tuple[DataFrame | None, str, int | None]:
+    """The written result, the stage reached and the number of rows; no result when a stage failed.
 
     Only failures of Spark or of a driver below it are kept per source; a mistake in
     the caller's own code is raised.
@@ -68,28 +72,55 @@ def _answer(query: SourceQuery, position: int) -> tuple[DataFrame | None, str]:
         data = query.open()
         data.schema
         stage = "execute"
-        return keep(_labelled(position, query, query.ask(data)), "answer"), stage
+        result = keep(_labelled(position, query, query.ask(data)), "answer")
+        return result, stage, result.count()
     except (PySparkException, Py4JJavaError):
-        return None, stage
+        return None, stage, None
+
+
+def _answers(
+    spark: SparkSession, queries: Sequence[SourceQuery]
+) -> list[tuple[DataFrame | None, str, int | None]]:
+    """Answers in request order, asked for concurrently, each under a job tag of its own.
+
+    A mistake in the caller's code is raised once the sources already asked are done;
+    those still waiting are not asked any more.
+    """
+    def ask(query: SourceQuery, position: int) -> tuple[DataFrame | None, str, int | None]:
+        tag = f"source-{position}"
+        spark.addTag(tag)
+        try:
+            return _answer(query, position)
+        finally:
+            spark.removeTag(tag)
+
+    with ThreadPoolExecutor(max_workers=max(1, min(CONCURRENT, len(queries)))) as pool:
+        # Wrapped one by one, so that each job has a copy of the caller's local properties.
+        asked = [pool.submit(inheritable_thread_target(spark)(ask), query, i) for i, query in enumerate(queries)]
+        try:
+            return [answer.result() for answer in asked]
+        except BaseException:
+            pool.shutdown(wait=False, cancel_futures=True)
+            raise
 
 
 def multi_source_batch(spark: SparkSession, queries: Sequence[SourceQuery]) -> Batch:
-    """Ask every source, keep the answers of those that can be read.
+    """Ask every source at once, keep the answers of those that can be read.
 
     Each source is a job of its own, whose result, at most :data:`MAX_ROWS` rows in
-    its own order, is written to the shared folder. A source that can't be opened,
-    analysed or read to its end fails alone; which error it was stays hidden.
+    its own order, is written to the shared folder; up to :data:`CONCURRENT` run side
+    by side, so a slow source delays none of the others. A source that can't be
+    opened, analysed or read to its end fails alone; which error it was stays hidden.
     Outcomes count the rows of the sources that answered, and keep request order.
     """
     outcomes, parts = [], []
-    for i, query in enumerate(queries):
-        result, stage = _answer(query, i)
+    for i, (query, (result, stage, count)) in enumerate(zip(queries, _answers(spark, queries), strict=True)):
         failed = result is None
         outcomes.append((
             i, query.source_id, query.kind, stage,
             "failed" if failed else "succeeded",
             _no_access(query.kind) if failed else None,
-            None if failed else result.count(),
+            count,
         ))
         if not failed:
             parts.append(result)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,6 +43,25 @@ def test_a_failing_source_does_not_stop_the_others(spark, tmp_path):
     assert {r.returned_count for r in rows if r.source_id == "s4"} == {1000}
 
 
+def test_sources_are_asked_side_by_side(spark):
+    # Each source opens only when the other is being opened as well.
+    meet = threading.Barrier(2, timeout=60)
+
+    def opened():
+        meet.wait()
+        tags.append(set(spark.getTags()))
+        return spark.range(2)
+
+    tags: list[set[str]] = []
+    got = B.multi_source_batch(
+        spark, [B.SourceQuery(s, "relational", opened, lambda d: d, ("id",)) for s in ("s1", "s2")])
+    assert sorted(map(sorted, tags)) == [["source-0"], ["source-1"]] and not spark.getTags()
+    assert [(r.source_ord, r.source_id, r.returned_count) for r in got.outcomes.collect()] == [
+        (0, "s1", 2), (1, "s2", 2)]
+    assert sorted((r.source_id, r.row) for r in got.rows.collect()) == [
+        (s, f'{{"id":{i}}}') for s in ("s1", "s2") for i in range(2)]
+
+
 def test_no_answer_at_all_is_an_error(spark, tmp_path):
     failing = B.SourceQuery("s", "document", lambda: read_files(spark, str(tmp_path / "x")),
                             lambda d: d, ("id",))
