@@ -9,10 +9,15 @@ How many documents have a path is also decided inside the row. Members of plain
 objects occur once per document; for documents in which a path can repeat, their
 distinct paths are gathered first. So documents need no identifier and are never
 counted distinctly.
+
+How deep documents go is not asked first. Counts unfold a few levels, and containers
+that are still open at the last one leave a mark in the counts; only collections with
+a mark are measured and counted again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 import pyarrow as pa
@@ -23,9 +28,14 @@ from pyspark.sql import types as T
 from fieldkin.functions import values as V
 from fieldkin.operators.catalog import local_rows, with_families
 from fieldkin.operators.profile import assemble
+from fieldkin.session import keep
 from fieldkin.sources.model import DOCUMENT, Entity, SourceSet
 
 _INEXACT = "double"
+#: Class of a container that the levels of a plan did not reach into.
+_DEEPER = "deeper"
+#: Levels unfolded at first: documents that nest so many containers are read once.
+LEVELS = 4
 
 # Schema text of an array of objects without containers or unusual keys.
 _FLAT_OBJECTS = r"^ARRAY<OBJECT<(?:\w+: [A-Z_]+(?:\(\d+,\d+\))?(?:, )?)*+>>$"
@@ -76,11 +86,12 @@ def nesting(documents: DataFrame, column: str) -> int:
 
 
 def _unfold(documents: DataFrame, column: str, depth: int) -> DataFrame:
-    """``(path, v, once, root)``: each document, without a path, and its keyed nodes.
+    """``(path, v, once, root, deeper)``: each document, without a path, and its keyed nodes.
 
     A level first splits each open row into itself and a request for its members,
     then answers the request. ``once`` nodes cannot repeat within their document:
-    no array is above them, and no key of the document contains a dot.
+    no array is above them, and no key of the document contains a dot. ``deeper``
+    nodes, keyed or not, are containers with members below the last level.
     """
     document = F.col(column)
     dotted = F.contains(F.schema_of_variant(document), F.lit("`"))
@@ -108,7 +119,9 @@ def _unfold(documents: DataFrame, column: str, depth: int) -> DataFrame:
                 member.alias("open"),
             )
         )
-    return rows.where("keyed").select("path", "v", "once", "root")
+    filled = F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)<") & ~F.schema_of_variant("v").isin("OBJECT<>", "ARRAY<VOID>")
+    rows = rows.withColumn("deeper", F.col("open") & filled)
+    return rows.where("keyed OR deeper").select("path", "v", "once", "root", "deeper")
 
 
 def _paths_within(value: Column, path: Column, depth: int) -> Column:
@@ -146,14 +159,16 @@ def _paths_within(value: Column, path: Column, depth: int) -> Column:
 
 def document_paths(documents: DataFrame, column: str) -> DataFrame:
     """``(path, v)`` of every keyed node of every document, one row each."""
-    return _unfold(documents, column, nesting(documents, column)).where(~F.col("root")).select("path", "v")
+    nodes = _unfold(documents, column, nesting(documents, column))
+    return nodes.where(~F.col("root")).select("path", "v")
 
 
 def _with_class(nodes: DataFrame) -> DataFrame:
-    """Adds ``class``: the type of ``v``, with inexact numbers told apart."""
+    """Adds ``class``: the type of ``v``, with inexact numbers and deeper nodes told apart."""
     schema = F.col("_schema")
     name = (
-        F.when(schema == "STRING", F.lit("string"))
+        F.when(F.col("deeper"), F.lit(_DEEPER))
+        .when(schema == "STRING", F.lit("string"))
         .when(schema.startswith("OBJECT"), F.lit("object"))
         .when(schema.startswith("ARRAY"), F.lit("array"))
         .when(schema == "VOID", F.lit("null"))
@@ -190,16 +205,39 @@ def _with_key(counted: DataFrame) -> DataFrame:
     )
 
 
+def _settled(
+    counted: Callable[[list[int], int], DataFrame],
+    collections: Iterable[int],
+    depth: Callable[[list[int]], int],
+) -> DataFrame:
+    """Counts of the collections that reach all their levels, written to the shared folder.
+
+    ``counted`` gives counts, with ``collection`` and ``class``, of some collections over
+    a number of levels. Those with a deeper node are counted again over four times as many.
+    """
+    parts, left, levels = [], list(collections), LEVELS
+    while left:
+        found = keep(counted(left, levels), "document-counts")
+        marked = found.where(F.col("class") == _DEEPER).select("collection").distinct()
+        deep = [row.collection for row in marked.collect()]
+        parts.append(found.where(~F.col("collection").isin(deep)) if deep else found)
+        if deep:
+            levels = max(depth(deep), levels + 1)
+        left = deep
+    return reduce(DataFrame.unionAll, parts)
+
+
 def infer_fields(documents: DataFrame, column: str) -> DataFrame:
     """Dotted paths of a collection, each with the sorted set of its types."""
-    return (
-        _with_class(document_paths(documents, column))
-        .groupBy("path")
-        .agg(F.array_sort(F.collect_set(_type())).alias("types"))
-    )
+    def counted(_: list[int], levels: int) -> DataFrame:
+        nodes = _with_class(_unfold(documents, column, levels)).where(~F.col("root"))
+        return nodes.groupBy(F.lit(0).alias("collection"), "path", "class").agg(F.count("*").alias("n"))
+
+    return _settled(counted, [0], lambda _: nesting(documents, column)).groupBy("path").agg(
+        F.array_sort(F.collect_set(_type())).alias("types"))
 
 
-def _occurrences(documents: DataFrame, column: str) -> DataFrame:
+def _occurrences(documents: DataFrame, column: str, depth: int) -> DataFrame:
     """``(path, v, class, once)`` of every node, and rows without class for presence.
 
     ``once`` nodes stand for their document. Where paths can repeat, below an array
@@ -208,7 +246,6 @@ def _occurrences(documents: DataFrame, column: str) -> DataFrame:
     The schema of an array of plain objects already lists the keys of all of them;
     for anything else the values are gone through.
     """
-    depth = nesting(documents, column)
     nodes = _with_class(_unfold(documents, column, depth))
     once, root = F.col("once"), F.col("root")
     schema, path = F.col("_schema"), F.col("path")
@@ -239,13 +276,22 @@ def _collections(sources: SourceSet) -> list[tuple[int, str, Entity]]:
     ]
 
 
-def _all_nodes(sources: SourceSet) -> DataFrame:
-    return reduce(DataFrame.unionAll, [
-        _occurrences(entity.data, entity.document).select(
-            F.lit(n).alias("collection"), "path", "v", "class", "once"
-        )
-        for n, (_, _, entity) in enumerate(_collections(sources))
-    ])
+def _counts(sources: SourceSet, count: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``count`` makes of the nodes of all collections, each unfolded to its end."""
+    entities = [entity for _, _, entity in _collections(sources)]
+
+    def counted(collections: list[int], levels: int) -> DataFrame:
+        return count(reduce(DataFrame.unionAll, [
+            _occurrences(entities[n].data, entities[n].document, levels).select(
+                F.lit(n).alias("collection"), "path", "v", "class", "once"
+            )
+            for n in collections
+        ]))
+
+    def depth(collections: list[int]) -> int:
+        return max(nesting(entities[n].data, entities[n].document) for n in collections)
+
+    return _settled(counted, range(len(entities)), depth)
 
 
 def _placed(counted: DataFrame, sources: SourceSet) -> DataFrame:
@@ -269,7 +315,8 @@ def document_presence(sources: SourceSet) -> DataFrame:
 
     Paths and types are counted; values are neither read as text nor shuffled.
     """
-    counted = _all_nodes(sources).groupBy("collection", "path", "class").agg(*_presence())
+    counted = _counts(
+        sources, lambda nodes: nodes.groupBy("collection", "path", "class").agg(*_presence()))
     return _placed(counted, sources).select(*FIELD, _type().alias("type"), "n", "present")
 
 
@@ -280,22 +327,23 @@ def document_counts(sources: SourceSet) -> DataFrame:
     Values are counted as short texts; what those texts mean is worked out once
     per distinct one, after the count.
 
-    Fields and values are both derived from these counts. They name the same
-    columns and filter on counted ones only, so that their plans agree up to the
-    shuffle of the counts and Spark unfolds the documents once.
+    Fields and values are both derived from these counts, which are written: a
+    collection is read once for both.
     """
-    nodes = _all_nodes(sources)
     kind, scalar = F.col("class"), F.try_variant_get("v", "$", "string")
-    texts = nodes.withColumns({
-        "string": F.when(kind == "string", scalar),
-        "other": F.when(kind.isin("number", _INEXACT, "boolean", "date"), scalar),
-    })
-    counted = (
-        V.with_text_key(texts, "string")
-        .groupBy("collection", "path", "class", F.coalesce("string", "other").alias("text"))
-        .agg(*_presence())
-    )
-    return _placed(_with_key(counted), sources).select(
+
+    def count(nodes: DataFrame) -> DataFrame:
+        texts = nodes.withColumns({
+            "string": F.when(kind == "string", scalar),
+            "other": F.when(kind.isin("number", _INEXACT, "boolean", "date"), scalar),
+        })
+        return (
+            V.with_text_key(texts, "string")
+            .groupBy("collection", "path", "class", F.coalesce("string", "other").alias("text"))
+            .agg(*_presence())
+        )
+
+    return _placed(_with_key(_counts(sources, count)), sources).select(
         *FIELD, _type().alias("type"), "key", "n", "present"
     )
 

@@ -74,6 +74,41 @@ def test_documents_of_any_depth_are_unfolded(spark):
     assert profiles(spark, {"r": deep})[".".join(["r", *path])].distinct_count == 1
 
 
+@pytest.mark.parametrize("levels", range(D.LEVELS - 3, D.LEVELS + 1))
+def test_documents_about_as_deep_as_the_levels_of_a_plan(spark, levels):
+    inner = [{"k": 1}, [{"k": 1}], [[{"k": 1}]], [], [[]], {}, [None], {"k": []}]
+    documents, wanted = [], set()
+    for i, value in enumerate(inner):
+        path = [f"r{i}", *["d"] * levels, *(["k"] if "k" in json.dumps(value) else [])]
+        for key in reversed([f"r{i}", *["d"] * levels]):
+            value = {key: value}
+        documents.append(value)
+        wanted |= {".".join(path[:n]) for n in range(1, len(path) + 1)}
+    assert set(inferred(spark, *documents)) == wanted
+
+
+def test_a_collection_is_read_once_and_a_deep_one_again(spark):
+    def read(*docs):
+        """How many scans each of the written counts has."""
+        seen = []
+
+        def spy(data, name):
+            plan = data._jdf.queryExecution().optimizedPlan().toString()
+            seen.append(plan.count("LocalRelation") + plan.count("LogicalRDD"))
+            return kept(data, name)
+
+        kept, D.keep = D.keep, spy
+        try:
+            profiles(spark, *docs)
+        finally:
+            D.keep = kept
+        return seen
+
+    deep = {"a": {"b": {"c": {"d": {"e": {"f": 1}}}}}}
+    assert read({"a": {"b": 1}}) == [2], "both collections, one read of each"
+    assert read({"a": {"b": 1}}, deep) == [2, 1], "then the deep one alone"
+
+
 def test_profile_counts_values_and_distinct_values(spark):
     got = profiles(
         spark,
