@@ -413,6 +413,11 @@ SUGGEST_MIXED = f"""
     SELECT * FROM suggestions
 """
 
+FINGERPRINT_SKETCH = f"""
+    WITH {_fields()}, {_values()}, {SKETCH}
+    SELECT source_id, entity, path, rank, fp AS fingerprint FROM sketch JOIN fields USING (fid)
+"""
+
 _UNIQUENESS = " UNION ALL ".join(
     f"SELECT '{source}' AS source_id, '{entity}' AS entity, '{path}' AS path,"
     f" count({path}) AS value_count, count(DISTINCT {path}) AS distinct_count,"
@@ -637,10 +642,13 @@ ORACLE_SQL: dict[str, str] = {
         SELECT *, value_count > 0 AND value_count = distinct_count AS measured_unique
         FROM ({_UNIQUENESS})
     """,
-    "fingerprint_sketch": f"""
-        WITH {_fields()}, {_values()}, {SKETCH}
-        SELECT source_id, entity, path, rank, fp AS fingerprint FROM sketch JOIN fields USING (fid)
+    "field_uniqueness": f"""
+        SELECT source_id, entity, path, declared_unique,
+               value_count > 0 AND value_count = distinct_count AS measured_unique
+        FROM ({_UNIQUENESS})
     """,
+    "fingerprint_sketch": FINGERPRINT_SKETCH,
+    "fingerprint_sketch_bounded": FINGERPRINT_SKETCH,
     "name_tokens": f"""
         WITH {_fields()}, {_counts()}, {TOKENS}
         SELECT source_id, entity, path, array_to_string(list_sort(toks), ',') AS tokens, row_count
@@ -661,6 +669,12 @@ ORACLE_SQL: dict[str, str] = {
         FROM jaccards JOIN fields l ON l.fid = lid JOIN fields r ON r.fid = rid
         WHERE l.ord <> r.ord
     """,
+    "value_overlap_screened": f"""
+        WITH {_fields()}, {_values()}, {OVERLAP}
+        SELECT {ENDS}, shared, {_ratio("overlap")} AS overlap
+        FROM jaccards JOIN fields l ON l.fid = lid JOIN fields r ON r.fid = rid
+        WHERE l.ord <> r.ord AND l.family = r.family AND overlap >= 0.1
+    """,
     "value_overlap_sketch": f"""
         WITH {_fields()}, {_values()}, {SKETCH}, {SKETCH_OVERLAP}
         SELECT {ENDS}, shared, sampled, {_ratio("overlap")} AS overlap

@@ -11,6 +11,7 @@ shuffle once per task.
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 
 from fieldkin.functions import values as V
 from fieldkin.operators.catalog import FieldRef, profiled_columns
-from fieldkin.sources.model import SourceSet
+from fieldkin.sources.model import Entity, SourceSet
 
 #: A null key counts the nulls of a field, an empty key its values without form;
 #: all other values are ``comparable``.
@@ -95,11 +96,33 @@ def _double_key() -> Column:
     return F.when(value.isNotNull(), form)
 
 
-def value_counts(sources: SourceSet) -> DataFrame:
-    """``(field_id, key, n, comparable)`` of the profiled columns of relational sources."""
-    tables, value = profiled_columns(sources), F.col("value")
+def typed_columns(
+    sources: SourceSet, only: Collection[int] | None = None
+) -> list[tuple[Entity, list[tuple[FieldRef, Column]]]]:
+    """Per entity the columns that are counted, as the values they are counted by."""
+    return [
+        (entity, [
+            (f, c) for f in fields
+            for take in (_integers, _doubles, _decimals, _texts)
+            if (c := take(f)) is not None
+        ])
+        for entity, fields in _tables(sources, only)
+    ]
+
+
+def _tables(sources: SourceSet, only: Collection[int] | None) -> list:
+    return [
+        (entity, [f for f in fields if only is None or f.field_id in only])
+        for entity, fields in profiled_columns(sources)
+    ]
+
+
+def _keyed(tables: list, counting) -> DataFrame:
+    """Typed streams with their keys; ``counting`` says what is done to each before, or to
+    text after, its keys are made."""
+    value = F.col("value")
     present = value.isNotNull()
-    counted = []
+    parts = []
     for take, key, comparable in (
         (_integers, _integer_key(tables), present),
         (_doubles, _double_key(), present & (F.abs(value) < float("inf"))),
@@ -107,13 +130,26 @@ def value_counts(sources: SourceSet) -> DataFrame:
     ):
         stream = _stream(tables, take)
         if stream is not None:
-            counted.append(_count(stream).select("field", key.alias("key"), "n", comparable))
+            parts.append(counting(stream).select("field", key.alias("key"), "n", comparable))
     # Text is the exception: keys first, so that no long text is shuffled.
     texts = _stream(tables, _texts)
     if texts is not None:
-        counted.append(_count(V.with_text_key(texts, "value")).select(
+        parts.append(counting(V.with_text_key(texts, "value")).select(
             "field", "value", "n", present & (value != V.NO_FINGERPRINT)
         ))
-    return reduce(DataFrame.unionAll, counted).toDF("field", *COLUMNS[1:]).select(
+    return reduce(DataFrame.unionAll, parts).toDF("field", *COLUMNS[1:]).select(
         F.col("field").cast("bigint").alias("field_id"), *COLUMNS[1:]
     )
+
+
+def value_counts(sources: SourceSet, only: Collection[int] | None = None) -> DataFrame:
+    """``(field_id, key, n, comparable)`` of the profiled columns of relational sources.
+
+    ``only`` names the fields to count; the columns of others are not read.
+    """
+    return _keyed(_tables(sources, only), _count)
+
+
+def value_rows(sources: SourceSet, only: Collection[int] | None = None) -> DataFrame:
+    """The same form with one row per cell (``n`` is 1): nothing is counted or shuffled."""
+    return _keyed(_tables(sources, only), lambda s: s.withColumn("n", F.lit(1).cast("bigint")))

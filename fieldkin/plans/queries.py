@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from fieldkin.functions.values import fingerprint, normal_form
 from fieldkin.operators import batch, catalog, documents, expect, mapping, overlap, paths, profile
 from fieldkin.operators import query as q
-from fieldkin.operators import relate
+from fieldkin.operators import relate, sketches
 from fieldkin.operators.value_counts import value_counts
 from fieldkin.plans import discovery
 from fieldkin.sources.model import DOCUMENT, RELATIONAL, Entity, Key, Source, SourceSet
@@ -305,21 +305,41 @@ def measured_uniqueness(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-def fingerprint_sketch(spark: SparkSession, directory: str) -> DataFrame:
+def field_uniqueness(spark: SparkSession, directory: str) -> DataFrame:
     sources = warehouse(spark, directory)
-    fields = catalog.catalog_fields(spark, sources)
-    sketch = profile.fingerprint_sketch(value_counts(sources))
+    fields = catalog.profiled_fields(spark, sources)
+    return sketches.uniqueness(spark, sources, fields).select(
+        "source_id", "entity", "path", "declared_unique", "measured_unique"
+    )
+
+
+def _named(sketch: DataFrame, fields: DataFrame) -> DataFrame:
     return sketch.join(fields, "field_id").select(
         "source_id", "entity", "path", F.col("rank").cast("bigint").alias("rank"), "fingerprint"
     )
 
 
+def fingerprint_sketch(spark: SparkSession, directory: str) -> DataFrame:
+    sources = warehouse(spark, directory)
+    fields = catalog.catalog_fields(spark, sources)
+    return _named(profile.fingerprint_sketch(value_counts(sources)), fields)
+
+
+def fingerprint_sketch_bounded(spark: SparkSession, directory: str) -> DataFrame:
+    sources = warehouse(spark, directory)
+    return _named(sketches.fingerprints(sources), catalog.catalog_fields(spark, sources))
+
+
 # -- relationships -----------------------------------------------------------
 
 
 ENTITY = ["source_id", "namespace", "entity"]
 
 
+#: Overlap from which pairs of fields are asked for where sketches rule out the others.
+LEAST_OVERLAP = 0.1
+
+
 def _described(spark: SparkSession, directory: str) -> DataFrame:
     return relate.describe(catalog.profiled_fields(spark, warehouse(spark, directory)))
 
@@ -363,6 +383,15 @@ def value_overlap(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def value_overlap_screened(spark: SparkSession, directory: str) -> DataFrame:
+    sources = warehouse(spark, directory)
+    fields = catalog.profiled_fields(spark, sources)
+    pairs = sketches.screened_overlap(spark, sources, fields, LEAST_OVERLAP)
+    return relate.orient(pairs.select("a", "b", "shared", "overlap"), relate.describe(fields)).select(
+        *ENDS, "shared", _ratio("overlap").alias("overlap")
+    )
+
+
 def value_overlap_sketch(spark: SparkSession, directory: str) -> DataFrame:
     sources = warehouse(spark, directory)
     described = relate.describe(catalog.profiled_fields(spark, sources))
@@ -754,8 +783,10 @@ QUERIES: dict[str, Query] = {
         result_envelope,
         catalog_fields, catalog_keys, catalog_mixed, infer_fields_props, infer_fields_nested,
         bounded_sample, normalize_values, fingerprint_values, type_families, profile_eligible,
-        field_profile, document_profile, measured_uniqueness, fingerprint_sketch,
-        name_tokens, name_similarity, value_overlap, value_overlap_sketch, compatible_pairs,
+        field_profile, document_profile, measured_uniqueness, field_uniqueness,
+        fingerprint_sketch, fingerprint_sketch_bounded,
+        name_tokens, name_similarity, value_overlap, value_overlap_screened, value_overlap_sketch,
+        compatible_pairs,
         relationship_suggestions, relationship_suggestions_sketch, relationship_suggestions_mixed,
         validate_relationships, duplicate_relationships, join_inner, join_left,
         observed_cardinality,
