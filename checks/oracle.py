@@ -550,6 +550,12 @@ ORACLE_SQL: dict[str, str] = {
           key_fields, unique_fields, row_count
         FROM keys JOIN counts USING (source_id, entity)
     """,
+    "catalog_session": f"""
+        WITH {_fields()}, {_counts()}
+        SELECT entity, ordinal::BIGINT AS ordinal, path, kind AS type, true AS nullable, row_count
+        FROM fields JOIN counts USING (source_id, entity)
+        WHERE entity IN ('customer', 'nation', 'orders', 'region')
+    """,
     "catalog_mixed": CATALOG_MIXED,
     "relationship_suggestions_mixed": SUGGEST_MIXED,
     "find_documents": """

@@ -7,6 +7,7 @@ by value with any other engine.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -21,6 +22,7 @@ from fieldkin.operators.value_counts import value_counts
 from fieldkin.plans import discovery
 from fieldkin.sources.model import DOCUMENT, RELATIONAL, Entity, Key, Source, SourceSet
 from fieldkin.sources.readers import DOCUMENT_COLUMN, documents_from_json, documents_from_rows
+from fieldkin.sources.session import catalog_source
 from fieldkin.sources.warehouse import NAMESPACE, table, warehouse
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +65,31 @@ def catalog_fields(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+#: Tables of ``catalog_session``.
+SESSION_TABLES = ("customer", "nation", "orders", "region")
+
+
+def catalog_session(spark: SparkSession, directory: str) -> DataFrame:
+    """Columns and rows of tables that are known to the session's catalog only.
+
+    The tables are external, so creating and dropping them moves no data, and a plan that
+    reads one outlives its name.
+    """
+    prefix = f"fieldkin_{uuid.uuid4().hex}_"
+    try:
+        for name in SESSION_TABLES:
+            spark.catalog.createTable(f"{prefix}{name}", f"{directory}/{name}.parquet", "parquet")
+        sources = SourceSet([catalog_source(spark, "live", "default", f"{prefix}*")])
+    finally:
+        for name in SESSION_TABLES:
+            spark.sql(f"DROP TABLE IF EXISTS `{prefix}{name}`")
+    return _counted_fields(spark, sources).select(
+        F.substr("entity", F.lit(len(prefix) + 1)).alias("entity"),
+        F.col("ordinal").cast("bigint").alias("ordinal"), "path",
+        F.col("types")[0].alias("type"), F.col("declared_nullable").alias("nullable"), "row_count",
+    )
+
+
 def catalog_keys(spark: SparkSession, directory: str) -> DataFrame:
     sources = warehouse(spark, directory)
     keys = catalog.catalog_keys(
@@ -781,7 +808,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         result_envelope,
-        catalog_fields, catalog_keys, catalog_mixed, infer_fields_props, infer_fields_nested,
+        catalog_fields, catalog_keys, catalog_session, catalog_mixed, infer_fields_props, infer_fields_nested,
         bounded_sample, normalize_values, fingerprint_values, type_families, profile_eligible,
         field_profile, document_profile, measured_uniqueness, field_uniqueness,
         fingerprint_sketch, fingerprint_sketch_bounded,
