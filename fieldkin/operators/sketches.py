@@ -25,8 +25,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldkin.functions.values import key_fingerprint
-from fieldkin.operators.catalog import local_rows, profiled_columns
+from fieldkin.functions.values import NO_FINGERPRINT, decimal_form, key_fingerprint, with_text_key
+from fieldkin.operators.catalog import FieldRef, local_rows, profiled_columns
 from fieldkin.operators.overlap import value_overlap
 from fieldkin.operators.profile import MAX_FINGERPRINTS, comparable, fingerprint_sketch
 from fieldkin.operators.value_counts import typed_columns, value_counts, value_rows
@@ -39,6 +39,12 @@ ERROR = 0.05
 #: Entries of a theta sketch: 2^12, which estimate a union to 1.6 %.
 LOG_ENTRIES = 12
 
+#: Numbers below this are told apart by their double; larger ones have a text of their own.
+EXACT = 10**15
+
+#: Groups in which the sketches of tasks are merged before those of a field are.
+MERGES = 64
+
 #: Expected values of a field below its threshold, for each one wanted. With 100 wanted,
 #: 300 are expected, and fewer than 100 are out of reach of an estimate that is 5 % off.
 MARGIN = 3
@@ -119,27 +125,78 @@ def fingerprints(sources: SourceSet, size: int = MAX_FINGERPRINTS) -> DataFrame:
     return found.where(~F.col("field_id").isin(list(short))).unionByName(counted)
 
 
+def _double_entry(value: Column) -> Column:
+    """Whole numbers as they are, hashes of others; infinities and NaN have none."""
+    size = F.abs(value)
+    whole = (size < EXACT) & (value == F.rint(value))
+    return F.when(whole, value.try_cast("bigint")).when(size < float("inf"), F.xxhash64(value))
+
+
+def _entry(field: FieldRef, value: Column) -> Column:
+    """What a sketch takes in for a counted value: equal in two fields of a family where
+    their keys are, and different (barring a collision of hashes) where those are not.
+
+    Large and exact numbers stand for the double of the same key, if there is one. The
+    expressions are short on purpose: those of all columns have to fit one compiled method.
+    """
+    kind, double = field.data_type, value.try_cast("double")
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return _double_entry(value)
+    if isinstance(kind, T.LongType):
+        same = double.cast("string").try_cast("decimal(38,0)") == value
+        large = F.when(same, F.xxhash64(double)).when(value.isNotNull(), F.xxhash64(value.cast("string")))
+        return F.when(value.between(1 - EXACT, EXACT - 1), value).otherwise(large)
+    if isinstance(kind, T.DecimalType):
+        number = F.col(f"`{field.column}`")
+        same = (F.abs(double) < 1e21) & (double.cast("string").try_cast(kind) == number)
+        return F.when(same, _double_entry(double)).when(value.isNotNull(), F.xxhash64(decimal_form(value)))
+    return value
+
+
 def theta_sketches(sources: SourceSet) -> DataFrame:
-    """``(field_id, sketch)``: a theta sketch of the keys of each field."""
-    keys = F.when(comparable(), F.col("key"))
-    return value_rows(sources).groupBy("field_id").agg(
-        F.theta_sketch_agg(keys, F.lit(LOG_ENTRIES)).alias("sketch")
+    """``(field_id, sketch)``: a theta sketch of the keys of each field.
+
+    Columns are sketched side by side, in their own type. Tasks merge their sketches in
+    a bounded number of groups, and then by field, so no task takes in those of all.
+    """
+    parts = []
+    for entity, columns in typed_columns(sources):
+        if not columns:
+            continue
+        names = [str(f.field_id) for f, _ in columns]
+        row = entity.data.select(*(_entry(f, c).alias(name) for name, (f, c) in zip(names, columns)))
+        texts = [name for name, (f, _) in zip(names, columns) if isinstance(f.data_type, T.StringType)]
+        for name in texts:
+            row = with_text_key(row, name)
+        taken = {
+            name: F.when(F.col(name) != NO_FINGERPRINT, F.col(name)) if name in texts else F.col(name)
+            for name in names
+        }
+        merged = row.withColumn("part", F.spark_partition_id() % MERGES).groupBy("part").agg(
+            *(F.theta_sketch_agg(c, F.lit(LOG_ENTRIES)).alias(name) for name, c in taken.items()))
+        parts.append(merged.drop("part").unpivot([], names, "field", "sketch"))
+    return reduce(DataFrame.unionAll, parts).groupBy(F.col("field").cast("bigint").alias("field_id")).agg(
+        F.theta_union_agg("sketch", F.lit(LOG_ENTRIES)).alias("sketch")
     )
 
 
-def theta_overlap(sketches: DataFrame, fields: DataFrame) -> DataFrame:
+def theta_overlap(sketches: DataFrame, fields: DataFrame, across: bool = False) -> DataFrame:
     """``(a, b, shared, overlap)``, estimated, of the fields of one type family, ``a < b``.
 
-    Pairs are of fields, so their number depends on the sources' schemas alone.
+    Pairs are of fields, so their number depends on the sources' schemas alone. With
+    ``across`` only fields of different sources are paired.
     """
     family = F.explode("type_families").alias("family")
-    sides = fields.select("field_id", family).join(sketches, "field_id")
-    a = sides.select("family", F.col("field_id").alias("a"), F.col("sketch").alias("of_a"))
-    b = sides.select("family", F.col("field_id").alias("b"), F.col("sketch").alias("of_b"))
+    sides = fields.select("field_id", "source_ord", family).join(sketches, "field_id")
+    a, b = (
+        sides.select("family", F.col("field_id").alias(x), F.col("sketch").alias(f"of_{x}"),
+                     F.col("source_ord").alias(f"source_{x}"))
+        for x in "ab"
+    )
     shared = F.theta_sketch_estimate(F.theta_intersection("of_a", "of_b"))
     either = F.theta_sketch_estimate(F.theta_union("of_a", "of_b"))
     return (
-        a.join(b, "family").where("a < b")
+        a.join(b, "family").where("a < b AND source_a <> source_b" if across else "a < b")
         .select("a", "b", shared.alias("shared"), either.alias("either"))
         .where("shared > 0")
         .select("a", "b", "shared", (F.col("shared") / F.col("either")).alias("overlap"))
@@ -147,16 +204,19 @@ def theta_overlap(sketches: DataFrame, fields: DataFrame) -> DataFrame:
 
 
 def screened_overlap(
-    spark: SparkSession, sources: SourceSet, fields: DataFrame, least: float
+    spark: SparkSession, sources: SourceSet, fields: DataFrame, least: float, across: bool = False
 ) -> DataFrame:
     """Exact overlap of the pairs of one type family that reach ``least``.
 
+    With ``across`` only of pairs of different sources: fields that meet none but those of
+    their own source are not grouped then.
+
     Theta sketches of all fields come first. Pairs estimated at less than half of ``least``
     are ruled out, and only columns with a pair left are read again and grouped by value.
     An estimate of a tenth or more is off by about 5 %, so a pair that reaches ``least`` is
     ruled out at ten standard errors; where that is not enough, there is ``value_overlap``.
     """
-    estimated = theta_overlap(keep(theta_sketches(sources), "theta"), fields)
+    estimated = theta_overlap(keep(theta_sketches(sources), "theta"), fields, across)
     pairs = estimated.where(F.col("overlap") >= SLACK * least).select("a", "b").distinct().collect()
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     if not pairs:

@@ -413,7 +413,7 @@ def value_overlap(spark: SparkSession, directory: str) -> DataFrame:
 def value_overlap_screened(spark: SparkSession, directory: str) -> DataFrame:
     sources = warehouse(spark, directory)
     fields = catalog.profiled_fields(spark, sources)
-    pairs = sketches.screened_overlap(spark, sources, fields, LEAST_OVERLAP)
+    pairs = sketches.screened_overlap(spark, sources, fields, LEAST_OVERLAP, across=True)
     return relate.orient(pairs.select("a", "b", "shared", "overlap"), relate.describe(fields)).select(
         *ENDS, "shared", _ratio("overlap").alias("overlap")
     )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +100,50 @@ def test_screened_pairs_are_the_exact_ones_that_reach_the_least(spark, sources,
         assert {(r.a, r.b): (r.shared, r.overlap) for r in got} == want
 
 
+def test_sketch_entries_are_equal_where_keys_are(spark):
+    """Numbers of several types, at the limits of doubles, estimated as their keys are."""
+    longs = [0, -5, 7, 10**15 - 1, 10**15, -10**15, 2**53 + 1, 2**60, 1152921504606846980, -2**63, 2**63 - 1, None]
+    doubles = [-0.0, 0.1, 7.0, 1e15, 2.0**60, 1e22, 123456789.25, 1e-4, 1e-9, float("nan"), float("inf"), None]
+    decimals = [Decimal(t) for t in ("0", "0.1", "7.000", "1000000000000000", "9007199254740993", "0.1000000000000000055",
+                                     "123456789.25", "0.0001", "1152921504606846980", "-5")] + [None, None]
+    texts = ["A", " a ", "", "x" * 70, "X" * 70, "y" * 1025, None, "b", "B\u00a0", "c", "d", "e"]
+    moments = [datetime(2024, 1, 1, 0, 0, 7, 179000 + i % 3) for i in range(12)]
+    case = tables(
+        one=spark.createDataFrame(list(zip(longs, texts, moments)), "l bigint, t string, m timestamp_ntz"),
+        two=spark.createDataFrame(list(zip(doubles, texts[::-1], [m.date() for m in moments])), "d double, u string, day date"),
+        three=spark.createDataFrame([(x, i, i % 2 == 0) for i, x in enumerate(decimals)], "c decimal(38,19), i int, b boolean"),
+    )
+    fields = profiled_fields(spark, case)
+    family = {r.field_id: r.type_families for r in fields.collect()}
+    want = {(r.a, r.b): (r.shared, r.overlap) for r in value_overlap(value_counts(case)).collect()
+            if family[r.a] == family[r.b]}
+    got = sketches.theta_overlap(sketches.theta_sketches(case), fields).collect()
+    assert {(r.a, r.b): (round(r.shared), r.overlap) for r in got} == want and len(want) > 5
+    sizes = value_counts(case).where("comparable").groupBy("field_id").count()
+    counted = sketches.theta_sketches(case).join(sizes, "field_id").select(
+        F.theta_sketch_estimate("sketch").alias("sketched"), "count").collect()
+    assert counted and all(r.sketched == r["count"] for r in counted)
+
+
+def test_sketches_are_made_side_by_side_and_without_texts_of_numbers(spark):
+    case = tables(t=spark.range(10).selectExpr("id", "id / 7 AS x", "cast(id AS string) AS t"))
+    plan = sketches.theta_sketches(case)._jdf.queryExecution().executedPlan().toString()
+    # Sketches become rows above the merge of the tasks; cells never do.
+    assert plan.index("Expand") < plan.index("partial_theta_sketch_agg")
+    assert plan.count("Expand") == 1 and "regexp" not in plan.lower()
+
+
+def test_pairs_across_sources_spare_the_others(spark, sources):
+    fields = profiled_fields(spark, sources)
+    of = {r.field_id: r.source_ord for r in fields.collect()}
+    every, across = (
+        sketches.screened_overlap(spark, sources, fields, 0.1, across=x) for x in (False, True))
+    want = {(r.a, r.b): r.overlap for r in every.collect() if of[r.a] != of[r.b]}
+    assert want and {(r.a, r.b): r.overlap for r in across.collect()} == want
+    assert "l_shipdate" in every._jdf.queryExecution().executedPlan().toString()
+    assert "l_shipdate" not in across._jdf.queryExecution().executedPlan().toString()
+
+
 def test_columns_without_a_pair_are_not_read_again(spark, small, sources):
     fields = profiled_fields(spark, sources)
     plan = sketches.screened_overlap(spark, sources, fields, 0.5)
