@@ -41,6 +41,12 @@ LEVELS = 4
 _FLAT_OBJECTS = r"^ARRAY<OBJECT<(?:\w+: [A-Z_]+(?:\(\d+,\d+\))?(?:, )?)*+>>$"
 _FLAT_KEY = r"(\w+): "
 
+# Nodes of a document that wait for their rows.
+_NODES = (
+    "array<struct<path: string, v: variant, once: boolean, root: boolean, keyed: boolean, "
+    "kind: string, deeper: boolean>>"
+)
+
 PLACE_SCHEMA = pa.schema([
     ("collection", pa.int32()), ("source_ord", pa.int32()), ("source_id", pa.string()),
     ("namespace", pa.string()), ("entity", pa.string()),
@@ -86,42 +92,46 @@ def nesting(documents: DataFrame, column: str) -> int:
 
 
 def _unfold(documents: DataFrame, column: str, depth: int) -> DataFrame:
-    """``(path, v, once, root, deeper)``: each document, without a path, and its keyed nodes.
-
-    A level first splits each open row into itself and a request for its members,
-    then answers the request. ``once`` nodes cannot repeat within their document:
-    no array is above them, and no key of the document contains a dot. ``deeper``
-    nodes, keyed or not, are containers with members below the last level.
+    """``(path, v, once, root, kind, deeper)``: each document, without a path, and its keyed nodes.
+
+    A level replaces each open row by its members; a row without any stays as it is. What
+    has members rides along in ``above`` of its first one and gets its row at the end, so
+    finished nodes don't pass through the levels twice. ``once`` nodes cannot repeat within
+    their document: no array is above them, and no key of the document contains a dot.
+    ``deeper`` nodes, keyed or not, are containers with members below the last level.
+    ``kind`` is the class of what was seen to have members, so that it needn't be read again.
     """
     document = F.col(column)
     dotted = F.contains(F.schema_of_variant(document), F.lit("`"))
+    none = F.array().cast(_NODES)
     rows = documents.select(
         F.lit(None).cast("string").alias("path"), document.alias("v"), (~dotted).alias("once"),
-        F.lit(True).alias("root"), F.lit(True).alias("keyed"), F.lit(True).alias("open"),
+        F.lit(True).alias("root"), F.lit(True).alias("keyed"), F.lit(True).alias("open"), none.alias("above"),
     )
     for _ in range(depth):
-        split = F.when(F.col("open"), F.array(F.lit(False), F.lit(True))).otherwise(
-            F.array(F.lit(False))
-        )
-        asked = F.when(F.col("descend").outer(), F.col("v").outer())
-        member, has_key = F.col("descend"), F.col("key").isNotNull()
-        path = _below(F.col("path"), F.col("key"))
+        members = F.when(F.col("open"), F.col("v"))
+        member, has_key = F.col("pos").isNotNull(), F.col("key").isNotNull()
+        kind = F.when(has_key, F.lit("object")).otherwise(F.lit("array")).alias("kind")
+        itself = F.array(F.struct("path", "v", "once", "root", "keyed", kind, F.lit(False).alias("deeper")))
         rows = (
-            rows.withColumn("descend", F.explode(split))
-            .lateralJoin(rows.sparkSession.tvf.variant_explode_outer(asked))
-            .where(~member | F.col("value").isNotNull())
+            rows.lateralJoin(rows.sparkSession.tvf.variant_explode_outer(members.outer()))
             .select(
-                F.when(member, path).otherwise(F.col("path")).alias("path"),
+                F.when(member, _below(F.col("path"), F.col("key"))).otherwise(F.col("path")).alias("path"),
                 F.when(member, F.col("value")).otherwise(F.col("v")).alias("v"),
                 (F.col("once") & (~member | has_key)).alias("once"),
                 (F.col("root") & ~member).alias("root"),
                 F.when(member, has_key).otherwise(F.col("keyed")).alias("keyed"),
                 member.alias("open"),
+                F.when(F.col("pos") > 0, none).when(member & F.col("keyed"), F.concat("above", itself))
+                .otherwise(F.col("above")).alias("above"),
             )
         )
-    filled = F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)<") & ~F.schema_of_variant("v").isin("OBJECT<>", "ARRAY<VOID>")
-    rows = rows.withColumn("deeper", F.col("open") & filled)
-    return rows.where("keyed OR deeper").select("path", "v", "once", "root", "deeper")
+    schema = F.schema_of_variant("v")
+    filled = schema.rlike("^(OBJECT|ARRAY)<") & ~schema.isin("OBJECT<>", "ARRAY<VOID>")
+    deeper = F.when(F.col("open"), filled).otherwise(F.lit(False))
+    kind = F.lit(None).cast("string").alias("kind")
+    last = F.array(F.struct("path", "v", "once", "root", "keyed", kind, deeper.alias("deeper")))
+    return rows.select(F.inline(F.concat("above", last))).where("keyed OR deeper").drop("keyed")
 
 
 def _paths_within(value: Column, path: Column, depth: int) -> Column:
@@ -164,10 +174,15 @@ def document_paths(documents: DataFrame, column: str) -> DataFrame:
 
 
 def _with_class(nodes: DataFrame) -> DataFrame:
-    """Adds ``class``: the type of ``v``, with inexact numbers and deeper nodes told apart."""
-    schema = F.col("_schema")
+    """Adds ``class``: the type of ``v``, with inexact numbers and deeper nodes told apart.
+
+    ``_schema`` is read where the class or the paths of an array of containers need it.
+    """
+    schema, kind = F.col("_schema"), F.col("kind")
+    listed = (kind == "array") & F.col("once") & ~F.col("root")
     name = (
         F.when(F.col("deeper"), F.lit(_DEEPER))
+        .when(kind.isNotNull(), kind)
         .when(schema == "STRING", F.lit("string"))
         .when(schema.startswith("OBJECT"), F.lit("object"))
         .when(schema.startswith("ARRAY"), F.lit("array"))
@@ -178,7 +193,19 @@ def _with_class(nodes: DataFrame) -> DataFrame:
         .when(schema.isin("DOUBLE", "FLOAT"), F.lit(_INEXACT))
         .when(schema.isNotNull(), F.lit("number"))
     )
-    return nodes.withColumn("_schema", F.schema_of_variant("v")).withColumn("class", name)
+    read = F.when(kind.isNull() | listed, F.schema_of_variant("v"))
+    return nodes.withColumn("_schema", read).withColumn("class", name)
+
+
+def _with_text(nodes: DataFrame) -> DataFrame:
+    """Adds ``text``: scalars as texts, strings that aren't short by their key."""
+    kind, whole = F.col("class"), F.col("_schema") == "BIGINT"
+    scalar = kind.isin("string", "number", _INEXACT, "boolean", "date")
+    text = F.when(whole, F.try_variant_get("v", "$", "bigint").cast("string")).when(
+        scalar, F.try_variant_get("v", "$", "string"))
+    long = (kind == "string") & (F.length("text") >= V.FINGERPRINT_LENGTH)
+    read = nodes.withColumn("text", text).withColumn("_long", F.when(long, F.col("text")))
+    return V.with_text_key(read, "_long").withColumn("text", F.coalesce("_long", "text"))
 
 
 def _type() -> Column:
@@ -187,15 +214,17 @@ def _type() -> Column:
 
 
 def _with_key(counted: DataFrame) -> DataFrame:
-    """Adds the key of a counted text, by its class. Strings already carry theirs."""
+    """Adds the key of a counted text, by its class. Long strings already carry theirs."""
     text, kind = F.col("text"), F.col("class")
     moment = F.when(kind == "date", text.try_cast("timestamp_ntz"))
-    read = counted.withColumns({
+    short = F.when((kind == "string") & (F.length(text) < V.FINGERPRINT_LENGTH), text)
+    read = V.with_text_key(counted.withColumn("_short", short), "_short").withColumns({
         "_inexact": F.when(kind == _INEXACT, text.try_cast("double")),
         "_millis": V.epoch_millis(moment, T.TimestampNTZType()),
     })
     form = (
-        F.when(kind.isin("string", "boolean"), text)
+        F.when(kind == "string", F.coalesce("_short", text))
+        .when(kind == "boolean", text)
         .when(kind == "number", V.decimal_form(text))
         .when(kind == _INEXACT, V.number_form(F.col("_inexact")))
         .when(kind == "date", V.millis_form(F.col("_millis")))
@@ -238,7 +267,9 @@ def infer_fields(documents: DataFrame, column: str) -> DataFrame:
 
 
 def _occurrences(documents: DataFrame, column: str, depth: int) -> DataFrame:
-    """``(path, v, class, once)`` of every node, and rows without class for presence.
+    """``(path, text, class, once)`` of every node, and rows without class for presence.
+
+    ``text`` is a scalar as it stands; of a string that isn't short, its key.
 
     ``once`` nodes stand for their document. Where paths can repeat, below an array
     of containers or anywhere in a document with dotted keys, the distinct paths are
@@ -246,7 +277,7 @@ def _occurrences(documents: DataFrame, column: str, depth: int) -> DataFrame:
     The schema of an array of plain objects already lists the keys of all of them;
     for anything else the values are gone through.
     """
-    nodes = _with_class(_unfold(documents, column, depth))
+    nodes = _with_text(_with_class(_unfold(documents, column, depth)))
     once, root = F.col("once"), F.col("root")
     schema, path = F.col("_schema"), F.col("path")
     outer_array = ~root & once & schema.rlike("^ARRAY<(OBJECT|ARRAY|VARIANT)")
@@ -258,11 +289,14 @@ def _occurrences(documents: DataFrame, column: str, depth: int) -> DataFrame:
         .when((root & ~once) | outer_array, _paths_within(F.col("v"), path, depth))
         .otherwise(F.array().cast("array<string>"))
     )
-    itself = F.lit(None).cast("string")
+    itself = F.array(F.lit(None).cast("string"))
     seen = F.col("seen")
-    return nodes.withColumn("seen", F.explode(F.array_append(gathered, itself))).select(
+    # A projection of its own is compiled; Spark interprets these functions in a generator.
+    # Outer, since Spark asks of an inner one first whether the list is empty, working it out again.
+    listed = nodes.withColumn("listed", F.concat(gathered, itself))
+    return listed.withColumn("seen", F.explode_outer("listed")).select(
         F.coalesce(seen, "path").alias("path"),
-        F.when(seen.isNull(), F.col("v")).alias("v"),
+        F.when(seen.isNull(), F.col("text")).alias("text"),
         F.when(seen.isNull() & ~root, F.col("class")).alias("class"),
         once.alias("once"),
     )
@@ -283,7 +317,7 @@ def _counts(sources: SourceSet, count: Callable[[DataFrame], DataFrame]) -> Data
     def counted(collections: list[int], levels: int) -> DataFrame:
         return count(reduce(DataFrame.unionAll, [
             _occurrences(entities[n].data, entities[n].document, levels).select(
-                F.lit(n).alias("collection"), "path", "v", "class", "once"
+                F.lit(n).alias("collection"), "path", "text", "class", "once"
             )
             for n in collections
         ]))
@@ -330,18 +364,8 @@ def document_counts(sources: SourceSet) -> DataFrame:
     Fields and values are both derived from these counts, which are written: a
     collection is read once for both.
     """
-    kind, scalar = F.col("class"), F.try_variant_get("v", "$", "string")
-
     def count(nodes: DataFrame) -> DataFrame:
-        texts = nodes.withColumns({
-            "string": F.when(kind == "string", scalar),
-            "other": F.when(kind.isin("number", _INEXACT, "boolean", "date"), scalar),
-        })
-        return (
-            V.with_text_key(texts, "string")
-            .groupBy("collection", "path", "class", F.coalesce("string", "other").alias("text"))
-            .agg(*_presence())
-        )
+        return nodes.groupBy("collection", "path", "class", "text").agg(*_presence())
 
     return _placed(_with_key(_counts(sources, count)), sources).select(
         *FIELD, _type().alias("type"), "key", "n", "present"

@@ -219,3 +219,23 @@ def test_unfolding_needs_no_python_and_no_shuffle_before_the_count(spark):
     plan = data._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Join" not in plan
     assert data.select(F.count("*")).first()[0] == 2
+
+
+def test_finished_nodes_pass_a_level_once_and_presence_is_compiled(spark):
+    nodes = D._occurrences(collection(spark, {"a": [{"b": 1}]}), DOCUMENT_COLUMN, 3)
+    plan = nodes._jdf.queryExecution().executedPlan().toString()
+    generators = [line.lstrip(" +-:") for line in plan.splitlines() if "Generate " in line]
+    assert len(generators) == 3 + 2, "the levels, the nodes that waited, and presence"
+    assert all(line.startswith("*(") for line in generators), "none is interpreted"
+    assert "size(concat" not in plan, "the paths of a document are listed once"
+
+
+def test_short_and_long_texts_count_by_their_form(spark):
+    texts = [
+        "", " ", "Ab", " aB\t", "x" * 63, "X" * 63, "y" * 64, " " * 70 + "Ab", "Z" * 65 + "\n", "z" * 65,
+        "\u0130" * 40, "W" * 1024, "v" * 1025, "8" * 64, hashlib.sha256(b"ab").hexdigest(),
+    ]
+    got = profiles(spark, *({"t": text} for text in texts))["t"]
+    forms = [form for text in texts if 0 < len(form := text.strip().lower()) <= 1024]
+    assert got.sampled_value_count == len(forms) and got.distinct_count == len(set(forms))
+    assert set(got.value_fingerprints) == {hashlib.sha256(form.encode()).hexdigest() for form in forms}
