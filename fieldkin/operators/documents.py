@@ -393,10 +393,10 @@ def document_fields(sources: SourceSet, counts: DataFrame) -> DataFrame:
                     & (F.col("entity") == entity.name)
                     & F.col("path").isin(paths)
                 )
-    paths = counts.groupBy(*FIELD).agg(
-        F.array_sort(F.collect_set("type")).alias("types"),
-        F.sum(F.when(F.col("n") >= 0, F.col("present"))).alias("present"),
-    )
+    # Types first: few rows are left for the sets.
+    typed = counts.groupBy(*FIELD, "type").agg(F.sum(F.when(F.col("n") >= 0, F.col("present"))).alias("present"))
+    paths = typed.groupBy(*FIELD).agg(
+        F.array_sort(F.collect_set("type")).alias("types"), F.sum("present").alias("present"))
     collection = FIELD[:-1]
     is_document = F.size("types") == 0
     documents = paths.where(is_document).select(
@@ -420,12 +420,10 @@ def document_value_counts(counts: DataFrame) -> DataFrame:
     """``(field_id, key, n, comparable)`` of document values, whatever their types."""
     return (
         counts.where(F.col("n") > 0)
-        .groupBy(*FIELD, "key")
+        .select(_field_id().alias("field_id"), "key", "n", "present")
+        .groupBy("field_id", "key")
         .agg(F.sum(F.when(F.col("present") >= 0, F.col("n"))).alias("n"))
-        .select(
-            _field_id().alias("field_id"), "key", "n",
-            V.is_comparable(F.col("key")).alias("comparable"),
-        )
+        .select("field_id", "key", "n", V.is_comparable(F.col("key")).alias("comparable"))
     )
 
 

@@ -239,3 +239,14 @@ def test_short_and_long_texts_count_by_their_form(spark):
     forms = [form for text in texts if 0 < len(form := text.strip().lower()) <= 1024]
     assert got.sampled_value_count == len(forms) and got.distinct_count == len(set(forms))
     assert set(got.value_fingerprints) == {hashlib.sha256(form.encode()).hexdigest() for form in forms}
+
+
+def test_values_are_counted_by_the_number_of_their_field(spark):
+    counts = spark.createDataFrame(
+        [(0, "s", "n", "e", "p", "string", "k", 2, 2), (0, "s", "n", "e", "p", "number", "k", 1, 1)],
+        "source_ord int, source_id string, namespace string, entity string, path string, type string, "
+        "key string, n bigint, present bigint")
+    values = D.document_value_counts(counts)
+    plan = values._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [field_id#" in plan, "not by the texts that name it"
+    assert [(r.key, r.n, r.comparable) for r in values.collect()] == [("k", 3, True)]
